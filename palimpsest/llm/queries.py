@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, mixing, simhash
+from palimpsest.llm import ann, decontaminate, html, licenses, mixing, pii, quality, simhash, substring, toxicity
 from palimpsest.llm.common import table
 
 
@@ -14,6 +14,43 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = pii.written(F.concat(*[pii.base_of(k) for k in pii.KINDS]))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.written(F.col("pii_spans")).alias("spans"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.main_text(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -88,7 +125,8 @@ FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate}
+    found = (op1_simhash, op2_ann, op3_pii, op4_toxicity, op5_mixing, op6_decontaminate, op7_substring, op8_quality, op9_html, op10_licenses)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
