@@ -54,7 +54,7 @@ def eta(log: DataFrame, *keys: str) -> DataFrame:
     same = F.col("stage").eqNullSafe(F.lag("stage").over(order)) & F.col("document").eqNullSafe(F.lag("document").over(order))
     rows = log.withColumn("session", F.sum(F.when(same, 0).otherwise(1)).over(order))
     began = F.min("at").over(Window.partitionBy(*keys, "session"))
-    took = F.col("at").cast("double") - began.cast("double")
+    took = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(began.cast("timestamp"))) / 1e6
     left = took / F.col("done") * (F.col("total") - F.col("done"))
     return rows.withColumn("eta", F.when((F.col("done") > 0) & (F.col("done") < F.col("total")), left))
 

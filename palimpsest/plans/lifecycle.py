@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.constants import CATEGORIES, TAG_PREFIX, TAG_SUFFIX
+from palimpsest.functions.text import entity_pattern
 from palimpsest.operators import candidates, detect, entities, occurrences, redact
 from palimpsest.sources.tables import paragraphs
 
@@ -52,10 +54,8 @@ def analyse(docs: DataFrame, settings: Settings = Settings(), findings: DataFram
     return entities.ordered(forms.join(totals, "entity_id"))
 
 
-def _pattern(forms: str, inflect: str):
-    import pandas as pd
-
-    from palimpsest.functions.text import entity_pattern
+def _pattern(forms: str, inflect: str) -> Column:
+    """The pattern of each entity, for columns of spellings and of whether they inflect."""
 
     @F.pandas_udf("string")
     def run(spellings: pd.Series, inflects: pd.Series) -> pd.Series:

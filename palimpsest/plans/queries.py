@@ -314,9 +314,9 @@ def _(spark, sf_dir):
     return jobs.patched(rows, PATCHES.df(spark))
 
 
-@query("orphan_dirs", "SELECT c_custkey AS job_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("orphan_dirs", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
 def _(spark, sf_dir):
-    return jobs.orphans(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id")))
+    return jobs.orphans(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")))
 
 
 @query("attach_aliases", "SELECT c_custkey AS key, c_name AS value, coalesce(aliases, []) AS aliases FROM customer LEFT JOIN (SELECT o_custkey, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS aliases FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
@@ -408,14 +408,10 @@ def _(spark, sf_dir):
     return out.select(F.lit("a").alias("job_id"), F.lit("1").alias("id"), "category", F.array_sort("variants").alias("variants"), "inflect")
 
 
-@query("merge_duplicates", """SELECT * FROM (VALUES ('a', '3', 'ORG', ['ПАО "МегаФон"', 'ПАО «МегаФон»', 'МегаФон'], 'rule', true), ('a', '4', 'ORG', [], 'llm', false), ('a', '5', 'ORG', [], 'llm', false),
+@query("merge_duplicates", """SELECT * FROM (VALUES ('a', '1', 'ORG', ['МегаФон', 'ПАО «МегаФон»', 'ПАО МегаФон'], 'rule', true), ('a', '4', 'ORG', [], 'llm', false), ('a', '5', 'ORG', [], 'llm', false),
   ('a', '6', 'PERSON', ['Иванов И. И.', 'Иванов И.И.'], 'llm', true), ('a', '9', 'ORG', ['Лукойл'], 'llm', false), ('b', '10', 'ORG', [], 'llm', false)) AS _(job_id, id, category, variants, source, inflect)""")
 def _(spark, sf_dir):
-    out = entities.merge(NAMED.df(spark))
-    # Of equally ranked spellings of one name the first found stands for all.
-    named = F.when(F.array_contains("variants", "МегаФон"), "3").otherwise(F.col("id")).alias("id")
-    forms = F.when(F.array_contains("variants", "МегаФон"), F.array_sort(F.array(F.lit('ПАО "МегаФон"'), F.lit("ПАО «МегаФон»"), F.lit("МегаФон")))).otherwise(F.array_sort("variants"))
-    return out.select("job_id", named, "category", forms.alias("variants"), "source", "inflect")
+    return entities.merge(NAMED.df(spark)).select("job_id", "id", "category", F.array_sort("variants").alias("variants"), "source", "inflect")
 
 
 FORM_ROWS = Rows("id int, forms array<string>, more array<string>", [(1, ["Иванов", "ИВАНОВ", " ", "иванов и."], ["Иванов", "X"]), (2, [], ["a", "b"]), (3, ["a", "A", "b"], []), (4, ["long form", "z"], ["z"])])
