@@ -103,19 +103,37 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.select(F.col("key").alias(key), "size", "source_size", "target", _taken(F.col("size"), F.col("draw")).alias("taken"))
 
 
+def _decided(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], share: float, epochs: float, seed: int) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` that the mix takes, with two more columns: size and words taken."""
+    size, taken = fresh(docs, "mix_size"), fresh(docs, "mix_taken")
+    rows = docs.select(F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), _draw(F.col(f"`{key}`"), seed).alias("draw"))
+    how = plan(cut(rows), weights, share, epochs)
+    how = cut(how.select(*[F.col(c).alias(f"__mix_{c}") for c in how.columns]))
+    out = docs.withColumn(size, words(F.col(f"`{text}`")))
+    out = out.join(F.broadcast(how) if _few(how) else how, F.col(f"`{source}`").eqNullSafe(F.col("__mix_source")))
+    out = out.withColumn(taken, _taken(F.col(size), _draw(F.col(f"`{key}`"), seed), "__mix_")).where(F.col(taken) > 0)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, taken), size, taken
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each once, with how often it takes them.
+
+    ``copies`` is the number of whole repetitions and ``part`` the words of a
+    partial one (0: none); a column of ``docs`` of one of these names is replaced.
+    """
+    out, size, taken = _decided(docs, key, text, source, weights, share, epochs, seed)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copies", "part")]
+    return out.select(*kept, F.floor(F.col(taken) / F.col(size)).alias("copies"), F.pmod(F.col(taken), F.col(size)).alias("part"))
+
+
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them.
 
     All columns are kept.  A partial repetition has the first words that
     the mix takes, joined by single spaces; whole ones have the text as it is.
     """
-    size, draw, taken, part = (fresh(docs, f"mix_{c}") for c in ("size", "draw", "taken", "part"))
-    rows = docs.select(F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), _draw(F.col(f"`{key}`"), seed).alias("draw"))
-    how = plan(cut(rows), weights, share, epochs)
-    how = cut(how.select(*[F.col(c).alias(f"__mix_{c}") for c in how.columns]))
-    out = docs.withColumn(size, words(F.col(f"`{text}`"))).withColumn(draw, _draw(F.col(f"`{key}`"), seed))
-    out = out.join(F.broadcast(how) if _few(how) else how, F.col(f"`{source}`").eqNullSafe(F.col("__mix_source")))
-    out = out.withColumn(taken, _taken(F.col(size), F.col(draw), "__mix_")).where(F.col(taken) > 0)
+    out, size, taken = _decided(docs, key, text, source, weights, share, epochs, seed)
+    part = fresh(out, "mix_part")
     # One entry for each repetition: null stands for the whole text, a number for its first words.
     whole = F.array_repeat(F.lit(None).cast("long"), F.floor(F.col(taken) / F.col(size)).cast("int"))
     rest = F.pmod(F.col(taken), F.col(size))
