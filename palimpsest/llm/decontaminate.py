@@ -31,29 +31,29 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some benchmark items: all runs of ``width`` words, or a shorter item whole."""
+    """The windows of some benchmark items: all runs of ``width`` words, or a shorter item whole.
+
+    A window is kept as its hash and its place, 16 bytes; its words are read from the item.
+    """
 
     def __init__(self, items: list[tuple], width: int):
-        vocabulary: dict[bytes, int] = {}
-        self.items, self.of = [], {}
-        found: dict[tuple, set] = {}
+        self.vocabulary: dict[bytes, int] = {}
+        self.items, self.ids = [], []
+        number = self.vocabulary.setdefault
+        found: dict[int, list] = {}
         for name, text in items:
-            words = [vocabulary.setdefault(w, len(vocabulary)) for w in tokens(text)]
-            if not words:
-                continue
-            item = len(self.items)
-            self.items.append(name)
-            size = min(width, len(words))
-            for i in range(len(words) - size + 1):
-                found.setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.vocabulary = vocabulary
-        self.sizes = sorted({len(w) for w in found})
-        self.by_hash: dict[int, dict[int, list]] = {n: {} for n in self.sizes}
-        for n in self.sizes:
-            own = [w for w in found if len(w) == n]
-            for h, w in zip(self._hash(np.array(own, dtype=np.int64).ravel(), n)[::n].tolist(), own, strict=True):
-                self.by_hash[n].setdefault(h, []).append((w, sorted(found[w])))
-        self.known = {n: np.sort(np.fromiter(d, np.uint64, len(d))) for n, d in self.by_hash.items()}
+            own = np.array([number(w, len(self.vocabulary)) for w in tokens(text)], np.int64)
+            if len(own):
+                size = min(width, len(own))
+                hashes = self._hash(own, size)
+                found.setdefault(size, []).append((hashes, np.full(len(hashes), len(self.items), np.int32), np.arange(len(hashes), dtype=np.int32)))
+                self.items.append(name)
+                self.ids.append(own)
+        self.known = {}
+        for size in sorted(found):
+            columns = [np.concatenate(x) for x in zip(*found[size], strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.known[size] = [c[order] for c in columns]
 
     @staticmethod
     def _hash(ids: np.ndarray, n: int) -> np.ndarray:
@@ -69,21 +69,25 @@ class Windows:
         """Spans of words [start, end) that occurring windows cover, merged, and the items they are of."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        unknown = np.r_[0, np.cumsum(ids < 0)]
         spans, items = [], set()
-        for n in self.sizes:
+        for n, (known, item, place) in self.known.items():
             if len(ids) < n:
                 break
-            unknown = np.r_[0, np.cumsum(ids < 0)]
             starts = np.flatnonzero(unknown[n:] == unknown[:-n])
             if not len(starts):
                 continue
-            hashes, known = self._hash(ids, n)[starts], self.known[n]
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for i, h in zip(starts[hit := known[at] == hashes].tolist(), hashes[hit].tolist(), strict=True):
-                for window, own in self.by_hash[n][h]:
-                    if tuple(ids[i : i + n].tolist()) == window:
-                        spans.append((i, i + n))
-                        items.update(own)
+            hashes = self._hash(ids, n)[starts]
+            low, high = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                at, hit = int(starts[k]), False
+                for j in range(low[k], high[k]):
+                    own = self.ids[item[j]][place[j] : place[j] + n]
+                    if np.array_equal(own, ids[at : at + n]):
+                        hit = True
+                        items.add(int(item[j]))
+                if hit:
+                    spans.append((at, at + n))
         return merged(spans), items
 
 
@@ -97,14 +101,14 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple]]:
-    """The items in slices of at most ``most`` words (an item is never cut), one slice on the driver at a time."""
+def _slices(benchmark: DataFrame, item: str, text: str, most: int):
+    """How many slices of about ``most`` words the items make (an item is never cut), and the slices, one on the driver at a time."""
     size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text"), size.alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = int(total // (6 * most)) + 1
     rows = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    return [[(r["item"], r["text"]) for r in rows.where(F.col("part") == i).orderBy("item", "text").toLocalIterator()] for i in range(parts)]
+    return parts, ([(r["item"], r["text"]) for r in rows.where(F.col("part") == i).orderBy("item", "text").collect()] for i in range(parts))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13, most_words: int = 1_000_000, cleaned: bool = False, share: int = 20) -> DataFrame:
@@ -119,7 +123,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     With ``cleaned``, the hit words are taken out of ``text`` with the
     characters between them.  Added columns must not be in ``docs`` yet.
     """
-    slices = _slices(benchmark, item, item_text, most_words)
+    total, slices = _slices(benchmark, item, item_text, most_words)
     sc = docs.sparkSession.sparkContext
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = fields + ", n_words long, n_hit long, hit_items array<string>, hit_spans array<struct<a:long,z:long>>, contaminated boolean"
@@ -127,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     out = docs
     for number, part in enumerate(slices):
         held = sc.broadcast(part)
-        last = number == len(slices) - 1
+        last = number == total - 1
 
         def run(batches, held=held, number=number, last=last):
             windows = Windows(held.value, width)
