@@ -88,6 +88,4 @@ def fill(template: str, inputs: dict[str, str]) -> str:
     names = set(re.findall(r"\{(\w+)\}", template))
     if names - inputs.keys():
         raise KeyError(f"missing inputs: {sorted(names - inputs.keys())}")
-    for name in names:
-        template = template.replace("{" + name + "}", inputs[name])
-    return template
+    return re.sub(r"\{(\w+)\}", lambda m: inputs[m[1]], template)

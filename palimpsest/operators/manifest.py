@@ -1,7 +1,12 @@
-"""Names of files in a bundle."""
+"""Bundles of a job's files: their names, and the archives."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,3 +22,20 @@ def bundle(files: DataFrame, with_key: bool = True) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("job_id", "out").orderBy("doc_id"))
     rows = fine.select("job_id", F.when(nth == 1, F.col("out")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("out"))).alias("member"))
     return rows.unionByName(fine.select("job_id", F.lit("mapping.json").alias("member")).distinct()) if with_key else rows
+
+
+def archives(members: DataFrame) -> DataFrame:
+    """(job_id, member, content) to (job_id, archive): one zip for each job.
+
+    A job has at most 25 files of 50 MB, so its group fits a task.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        rows = sorted(zip(table["member"].to_pylist(), table["content"].to_pylist(), strict=True))
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content in rows:
+                archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+        return pa.table({"job_id": table["job_id"][:1], "archive": pa.array([out.getvalue()], pa.binary())})
+
+    return members.groupBy("job_id").applyInArrow(run, "job_id string, archive binary")

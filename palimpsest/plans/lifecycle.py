@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.constants import CATEGORIES, TAG_PREFIX, TAG_SUFFIX
 from palimpsest.functions.text import entity_pattern
-from palimpsest.operators import candidates, detect, entities, occurrences, redact
+from palimpsest.operators import candidates, chunks, detect, entities, jobs, occurrences, redact
+from palimpsest.sources import model
 from palimpsest.sources.tables import paragraphs
 
 
@@ -23,7 +25,15 @@ class Settings:
     prefix: str = TAG_PREFIX
     suffix: str = TAG_SUFFIX
     chunk_chars: int = 9000
-    extra: dict = field(default_factory=dict)
+
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None, prefix: str = "PALIMPSEST_") -> Settings:
+        """Settings of environment variables: lists comma-separated, those not set as they are by default."""
+        env, given = os.environ if env is None else env, {}
+        for f in fields(cls):
+            if (text := env.get(prefix + f.name.upper())) is not None:
+                given[f.name] = int(text) if f.name == "chunk_chars" else text if f.name in ("prefix", "suffix") else tuple(x.strip() for x in text.split(",") if x.strip())
+        return cls(**given)
 
 
 def analyse(docs: DataFrame, settings: Settings = Settings(), findings: DataFrame | None = None) -> DataFrame:
@@ -51,7 +61,7 @@ def analyse(docs: DataFrame, settings: Settings = Settings(), findings: DataFram
     patterned = forms.withColumn("forms", F.concat(F.array("value"), "variants")).withColumn("pattern", _pattern("forms", "inflect"))
     counts = occurrences.count_occurrences(docs.select("doc_id", "text"), patterned)
     totals = counts.groupBy("entity_id").agg(F.sum("n").alias("total"), F.count("*").alias("documents"))
-    return entities.ordered(forms.join(totals, "entity_id"))
+    return entities.ordered(forms.withColumn("selected", F.lit(True)).join(totals, "entity_id"))
 
 
 def _pattern(forms: str, inflect: str) -> Column:
@@ -85,3 +95,19 @@ def redact_documents(docs: DataFrame, reviewed: DataFrame, settings: Settings =
 
 def restore_documents(docs: DataFrame, mapping: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return redact.restore(docs, mapping, prefix=settings.prefix, suffix=settings.suffix)
+
+
+def scan(docs: DataFrame, client: model.Client, settings: Settings = Settings(), concurrency: int = 3) -> tuple[DataFrame, DataFrame]:
+    """A model's findings for ``analyse``, and the warnings of chunks it didn't answer for; each chunk is asked about once."""
+    pieces = chunks.chunks(paragraphs(docs), settings.chunk_chars)
+    answers = model.replies(pieces, client, concurrency=concurrency).persist()
+    return model.findings(answers), model.warnings(answers)
+
+
+def review(reviewed: DataFrame, patches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Entities after a reviewer's changes; totals are counted again, as spellings may be others now."""
+    rows = jobs.patched(reviewed.withColumnRenamed("entity_id", "id"), patches).withColumnRenamed("id", "entity_id")
+    patterned = rows.withColumn("forms", F.concat(F.array("value"), "variants")).withColumn("pattern", _pattern("forms", "inflect"))
+    totals = occurrences.count_occurrences(docs.select("doc_id", "text"), patterned).groupBy("entity_id").agg(F.sum("n").alias("total"), F.count("*").alias("documents"))
+    rows = rows.drop("total", "documents", "place").join(totals, "entity_id", "left").fillna(0, ["total", "documents"])
+    return entities.ordered(rows)

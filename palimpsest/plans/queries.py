@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import display, reply
+from palimpsest.functions import display, messages, reply
 from palimpsest.functions import text as T
 from palimpsest.functions.constants import CATEGORIES, DASHES, GENERIC, LEGAL_FORMS, LEGAL_PREFIXES, MEDIA_TYPES, PUNCTUATION, QUOTES, SUPPORTED
 from palimpsest.operators import candidates, chunks, detect, entities, jobs, leaves, ledger, manifest, occurrences, redact
 from palimpsest.plans.registry import QUERIES, SQL, Rows, _written, query
-from palimpsest.sources import ooxml
+from palimpsest.sources import model, ooxml
 from palimpsest.sources.tables import grouped_leaves, paragraphs, spread, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -702,6 +702,45 @@ def _(spark, sf_dir):
     return STATUSES.df(spark).select("status", reply.retry_class(F.col("status")).alias("class"))
 
 
+@query("dedup_key", f"SELECT md5(x) AS id, replace(lower({NORMAL.replace('(x,', '(nfc_normalize(x),')}), 'ß', 'ss') AS key FROM {ALL_VALUES}")
+def _(spark, sf_dir):
+    return spelled(spark, sf_dir).select(F.md5("x").alias("id"), T.dedup_key(F.col("x")).alias("key"))
+
+
+@query("truncate_log", "SELECT doc_id, left(text, 300) AS line FROM documents")
+def _(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.left("text", F.lit(300)).alias("line"))
+
+
+@query("chunk_sizes", f"SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM {UNIQUE} GROUP BY doc_id")
+def _(spark, sf_dir):
+    return chunks.unique_paragraphs(paragraphs(docs(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("skip_errors", "SELECT doc_id FROM documents WHERE n_chars > 100")
+def _(spark, sf_dir):
+    marked = docs(spark, sf_dir).select("doc_id", F.when(F.col("n_chars") <= 100, "not_ooxml").alias("error"))
+    return marked.where("error is null").select("doc_id")
+
+
+@query("messages", " UNION ALL ".join(f"SELECT {_written(k)} AS key, {_written(lang)} AS lang, {_written(texts[i])} AS text" for k, texts in messages.MESSAGES.items() for i, lang in enumerate(("ru", "en"))))
+def _(spark, sf_dir):
+    rows = spark.createDataFrame([(k, lang) for k in messages.MESSAGES for lang in ("ru", "en")], "key string, lang string")
+    return rows.select("key", "lang", messages.message_column(F.col("key"), F.col("lang")).alias("text"))
+
+
+@query("headers", "SELECT * FROM (VALUES ('Content-Type', 'application/json'), ('X-Key', 'secret'), ('X-Tenant', 'b')) AS _(name, value)")
+def _(spark, sf_dir):
+    own = model.Endpoint("http://x", "m", "secret", "X-Key", "", extra_headers=(("X-Tenant", "b"),)).headers()
+    return spark.createDataFrame(sorted(own.items()), "name string, value string")
+
+
+@query("scan_findings", f"SELECT DISTINCT doc_id, 'ORG' AS category, w AS value FROM {UNIQUE}, (SELECT unnest([{listed(WORDS)}]) AS w) WHERE contains(left(text, 9000), w)")
+def _(spark, sf_dir):
+    asked = model.replies(chunks.chunks(paragraphs(docs(spark, sf_dir))), model.gazetteer({"org": WORDS}), concurrency=8)
+    return model.findings(asked).select("doc_id", "category", "value").distinct()
+
+
 # ---- detectors: documents, pages and cases that the tables lack
 
 CASES = Rows("id bigint, text string", [(-i - 1, t) for i, t in enumerate([
@@ -740,6 +779,13 @@ for _name in RE2:
     detector(_name)
 
 
+@query("detect_all", " UNION ALL ".join(f"SELECT id, '{n}' AS rule, match_ord, value FROM ({SQL[f'detect_{n.lower()}']})" for n in RE2))
+def _(spark, sf_dir):
+    rows = CASES.df(spark).unionByName(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+    rows = rows.unionByName(spread(table(spark, sf_dir, "pages")).select((F.col("page_id") + 1_000_000_000).alias("id"), F.col("html").alias("text")))
+    return detect.hits(rows, "id", "text", list(RE2)).select("id", "rule", "match_ord", "value")
+
+
 # ---- jobs, over the log of events
 
 

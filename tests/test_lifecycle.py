@@ -1,9 +1,15 @@
 """Analyse, redact and restore; streams; jobs."""
 
+import io
+import json
+import zipfile
+
 from pyspark.sql import functions as F
 
-from palimpsest.operators import redact
+from palimpsest.functions.messages import message
+from palimpsest.operators import manifest, redact
 from palimpsest.plans import lifecycle
+from palimpsest.sources import model, prompts
 from palimpsest.streaming import redaction
 
 TEXTS = ["Write to Ann@x.org or ann@x.org\nCall +7 (495) 123-45-67", "ann@x.org again, ANN@X.ORG.", None, ""]
@@ -54,3 +60,55 @@ def test_sessions_expire(spark, tmp_path):
     redaction.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(r["job_id"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 2), ("b", 1)}
+
+
+def test_model_scan_and_review(spark):
+    docs = spark.createDataFrame([(1, "Acme met Bolt.\nAcme left."), (2, "nothing"), (3, None)], "doc_id bigint, text string")
+    found, warned = lifecycle.scan(docs, model.gazetteer({"org": ["Acme", "Bolt"]}))
+    assert warned.count() == 0
+    first = lifecycle.analyse(docs, findings=found)
+    rows = {r["value"]: r for r in first.collect()}
+    assert {k: r["total"] for k, r in rows.items()} == {"Acme": 2, "Bolt": 1}
+    patches = spark.createDataFrame([(rows["Bolt"]["entity_id"], None, None, ["nothing"], "person", 1), (rows["Acme"]["entity_id"], False, None, None, None, 2)], "id string, selected boolean, inflect boolean, variants array<string>, category string, seq int")
+    after = {r["value"]: r for r in lifecycle.review(first, patches, docs).collect()}
+    assert after["Bolt"]["total"] == 2 and after["Bolt"]["category"] == "PERSON" and not after["Acme"]["selected"]
+    out = lifecycle.redact_documents(docs, lifecycle.review(first, patches, docs))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "Acme met [[PERSON_001]].\nAcme left.", 2: "[[PERSON_001]]", 3: None}
+
+
+def test_what_a_model_does_wrong(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["raise", "think", "prose", "shape", "fine"])], "doc_id bigint, text string")
+
+    def client(messages):
+        text = messages[-1]["content"]
+        if "raise" in text:
+            raise TimeoutError("late")
+        said = {"think": "<think>{", "prose": "none", "fine": '```json\n{"entities": [{"text": "x y"}, 3]}\n```'}
+        own = next((v for k, v in said.items() if k in text), None)
+        return "{}" if own is None else json.dumps({"data": {"choices": [{"message": {"content": own}}]}})
+
+    answers = model.replies(lifecycle.chunks.chunks(lifecycle.paragraphs(docs)), client)
+    assert {r["doc_id"]: r["code"] for r in model.warnings(answers).collect()} == {0: "model_failed", 1: "model_unclosed", 2: "model_no_json", 3: "model_failed"}
+
+
+def test_settings_of_the_environment():
+    own = lifecycle.Settings.from_env({"PALIMPSEST_DETECTORS": "EMAIL, URL,", "PALIMPSEST_CHUNK_CHARS": "50", "PALIMPSEST_PREFIX": "<"})
+    assert (own.detectors, own.chunk_chars, own.prefix, own.suffix) == (("EMAIL", "URL"), 50, "<", "]]")
+
+
+def test_prompt_files(tmp_path):
+    (tmp_path / "a.json").write_text('[{"task": "do {x}", "examples": " ", "other": 1}]')
+    layers = prompts.load(str(tmp_path / "a.json"))
+    assert layers == {"task": "do {x}"}
+    assert prompts.messages(layers, {"x": "{y}"}) == [{"role": "user", "content": "[LAYER 1/1]\ndo {y}"}]
+
+
+def test_messages():
+    assert message("file_too_large", "en", name="a", mb=50) == "a: larger than 50 MB."
+    assert message("unmapped_tags", "xx", count=1) == "Меток без значения: 1 ({tags})." and message("odd") == "odd"
+
+
+def test_archives(spark):
+    rows = spark.createDataFrame([("j", "b.docx", b"2"), ("j", "a.docx", b"1"), ("k", "mapping.json", b"{}")], "job_id string, member string, content binary")
+    got = {r["job_id"]: zipfile.ZipFile(io.BytesIO(r["archive"])) for r in manifest.archives(rows).collect()}
+    assert got["j"].namelist() == ["a.docx", "b.docx"] and got["k"].read("mapping.json") == b"{}"
