@@ -42,8 +42,8 @@ def _runs(x: np.ndarray, n: int, by: np.uint64) -> np.ndarray:
     return _mixed(out)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
 def anchors(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,19 +61,25 @@ def anchors(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndarr
     return x, grams, owner
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """An Arrow column with one list for each array."""
+    offsets = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+
 def _seeds(window: int):
     def run(batches):
         for batch in batches:
-            hashes, docs, places = [], [], []
+            uids, hashes, places = [], [], []
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, grams, owner = anchors(_words(text), window)
                 if len(owner):
-                    own = np.unique(owner)
-                    hashes.append(grams[own].view(np.int64))
-                    docs.append(np.full(len(own), uid, np.int64))
-                    places.append(own.astype(np.int32))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs, places)], names=["anchor", "uid", "place"])
+                    own = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    uids.append(uid)
+                    hashes.append(grams[owner[own]].view(np.int64))
+                    places.append(owner[own].astype(np.int32))
+            if uids:
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), _lists(hashes), _lists(places)], names=["uid", "anchors", "places"])
 
     return run
 
@@ -81,8 +87,7 @@ def _seeds(window: int):
 def _extended(window: int):
     def run(batches):
         for batch in batches:
-            rows = [[], [], [], []]
-            lists, lengths = [], []
+            rows, lists = [[], [], [], []], []
             for uid, text, seeds in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 x, grams, owner = anchors(_words(text), window)
                 whole = _runs(x, window, _B).view(np.int64)
@@ -94,12 +99,9 @@ def _extended(window: int):
                 rows[1].append(np.array([share % n if n > 1 else -1 for _, n in seeds], np.int64))
                 rows[2].append(np.full(len(own), uid, np.int64))
                 rows[3].append(low.astype(np.int64))
-                lengths.append(high - low)
                 lists.extend(whole[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True))
             if lists:
-                offsets = np.r_[0, np.cumsum(np.concatenate(lengths))].astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(r)) for r in rows), values], names=["anchor", "share", "uid", "low", "windows"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(r)) for r in rows), _lists(lists)], names=["anchor", "share", "uid", "low", "windows"])
 
     return run
 
@@ -114,12 +116,13 @@ def _repeats(first_ones: bool):
     def run(batches):
         at, seen = None, set()
         for batch in batches:
+            if first_ones:
+                batch = batch.filter(pa.array(batch.column(1).to_numpy() >= 0))
             heads = [batch.column(i).to_pylist() for i in range(4)]
-            windows = batch.column(4).to_pylist()
+            hashes, offsets = batch.column(4).values.to_numpy().tolist(), batch.column(4).offsets.to_numpy().tolist()
             out = [[], [], [], [], []]
-            for anchor, share, uid, low, own in zip(*heads, windows, strict=True):
-                if first_ones and share < 0:
-                    continue
+            for anchor, share, uid, low, begins, ends in zip(*heads, offsets, offsets[1:], strict=False):
+                own = hashes[begins:ends]
                 if at != (anchor, share):
                     at, seen = (anchor, share), set()
                 begin = None
@@ -155,7 +158,7 @@ def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 2000) -> DataFrame:
-    """(key, text, spans) for each row: the words [a, z) to remove, merged and in order, or null.
+    """(key, text, spans) for each row: the text's bytes, and word ranges [a, z) to remove or null.
 
     A word goes if a window of ``window`` consecutive words covers it that also
     starts at an earlier place: in a row with a smaller key, or earlier in the
@@ -164,10 +167,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     space separates; null and empty texts have none, and a text shorter than the
     window loses none.  Windows are judged on the input.
     """
-    rows = _ordered(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", "text")
-    seeds = rows.select("uid", "text").mapInArrow(_seeds(window), "anchor long, uid long, place int")
-    again = seeds.groupBy("anchor").count().where("count > 1").withColumn("shares", F.ceil(F.col("count") / crowd).cast("int")).drop("count")
-    places = seeds.join(again, "anchor").groupBy("uid").agg(F.collect_list(F.struct("place", "shares")).alias("seeds"))
+    rows = _ordered(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")), "key", "text")
+    # One short row a text; kept, as it's read once to count the anchors and once to place them.
+    seeds = cut(rows.select("uid", "text").mapInArrow(_seeds(window), "uid long, anchors array<long>, places array<int>"))
+    half = F.shiftright("anchor", 32).alias("half")
+    again = seeds.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1")
+    again = again.select("anchor", half, F.ceil(F.col("count") / crowd).cast("int").alias("shares"))
+    each = seeds.select("uid", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("uid", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
+    # The second key has both sides dealt out for this join alone, so that a partition with a common anchor can be split.
+    places = each.select("uid", "anchor", half, "place").join(again, ["anchor", "half"]).groupBy("uid").agg(F.collect_list(F.struct("place", "shares")).alias("seeds"))
     # With all columns, so that the texts dealt out here are dealt out once for both joins.
     found = rows.join(places, "uid").select("uid", "text", "seeds", "key")
     windows = found.mapInArrow(_extended(window), "anchor long, share long, uid long, low long, windows array<long>")
