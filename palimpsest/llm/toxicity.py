@@ -51,7 +51,8 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = positive @ w + b, unlabelled @ w + b
+        narrow = w.astype(positive.dtype)  # as the matrices are, which would be widened in every step otherwise
+        zp, zu = positive @ narrow + b, unlabelled @ narrow + b
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up, gp = -sigmoid(-zp) * prior / len(zp), sigmoid(zp) * prior / len(zp)
         gu = sigmoid(zu) / len(zu)
@@ -59,7 +60,8 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
             gp, gu = up - gp, gu
         else:
             gu = -gu
-        grad = np.r_[positive.T @ gp + unlabelled.T @ gu + decay * w, gp.sum() + gu.sum()]
+        slope = gp.astype(positive.dtype) @ positive + gu.astype(positive.dtype) @ unlabelled
+        grad = np.r_[slope + decay * w, gp.sum() + gu.sum()]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
