@@ -207,7 +207,7 @@ def predict(trees: list, start: float, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 20_000, precision: float = 0.95, least: int = 5) -> Trees:
-    """Trees from the candidates of about ``sample`` documents, chosen by a hash of their key.
+    """Trees from the candidates of about ``sample`` documents, chosen by a hash of their key; 20 a document at most on average.
 
     Half of them (by hash) fit the trees, the other half sets each kind's
     threshold: the least at which ``precision`` of the positives it lets through
@@ -216,10 +216,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     count = docs.count()
     part = F.pmod(F.xxhash64(F.lit("pii"), ident), F.lit(1 << 20))
-    some = docs.select(F.col(f"`{text}`").alias("t"), F.pmod(F.xxhash64(F.lit("half"), ident), F.lit(2)).alias("half"), part.alias("part"))
+    some = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.lit("order"), ident).alias("place"), F.pmod(F.xxhash64(F.lit("half"), ident), F.lit(2)).alias("half"), part.alias("part"))
     some = some.where(F.col("part") < int((1 << 20) * min(1.0, sample / max(count, 1))) + (count <= sample))
-    rows = candidates(some, "t").select("half", F.explode("pii_candidates").alias("c")).where("c.label is not null")
-    got = np.array([tuple(r) for r in rows.select("half", "c.label", *[f"c.{f}" for f in FEATURES]).limit(20 * sample).collect()], float).reshape(-1, 2 + len(FEATURES))
+    rows = candidates(some, "t").select("half", "place", F.explode("pii_candidates").alias("c")).where("c.label is not null")
+    rows = rows.orderBy("place", "c.a", "c.z", "c.kind").limit(20 * sample)
+    got = np.array([tuple(r) for r in rows.select("half", "c.label", *[f"c.{f}" for f in FEATURES]).collect()], float).reshape(-1, 2 + len(FEATURES))
     got = got[np.lexsort(got.T)]
     first, second = got[got[:, 0] == 0], got[got[:, 0] == 1]
     none = dict.fromkeys(KINDS, 2.0)
