@@ -41,9 +41,9 @@ def message(key: str, lang: str = LANGUAGES[0], **values: object) -> str:
 
 def message_column(key: Column, lang: Column) -> Column:
     """The unfilled message of a column of keys."""
-    out = key
-    for at, code in reversed(list(enumerate(LANGUAGES))):
-        known = F.create_map(*[F.lit(x) for k, texts in MESSAGES.items() for x in (k, texts[at])])
-        own = F.coalesce(F.try_element_at(known, key), key)
-        out = F.when(lang == code, own).otherwise(own if at == 0 else out)
+    found = [F.create_map(*[F.lit(x) for k, texts in MESSAGES.items() for x in (k, texts[at])]) for at in range(len(LANGUAGES))]
+    own = [F.coalesce(F.try_element_at(known, key), key) for known in found]
+    out = own[0]
+    for code, text in zip(LANGUAGES[1:], own[1:], strict=True):
+        out = F.when(lang == code, text).otherwise(out)
     return out

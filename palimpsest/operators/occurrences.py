@@ -13,10 +13,18 @@ from palimpsest.functions.text import entity_pattern
 
 #: Letters of a form's first word that an ending can't change: inflecting words have four or more.
 PREFIX = 3
+#: Up to so many entities their anchors are broadcast; beyond it both sides are shuffled, and hot words are split.
+BROADCAST_ENTITIES = 20_000
 
+_RUN = r"(?U)[\p{L}\p{N}_]+"
 
-def _anchor(word: Column) -> Column:
-    return F.lower(F.left(word, F.lit(PREFIX)))
+
+def _prefix(word: Column) -> Column:
+    return F.concat(F.lit("~"), F.left(word, F.lit(PREFIX)))
+
+
+def _whole(word: Column) -> Column:
+    return F.concat(F.lit("="), word)
 
 
 def patterns(entities: list[dict]) -> list[tuple[str, str, list[str]]]:
@@ -28,15 +36,22 @@ def patterns(entities: list[dict]) -> list[tuple[str, str, list[str]]]:
 def count_occurrences(docs: DataFrame, forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(entity_id, key, n): the matches of each entity's pattern in each text, where there are any.
 
-    ``forms`` has entity_id, pattern and forms (its spellings).  The texts are
-    shuffled once and only where a form may stand, the words of a text as
-    (key, prefix) pairs once.  Forms without a letter or digit are compared with every text.
+    ``forms`` has entity_id, pattern and forms (its spellings), and may have
+    inflect.  A form is looked for in texts that have its first word, or the
+    beginning of that if it inflects.  The texts are shuffled once and only where a
+    form may stand.  Forms without a letter or digit are compared with every text.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
-    found = docs.select(key, F.explode(F.array_distinct(F.concat(F.transform(words, _anchor), F.array(F.lit(""))))).alias("anchor"))
-    spelled = forms.select("entity_id", "pattern", F.explode("forms").alias("form"))
-    anchors = spelled.select("entity_id", "pattern", _anchor(F.regexp_extract("form", r"(?U)[\p{L}\p{N}_]+", 0)).alias("anchor")).distinct()
-    pairs = found.join(anchors, "anchor").groupBy(key).agg(F.collect_set(F.struct("entity_id", "pattern")).alias("tried"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_RUN), F.lit(0)))
+    keys = F.concat(F.transform(words, _whole), F.array(F.lit("=")))
+    inflects = F.coalesce(F.col("inflect"), F.lit(False)) if "inflect" in forms.columns else F.lit(False)
+    if "inflect" in forms.columns:
+        keys = F.concat(keys, F.array_distinct(F.transform(words, _prefix)))
+    found = docs.select(key, F.explode(keys).alias("anchor"))
+    spelled = forms.select("entity_id", "pattern", inflects.alias("inflects"), F.explode("forms").alias("form"))
+    first = F.lower(F.regexp_extract("form", _RUN, 0))
+    anchors = spelled.select("entity_id", "pattern", F.when(F.col("inflects") & (first != ""), _prefix(first)).otherwise(_whole(first)).alias("anchor")).distinct()
+    few = forms.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+    pairs = found.join(F.broadcast(anchors) if few else anchors, "anchor").groupBy(key).agg(F.collect_set(F.struct("entity_id", "pattern")).alias("tried"))
     both = docs.select(key, text).join(pairs, key)
     counted = F.transform("tried", lambda e: F.struct(e["entity_id"].alias("entity_id"), F.regexp_count(F.col(text), F.concat(F.lit("(?U)"), e["pattern"])).alias("n")))
     return both.select(key, F.explode(counted).alias("c")).where("c.n > 0").select("c.entity_id", key, "c.n")

@@ -10,7 +10,7 @@ from palimpsest.functions.messages import message
 from palimpsest.operators import manifest, redact
 from palimpsest.plans import lifecycle
 from palimpsest.sources import model, prompts
-from palimpsest.streaming import redaction
+from palimpsest.streaming import redaction, tags
 
 TEXTS = ["Write to Ann@x.org or ann@x.org\nCall +7 (495) 123-45-67", "ann@x.org again, ANN@X.ORG.", None, ""]
 
@@ -112,3 +112,13 @@ def test_archives(spark):
     rows = spark.createDataFrame([("j", "b.docx", b"2"), ("j", "a.docx", b"1"), ("k", "mapping.json", b"{}")], "job_id string, member string, content binary")
     got = {r["job_id"]: zipfile.ZipFile(io.BytesIO(r["archive"])) for r in manifest.archives(rows).collect()}
     assert got["j"].namelist() == ["a.docx", "b.docx"] and got["k"].read("mapping.json") == b"{}"
+
+
+def test_tags_of_a_stream_never_change(spark, tmp_path):
+    schema = "job_id string, category string, key string, value string"
+    for name, rows in (("1", [("j", "ORG", "b", "B"), ("j", "ORG", "a", "A"), ("j", "id no", "x", "X")]), ("2", [("j", "ORG", "a", "A"), ("j", "ORG", "0", "O"), ("k", "ORG", "a", "A")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = tags.append_only_tags(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        redaction.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {(r["job_id"], r["key"]): r["tag"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("j", "a"): "[[ORG_001]]", ("j", "b"): "[[ORG_002]]", ("j", "x"): "[[ID_NO_001]]", ("j", "0"): "[[ORG_003]]", ("k", "a"): "[[ORG_001]]"}

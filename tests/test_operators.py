@@ -23,7 +23,7 @@ def texts(n, seed):
 def test_occurrences_are_what_each_pattern_finds(spark):
     rows = texts(300, 1)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    forms = spark.createDataFrame([(i, T.entity_pattern(f, inf), f) for i, f, inf in ENTITIES], "entity_id string, pattern string, forms array<string>")
+    forms = spark.createDataFrame([(i, T.entity_pattern(f, inf), f, inf) for i, f, inf in ENTITIES], "entity_id string, pattern string, forms array<string>, inflect boolean")
     got = {(r["entity_id"], r["doc_id"]): r["n"] for r in occurrences.count_occurrences(docs, forms).collect()}
     want = {}
     for i, f, inf in ENTITIES:
