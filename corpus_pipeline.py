@@ -40,7 +40,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with ``copies``: whole repetitions, and ``part``: words of a partial one."""
+    """The documents the mix takes, each once, with how often: whole copies and the words of a partial one."""
     return mixing.counted(docs)
 
 

@@ -112,18 +112,27 @@ def _decided(docs: DataFrame, key: str, text: str, source: str, weights: tuple[i
     out = docs.withColumn(size, words(F.col(f"`{text}`")))
     out = out.join(F.broadcast(how) if _few(how) else how, F.col(f"`{source}`").eqNullSafe(F.col("__mix_source")))
     out = out.withColumn(taken, _taken(F.col(size), _draw(F.col(f"`{key}`"), seed), "__mix_")).where(F.col(taken) > 0)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, taken), size, taken
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], size, taken, "__mix_source_size", "__mix_target"), size, taken
 
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each once, with how often it takes them.
 
     ``copies`` is the number of whole repetitions and ``part`` the words of a
-    partial one (0: none); a column of ``docs`` of one of these names is replaced.
+    partial one (0: none); size, source_size, target and taken are those of
+    ``mix``.  A column of ``docs`` of one of these names is replaced.
     """
     out, size, taken = _decided(docs, key, text, source, weights, share, epochs, seed)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copies", "part")]
-    return out.select(*kept, F.floor(F.col(taken) / F.col(size)).alias("copies"), F.pmod(F.col(taken), F.col(size)).alias("part"))
+    new = {
+        "size": F.col(size),
+        "source_size": F.col("__mix_source_size"),
+        "target": F.col("__mix_target"),
+        "taken": F.col(taken),
+        "copies": F.floor(F.col(taken) / F.col(size)),
+        "part": F.pmod(F.col(taken), F.col(size)),
+    }
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    return out.select(*kept, *[v.alias(k) for k, v in new.items()])
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:

@@ -124,10 +124,54 @@ FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
 
+OP7_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS key
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)),
+later AS (SELECT r, i FROM windows QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, r, i) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS place FROM later),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body FROM words ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
+def _listed(rows) -> str:
+    return ", ".join(f"('{label}', {[w.decode() for w in words]}, {least})" for label, words, least in rows)
+
+
+OP10_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT r, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM docs),
+phrases(label, own, least) AS (VALUES {_listed((k, licenses.tokens(v), 0) for k, v in licenses.PHRASES.items())}),
+notices(label, own, least) AS (VALUES {_listed(licenses.Notices(licenses.NOTICES, {}, 0.8).rows)}),
+base AS (
+  SELECT r, label, i - 1 AS at_word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words), phrases
+  WHERE w[i] = own[1] AND w[i : i + len(own) - 1] = own),
+lines AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM docs),
+found AS (
+  SELECT r, label, len(list_intersect(own, w)) / len(own) AS share FROM lines, notices
+  WHERE len(list_intersect(own, w)) >= least),
+of_base AS (
+  SELECT r, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM base GROUP BY r),
+of_all AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+  FROM (SELECT r, label, share FROM found UNION ALL SELECT r, label, 1.0 FROM base) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(share, 0)::DOUBLE AS score
+FROM words LEFT JOIN of_base USING (r) LEFT JOIN of_all USING (r)
+"""
+
+
 def queries() -> dict:
     found = (op1_simhash, op2_ann, op3_pii, op4_toxicity, op5_mixing, op6_decontaminate, op7_substring, op8_quality, op9_html, op10_licenses)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op5_mixing": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_substring": OP7_SQL, "op10_licenses": OP10_SQL}
