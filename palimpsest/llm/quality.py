@@ -58,10 +58,12 @@ def fit(docs: DataFrame, target: str, text: str = "text", size: int = BUCKETS) -
     return np.log(share[1]) - np.log(share[0])
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", share: float = 0.5, seed: int = 23, size: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", share: float = 0.5, seed: int = 23, size: int = BUCKETS, targets: int = 20_000) -> DataFrame:
     """(key, log_weight, draw, selected) for each row of ``docs``.
 
-    The target is the rows whose label ``good`` is 1; raw text is every row.
+    The target model is of rows whose label ``good`` is 1, at most ``targets``
+    keys of them, those with the least hash, so that the keys can be broadcast and no text is
+    shuffled to find them.  The raw model counts every row.
     log_weight is the mean log ratio of a text's buckets times the square root of their
     number, so that long texts don't settle everything; 0 for null and empty
     texts and without any target.  draw adds Gumbel noise from a hash of seed,
@@ -72,8 +74,9 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     ident = F.col(f"`{key}`")
     chosen = labels.where(F.col(f"`{good}`") == 1).select(ident.alias("k")).where("k is not null").distinct()
+    chosen = cut(chosen.orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(targets))
     rows = docs.select(ident.alias("key"), F.col(f"`{text}`").alias("text"))
-    marked = rows.join(chosen, F.col("key") == F.col("k"), "left").select("key", "text", F.col("k").isNotNull().alias("good"))
+    marked = rows.join(F.broadcast(chosen), F.col("key") == F.col("k"), "left").select("key", "text", F.col("k").isNotNull().alias("good"))
     ratios = fit(marked, "good", "text", size)
     held = docs.sparkSession.sparkContext.broadcast(ratios)
     kind = docs.schema[key].dataType.simpleString()
