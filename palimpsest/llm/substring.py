@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut
@@ -67,6 +67,16 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
 
+def _packed(high: str, low: str) -> Column:
+    """Two numbers below 2**31 as one long: a quarter of a struct's size in an array."""
+    return F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)
+
+
+def _unpacked(longs) -> tuple[np.ndarray, np.ndarray]:
+    both = np.array(longs, np.int64)
+    return both >> 32, both & 0xFFFFFFFF
+
+
 def _seeds(window: int):
     def run(batches):
         for batch in batches:
@@ -91,12 +101,13 @@ def _extended(window: int):
             for uid, text, seeds in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 x, grams, owner = anchors(_words(text), window)
                 whole = _runs(x, window, _B).view(np.int64)
-                seeds = sorted((s["place"], s["shares"]) for s in seeds)
-                own = np.array([p for p, _ in seeds])
+                shares, own = _unpacked(seeds)
+                order = np.argsort(own)
+                shares, own = shares[order], own[order]
                 low, high = np.searchsorted(owner, own, "left"), np.searchsorted(owner, own, "right")
                 rows[0].append(grams[own].view(np.int64))
-                share = int(_mixed(np.array([uid], np.int64).view(np.uint64))[0])
-                rows[1].append(np.array([share % n if n > 1 else -1 for _, n in seeds], np.int64))
+                share = _mixed(np.array([uid], np.int64).view(np.uint64))
+                rows[1].append(np.where(shares > 1, (share % shares.astype(np.uint64)).astype(np.int64), -1))
                 rows[2].append(np.full(len(own), uid, np.int64))
                 rows[3].append(low.astype(np.int64))
                 lists.extend(whole[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True))
@@ -158,7 +169,7 @@ def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 2000) -> DataFrame:
-    """(key, text, spans) for each row: the text's bytes, and word ranges [a, z) to remove or null.
+    """(key, text, spans) for each row: the text's bytes, and word ranges to remove, packed as a << 32 | z, or null.
 
     A word goes if a window of ``window`` consecutive words covers it that also
     starts at an earlier place: in a row with a smaller key, or earlier in the
@@ -175,7 +186,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     again = again.select("anchor", half, F.ceil(F.col("count") / crowd).cast("int").alias("shares"))
     each = seeds.select("uid", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("uid", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
     # The second key has both sides dealt out for this join alone, so that a partition with a common anchor can be split.
-    places = each.select("uid", "anchor", half, "place").join(again, ["anchor", "half"]).groupBy("uid").agg(F.collect_list(F.struct("place", "shares")).alias("seeds"))
+    places = each.select("uid", "anchor", half, "place").join(again, ["anchor", "half"]).groupBy("uid").agg(F.collect_list(_packed("shares", "place")).alias("seeds"))
     # With all columns, so that the texts dealt out here are dealt out once for both joins.
     found = rows.join(places, "uid").select("uid", "text", "seeds", "key")
     windows = found.mapInArrow(_extended(window), "anchor long, share long, uid long, low long, windows array<long>")
@@ -185,14 +196,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     firsts = met.mapInArrow(_repeats(True), schema)
     order = Window.partitionBy("anchor", "w").orderBy("uid", "a")
     later = firsts.withColumn("n", F.row_number().over(order)).where("n > 1").select("uid", "a", "z")
-    spans = late.unionByName(later).groupBy("uid").agg(F.collect_list(F.struct("a", (F.col("z") + window).alias("z"))).alias("spans"))
+    spans = late.unionByName(later).select("uid", "a", (F.col("z") + window).alias("z")).groupBy("uid").agg(F.collect_list(_packed("a", "z")).alias("spans"))
     return rows.join(spans, "uid", "left").select("key", "text", "spans")
 
 
 def _kept(words: list[bytes], spans) -> list[bytes]:
     keep = np.ones(len(words), bool)
-    for s in spans or ():
-        keep[s["a"] : s["z"]] = False
+    for a, z in zip(*_unpacked(spans), strict=True):
+        keep[a:z] = False
     return [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
