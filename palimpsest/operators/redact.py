@@ -24,9 +24,9 @@ def alternation(entities: list[dict]) -> list[tuple[str, str]]:
     return [r for r in rows if r[1]]
 
 
-def woven(text: Column, pattern: str, replaced) -> Column:
-    """``text`` with ``replaced(match)`` for each match, leftmost first, nothing looked at twice."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def woven(text: Column, pattern: str, replaced, found: Column | None = None) -> Column:
+    """``text`` with ``replaced(match)`` for each match, leftmost first, nothing looked at twice; ``found`` are the matches, if known."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if found is None else found
     gaps = F.split(text, pattern, -1)
     pieces = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(replaced(F.get(found, i)), F.lit(""))))
     return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
@@ -39,20 +39,35 @@ def matches(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + "|".join(p for _, p in rules)), F.lit(0))
 
 
-def tag_of(match: Column, rules: list[tuple[str, str]]) -> Column:
-    """The tag of the first rule that matches all of ``match``; this is the one that matched in context."""
+def spelled(entities: list[dict], rules: list[tuple[str, str]]) -> dict[str, str]:
+    """Each spelling as it's written, with the tag of the first rule that matches all of it."""
+    compiled = [(tag, re.compile(pattern)) for tag, pattern in rules]
+    forms = dict.fromkeys(f for e in entities for f in [e["value"], *e.get("variants", [])])
+    found = {f: next((tag for tag, p in compiled if p.fullmatch(f)), None) for f in forms}
+    return {f: tag for f, tag in found.items() if tag}
+
+
+def tag_of(match: Column, rules: list[tuple[str, str]], known: dict[str, str] | None = None) -> Column:
+    """The tag of the first rule that matches all of ``match``; this is the one that matched in context.
+
+    What is written like one of the ``known`` spellings is looked up; endings and
+    other quotes, dashes or spaces are tried rule by rule.
+    """
     out = F.lit(None).cast("string")
     for tag, pattern in reversed(rules):
         out = F.when(match.rlike(rf"(?U)\A(?:{pattern})\z"), tag).otherwise(out)
+    if known:
+        table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        out = F.coalesce(F.try_element_at(table, F.coalesce(match, F.lit(""))), out)
     return out
 
 
-def redacted(text: Column, rules: list[tuple[str, str]]) -> Column:
+def redacted(text: Column, rules: list[tuple[str, str]], known: dict[str, str] | None = None, found: Column | None = None) -> Column:
     """``text`` with every value of the rules replaced by its tag."""
     if not rules:
         return text
     if sum(len(p) for _, p in rules) <= NATIVE_CHARS:
-        return woven(text, "(?U)" + "|".join(p for _, p in rules), lambda m: F.when(m.isNotNull(), tag_of(m, rules)))
+        return woven(text, "(?U)" + "|".join(p for _, p in rules), lambda m: F.when(m.isNotNull(), tag_of(m, rules, known)), found)
     return _redactor(rules)(text)
 
 
@@ -75,16 +90,17 @@ def redact(docs: DataFrame, entities: list[dict], text: str = "text") -> DataFra
     rows by nature; it goes along with the plan.  Null texts stay null with 0 replacements.
     """
     rules = alternation(entities)
-    body = F.col(text)
-    count = F.coalesce(F.greatest(F.size(matches(body, rules)), F.lit(0)), F.lit(0))
-    return docs.withColumn("replacements", count).withColumn(text, redacted(body, rules))
+    found = "__matches"
+    rows = docs.withColumn(found, matches(F.col(text), rules))
+    count = F.coalesce(F.greatest(F.size(found), F.lit(0)), F.lit(0))
+    return rows.withColumn("replacements", count).withColumn(text, redacted(F.col(text), rules, spelled(entities, rules), F.col(found))).drop(found)
 
 
 def hits(docs: DataFrame, entities: list[dict], text: str = "text") -> DataFrame:
     """(tag, n): how often each tag is put in, over all texts."""
     rules = alternation(entities)
     rows = docs.select(F.explode(matches(F.col(text), rules)).alias("m"))
-    return rows.groupBy("m").count().groupBy(tag_of(F.col("m"), rules).alias("tag")).agg(F.sum("count").alias("n"))
+    return rows.groupBy("m").count().groupBy(tag_of(F.col("m"), rules, spelled(entities, rules)).alias("tag")).agg(F.sum("count").alias("n"))
 
 
 def tag_pattern(prefix: str = TAG_PREFIX, suffix: str = TAG_SUFFIX) -> str:
