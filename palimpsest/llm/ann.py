@@ -141,7 +141,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
 
     Every row is in the index; the codebooks alone are fitted on a sample
     (``fit``).  With 32 books of 64 words (24 bytes of code) and 400 candidates
-    scored again, 99 % of the true neighbours are found among 51,282 vectors of 64 dimensions.  Queries and codes are dealt out in blocks that meet in pairs;
+    scored again, 98 % of the true neighbours are found among 51,282 vectors of 64 dimensions.  Queries and codes are dealt out in blocks that meet in pairs;
     a task holds one block of each, and hands on a query's best
     ``rerank`` of the block in one row.
     """
