@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from palimpsest.functions import sql
 from palimpsest.functions import text as T
 from palimpsest.functions.constants import DETECTORS
 from palimpsest.operators import detect, redact
@@ -85,3 +86,13 @@ def test_write_back(texts, needle):
     spans = [(m.start(), m.end(), "[X]") for m in re.finditer(re.escape(needle), joined)]
     live = [t for t in texts if t]
     assert "".join(write_back(live, spans)) == joined.replace(needle, "[X]")
+
+
+def test_functions_of_sql(spark):
+    sql.register(spark)
+    rows = samples(60, 7)
+    spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT doc_id, d.rule, d.match_ord, d.value FROM texts, LATERAL detect(text) d").collect()
+    want = detect.hits(spark.table("texts")).select("doc_id", "rule", "match_ord", "value").where("rule <> 'TICKET'").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert spark.sql("SELECT fold_case(normalise_nfkc('Straße ﬁ'))").first()[0] == "strasse fi"
