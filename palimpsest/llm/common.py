@@ -42,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cleared(df: DataFrame, added: list[str], *kept: str) -> DataFrame:
+    """``df`` without columns of the names that an operator adds, whatever their case; ``kept`` stay."""
+    names = {a.lower() for a in added}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in kept or c.lower() not in names])
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}

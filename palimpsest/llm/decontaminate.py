@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ALNUM, cut
+from palimpsest.llm.common import ALNUM, cleared, cut
 
 _WORD = re.compile(ALNUM.encode())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,8 +121,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     rows and items that repeat count each for themselves, items once by name.  An
     empty benchmark hits nothing.  ``hit_spans`` are [start, end) pairs of words.
     With ``cleaned``, the hit words are taken out of ``text`` with the
-    characters between them.  Added columns must not be in ``docs`` yet.
+    characters between them.  A column of ``docs`` of an added name is replaced.
     """
+    docs = cleared(docs, ["n_words", "n_hit", "hit_items", "hit_spans", "contaminated"], text)
     total, slices = _slices(benchmark, item, item_text, most_words)
     sc = docs.sparkSession.sparkContext
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -225,9 +225,9 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFr
     White space within a block is one space, blocks are joined by newlines,
     character references are decoded.  Null and empty pages give an empty text;
     rows stand for themselves, so repeats and ties don't matter; a column named
-    ``out`` is replaced.  Each page is read whole, in one pass.
+    ``out``, whatever its case, is replaced.  Each page is read whole, in one pass.
     """
-    kept = [f for f in pages.schema.fields if f.name not in (html, out)]
+    kept = [f for f in pages.schema.fields if f.name != html and f.name.lower() != out.lower()]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` string"])
 
     def run(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ALNUM
+from palimpsest.llm.common import ALNUM, cleared
 
 #: Phrases that mark a license wherever their words stand together.
 PHRASES = {
@@ -129,9 +129,11 @@ def scan(docs: DataFrame, text: str = "text", notices: list[tuple[str, str]] | N
     over the whole text; found (label, line, share) are the blocks that contain
     a notice; labels are of both; score is the largest share, 1 where a phrase
     is found and 0 where nothing is.  Null and empty texts have no words and
-    lines.  Rows stand for themselves: repeats and ties don't matter.  The added
-    columns must not be in ``docs`` yet.
+    lines.  Rows stand for themselves: repeats and ties don't matter.  A column of
+    ``docs`` of an added name is replaced.
     """
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "found", "score"]
+    docs = cleared(docs, names, text)
     notices = NOTICES if notices is None else notices
     wanted = {k: tokens(v) for k, v in (PHRASES if phrases is None else phrases).items()}
     counts = frequencies(docs, text, notices)
@@ -139,7 +141,6 @@ def scan(docs: DataFrame, text: str = "text", notices: list[tuple[str, str]] | N
     added = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, found array<struct<label:string,line:long,share:double>>, score double"
     kind = pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("share", pa.float64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), kind, pa.float64()]
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "found", "score"]
 
     def run(batches):
         joined = Notices(notices, counts, share)

@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import cleared
+
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -249,10 +251,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Trees
     """``docs`` with base_<kind> (a, z, m) and pii_spans (kind, a, z), sorted by kind as listed, then start.
 
     Null and empty texts have no spans; rows stand for themselves, so repeats,
-    ties and null keys don't matter; the added columns must not be in ``docs``
-    yet.  Each text is read whole.
+    ties and null keys don't matter; a column of ``docs`` of an added name is
+    replaced.  Each text is read whole.
     """
     model = model or fit(docs, key, text, **how)
+    docs = cleared(docs, ["pii_text", "pii_candidates", "pii_spans", *[f"base_{k}" for k in KINDS]], text)
     limits = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(model.thresholds[k]))])
     rows = candidates(docs, text)
     own = F.struct

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cleared, cut
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,12 +73,17 @@ def cut_off(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float
     """Where to cut the sums of a model: at the greatest F1 that can be told from positives and unlabelled text.
 
     Recall is read off the positives; precision is prior x recall over the share
-    of unlabelled text above the cut.  The cut is halfway down to the next sum.
+    of unlabelled text above the cut.  Cuts that put more than twice the prior
+    of it above are out of the question; if all do, nothing is above.  The cut is halfway down to the
+    next sum.
     """
     every = np.unique(np.concatenate([positive, unlabelled]))
     recall = 1 - np.searchsorted(np.sort(positive), every) / len(positive)
     above = 1 - np.searchsorted(np.sort(unlabelled), every) / len(unlabelled)
-    best = int(np.argmax(2 * prior * recall / (prior + above)))
+    f1 = np.where(above <= 2 * prior, 2 * prior * recall / (prior + above), -1.0)
+    best = int(np.argmax(f1))
+    if f1[best] < 0:
+        return float(every[-1] + 1)
     return float((every[best] + every[best - 1]) / 2) if best else float(every[0] - 1)
 
 
@@ -142,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``, from 0 to 1, higher for toxic; null and empty texts score by the bias alone.
 
-    Each text is read whole.  Rows stand for themselves.
+    Each text is read whole.  Rows stand for themselves.  A column of ``docs``
+    named ``out`` is replaced.
     """
+    docs = cleared(docs, [out], text)
     weights, bias = model.weights, model.bias
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

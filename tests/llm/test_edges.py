@@ -325,3 +325,24 @@ def test_pipeline(spark):
     assert 0 < len(rows) < docs_.count() and all(r["copies"] > 0 or r["part"] > 0 for r in rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs_.limit(0), sf).count() == 0
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = docs(spark, ["under the mit license a@b.cd", None, ""])
+    for name in ("n_words", "N_HIT", "contaminated", "score", "found", "labels", "pii_text", "base_email", "pii_spans", "Text_", "size", "draw", "fp"):
+        rows = rows.withColumn(name, F.lit("clash"))
+    bench = spark.createDataFrame([(1, "mit license a")], "item_id bigint, text string")
+    assert decontaminate.scan(rows, bench).agg(F.sum("n_hit")).first()[0] == 3
+    assert licenses.scan(rows).agg(F.sum("n_base")).first()[0] == 1
+    assert pii.find(rows).agg(F.sum(F.size("base_email"))).first()[0] == 1
+    assert toxicity.score(rows, toxicity.Model({}, 0.0)).select("score").distinct().collect()[0][0] == 0.5
+    assert len(simhash.near_duplicates(rows).collect()) == len(substring.deduplicate(rows).collect()) == len(mixing.mix(rows).collect()) == 3
+    assert simhash.deduplicate(rows).columns == rows.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, rows, "/root/testdata/sf0.001").columns == rows.columns, name
+
+
+def test_cut_off():
+    positive, unlabelled = np.array([3.0, 3, 2, 0]), np.r_[np.zeros(90), 2, 3, 3, -1, -1, -1, -1, -1, -1, -1]
+    assert toxicity.cut_off(positive, unlabelled, 0.04) == 1.0
+    assert toxicity.cut_off(np.zeros(5), np.zeros(50), 0.1) > 0  # nothing tells them apart: nothing is toxic
