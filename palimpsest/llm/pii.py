@@ -36,6 +36,8 @@ BASE = {
 }
 #: What a text must have for a pattern of the kind to match at all; cheaper to test.
 NEEDED = {"email": "[@{(\\[]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": "[0-9][0-9][0-9]"}
+#: The same for the base pattern, where the kind's generator needs something else.
+BASE_NEEDED = NEEDED | {"email": "@", "phone": r"\+[0-9]"}
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[({\[]at[)}\]]\x20?)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[({\[]dot[)}\]]\x20?)[A-Za-z0-9-]{1,63}+){1,6}+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+",
@@ -90,7 +92,7 @@ def _checked(kind: str, m: Column) -> Column:
 
 def base_spans(text: Column, kind: str) -> Column:
     spans = F.filter(places(text, BASE[kind]), lambda s: _checked(kind, s["m"]))
-    return F.when(text.rlike(NEEDED[kind] if kind != "email" else "@"), spans).otherwise(_nothing())
+    return F.when(text.rlike(BASE_NEEDED[kind]), spans).otherwise(_nothing())
 
 
 def _overlaps(spans: Column, c: Column) -> Column:

@@ -109,6 +109,14 @@ def test_pii_base(spark):
     assert pii.find(rows.limit(0)).count() == 0
 
 
+def test_pii_base_in_short_groups(spark):
+    texts = ["+33 6 12 34 56 78", "call +49 30 12 34 56 78 now", "+1 2 3 4 5 6 7", "+44 (0) 20-79.46.09.58", "1+2 a@b.c 1.2.3.4 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    for r in pii.find(docs(spark, texts)).collect():
+        assert {k: [(s["a"], s["z"]) for s in r[f"base_{k}"]] for k in pii.KINDS} == brute.private(texts[r["doc_id"]]), r["text"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, texts)).collect()}
+    assert clean[0] == "[PHONE]" and clean[1] == "call [PHONE] now" and clean[2] == texts[2]
+
+
 def test_pii_redaction_and_learning(spark):
     rng = random.Random(2)
 
