@@ -18,10 +18,14 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_QUOTED = r"[^>\"']*+(?:(?:\"[^\"]{0,4096}+\"|'[^']{0,4096}+')[^>\"']*+){0,64}+>"
-_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?=[\s/>])(?:{_QUOTED}|[^>]*+>))", re.S)
+_VALUE = r"\s*+=\s*+(?:\"[^\"]{0,%s}+\"|'[^']{0,%s}+'|(?![\"'])[^\s>]*+)"
+#: Most tags at once; a tag with longer or more values is left to ``_end``.
+_USUAL = rf"(?:[\s/]*+[^\s/>][^\s/>=]*+(?:{_VALUE % (4096, 4096)}|(?!\s*+=))){{0,64}}+[\s/]*+>"
+_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)(?=[\s/>])({_USUAL})?+", re.S)
+_PIECE = re.compile(rf"[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:{_VALUE % ('', '')})?+)")
 _UNENDED = re.compile(r"<[!/]?[A-Za-z][^<>]*\Z")
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NAMED = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>\"']*+)))?+")
+_NAMES = re.compile(r"(?:.*\W)?(class|id|role)", re.I | re.S)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -61,7 +65,10 @@ def _unwanted(tag: str, attributes: str) -> bool:
         return True
     if tag in WANTED or "=" not in attributes:
         return False
-    for name, *values in _NAMED.findall(attributes):
+    for whole, *values in _NAMED.findall(attributes):
+        if not (named := _NAMES.fullmatch(whole)):
+            continue
+        name = named[1]
         for value in "".join(values).split():
             parts = [p.lower() for p in _PARTS.findall(value)]
             for i, part in enumerate(parts):
@@ -72,12 +79,29 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
+def _end(html: str, at: int, stuck: set[int]) -> int:
+    """The end of the tag whose name ends at ``at``: the first > outside quoted values, or where there's none the first > at all, or -1.
+
+    Places from which no such > follows are kept in ``stuck``, so a page is read in linear time.
+    """
+    place, seen = at, []
+    while place not in stuck and (piece := _PIECE.match(html, place)):
+        place = piece.end()
+        if piece[1]:
+            return place
+        seen.append(place)
+    stuck.update(seen)
+    return html.find(">", at) + 1 or -1
+
+
 def parse(html: str) -> Node:
     """The tree of a page; text is its leaves.  Unended elements end with their parent, paragraphs also with the next block."""
     root = top = Node("html", None, False)
-    at, end = 0, len(html)
+    at, end, stuck, last = 0, len(html), set(), html.rfind(">")
     while at < end:
         mark = _MARK.search(html, at)
+        while mark and mark[2] and last < mark.end() and not mark[3]:
+            mark = _MARK.search(html, mark.end())
         text = html[at : mark.start() if mark else end]
         if not mark and (cut := _UNENDED.search(text)):
             text = text[: cut.start()]
@@ -88,6 +112,10 @@ def parse(html: str) -> Node:
         at = mark.end()
         if not mark[2]:
             continue
+        attributes = mark[3]
+        if not attributes:
+            at = _end(html, mark.end(), stuck)
+            attributes = html[mark.end() : at]
         tag = mark[2].lower()
         if mark[1]:
             node = top
@@ -113,12 +141,12 @@ def parse(html: str) -> Node:
             while node.tag in closes and node is not root:
                 top = node.parent
                 node = top
-        node = Node(tag, top, top.out or _unwanted(tag, mark[3]) or (tag == "header" and not _within(top)))
+        node = Node(tag, top, top.out or _unwanted(tag, attributes) or (tag == "header" and not _within(top)))
         top.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
-        elif tag not in VOID and not mark[3].endswith("/>") or tag in {"p", "div", "a", "li"}:
+        elif tag not in VOID and not attributes.endswith("/>") or tag in {"p", "div", "a", "li"}:
             top = node
     return root
 

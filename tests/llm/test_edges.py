@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra and clashing columns."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -296,6 +297,24 @@ def test_pages(name):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize("mark", ['"', "'"])
+def test_long_and_many_quoted_values(mark):
+    long = f"<b>{'x' * 100_000}</b> class=menu > y"
+    many = " ".join(f"a{i}={mark}{i}{mark}" for i in range(500))
+    assert html.extract(f"<article><div data-props={mark}{long}{mark}>Article</div></article>") == "Article"
+    assert html.extract(f"<article><div {many} title={mark}a > b{mark}>Article</div></article>") == "Article"
+    assert html.extract(f"<article><div {many} class={mark}{'x ' * 5000}menu{mark}>Menu</div><p>Article</p></article>") == "Article"
+
+
+def test_unended_quotes_are_read_in_linear_time():
+    started = time.process_time()
+    for piece in ("<a b='", "<a b='>'", '<a b="', "<a ", "<a b='>\" ", "<a b='\"", "<a b=\"'>'"):
+        for n in (20_000, 20_001):
+            html.extract("<p>x" + piece * n)
+            html.extract("<p>x" + piece * n + ">")
+    assert time.process_time() - started < 20
+
+
 def test_pages_odd(spark):
     rows = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 5), (None, "u", "<p>x" * 20_000, 5), (2, "u", "<" * 50_000, 5), (3, "u", "<div>" * 5_000 + "deep", 5)], "page_id bigint, url string, html string, text int")
     out = html.main_text(rows).collect()
