@@ -1,6 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with notices.
 
-A block is a line of a text.  The distinct words of the notices are ordered by
+A block is a line of a text, or a run of words that goes over several lines of a
+paragraph, as a wrapped notice does: at most as many words as the notice has,
+divided by ``share``, in lines none of which contains the notice by itself.  The distinct words of the notices are ordered by
 how many blocks of the whole corpus have them, rarest first.  A notice is
 contained in a block when at least ``share`` of its words are in it; then one of
 its rarest words (its prefix) is in the block, the block isn't shorter than that
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,18 +84,19 @@ class Notices:
     """Notices with their words in the corpus's order and their prefixes, for a join with blocks."""
 
     def __init__(self, notices: list[tuple[str, str]], counts: dict[bytes, int], share: float):
-        self.rows, self.by_prefix = [], {}
+        self.rows, self.widths, self.by_prefix = [], [], {}
         for label, text in notices:
             words = sorted(set(tokens(text)), key=lambda w: (counts.get(w, 0), w))
             least = max(1, math.ceil(share * len(words) - 1e-9))
             number = len(self.rows)
             self.rows.append((label, words, least))
+            self.widths.append(math.ceil(len(tokens(text)) / share - 1e-9))
             for place, w in enumerate(words[: len(words) - least + 1]):
                 self.by_prefix.setdefault(w, []).append((number, place))
         self.prefixes = frozenset(self.by_prefix)
 
-    def join(self, line: list[bytes]):
-        """(label, share of the notice's words) of each notice that the block contains."""
+    def contained(self, line: list[bytes]):
+        """(number, how many of its words) of each notice that the block contains."""
         hits = self.prefixes.intersection(line)
         if not hits:
             return
@@ -101,12 +105,57 @@ class Notices:
             for number, place in self.by_prefix[w]:
                 first[number] = min(first.get(number, place), place)
         for number, place in sorted(first.items()):
-            label, own, least = self.rows[number]
+            _, own, least = self.rows[number]
             if len(words) < least or len(own) - place < least:
                 continue
             both = sum(w in words for w in own[place:])
             if both >= least:
-                yield label, both / len(own)
+                yield number, both
+
+    def join(self, lines: list[list[bytes]]):
+        """(label, line, share of the notice's words) of each notice that a block of the text contains, by the block's first line."""
+        alone = [(i, number, both) for i, line in enumerate(lines) for number, both in self.contained(line)]
+        wrapped, start = [], 0
+        for end in range(len(lines) + 1):
+            if end == len(lines) or not lines[end]:
+                if end - start > 1:
+                    wrapped += self.over_lines(lines, start, end, alone)
+                start = end + 1
+        for i, number, both in sorted(alone + wrapped):
+            label, own, _ = self.rows[number]
+            yield label, i, both / len(own)
+
+    def over_lines(self, lines: list[list[bytes]], start: int, end: int, alone: list[tuple]):
+        """(first line, number, how many words) of the notices that go over several of the paragraph's lines."""
+        for number, _ in self.contained([w for line in lines[start:end] for w in line]):
+            _, own, least = self.rows[number]
+            own, width, held = set(own), self.widths[number], {i for i, n, _ in alone if n == number}
+            at, window, counts, best = 0, deque(), {}, None
+            for i in range(start, end):
+                for w in lines[i] if i not in held else ():
+                    at += 1
+                    if w not in own:
+                        continue
+                    window.append((at, i, w))
+                    counts[w] = counts.get(w, 0) + 1
+                    while window[0][0] <= at - width or counts[window[0][2]] > 1:
+                        old = window.popleft()[2]
+                        counts[old] -= 1
+                        if not counts[old]:
+                            del counts[old]
+                    if len(counts) >= least and (best is None or len(counts) > best[2]):
+                        best = (window[0][1], number, len(counts))
+                    elif len(counts) < least and best:
+                        yield best
+                        best = None
+                if i in held:
+                    if best:
+                        yield best
+                    best = None
+                    window.clear()
+                    counts.clear()
+            if best:
+                yield best
 
 
 def places(words: list[bytes], phrases: dict[str, list[bytes]]):
@@ -127,7 +176,7 @@ def scan(docs: DataFrame, text: str = "text", notices: list[tuple[str, str]] | N
 
     n_words, n_base, first_word, last_word and base_labels are of the phrases,
     over the whole text; found (label, line, share) are the blocks that contain
-    a notice; labels are of both; score is the largest share, 1 where a phrase
+    a notice, by their first line; labels are of both; score is the largest share, 1 where a phrase
     is found and 0 where nothing is.  Null and empty texts have no words and
     lines.  Rows stand for themselves: repeats and ties don't matter.  A column of
     ``docs`` of an added name is replaced.
@@ -150,7 +199,7 @@ def scan(docs: DataFrame, text: str = "text", notices: list[tuple[str, str]] | N
                 lines = _lines(body)
                 words = [w for line in lines for w in line]
                 base = list(places(words, wanted))
-                found = [{"label": k, "line": i, "share": s} for i, line in enumerate(lines) for k, s in joined.join(line)]
+                found = [{"label": k, "line": i, "share": s} for k, i, s in joined.join(lines)]
                 starts = [i for _, i in base]
                 own = sorted({k for k, _ in base})
                 row = [len(words), len(base), min(starts, default=None), max(starts, default=None), own, sorted({*own, *(x["label"] for x in found)}), found, 1.0 if base else max((x["share"] for x in found), default=0.0)]

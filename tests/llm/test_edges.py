@@ -338,6 +338,23 @@ def test_licenses_join_is_exact(spark):
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "mit ": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\r\n# are met:",
+}
+
+
+def test_licenses_of_wrapped_notices(spark):
+    texts = [f"Some code here\n\n{x}\n\nmore of it\n" for x in WRAPPED.values()]
+    texts += [f"A head of this file\n{WRAPPED['gpl']}\nand a tail\n{WRAPPED['bsd']}\nend", "\n\n".join(f"{w} a b c" for w in WRAPPED["gpl"].split())]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert got[i]["labels"] == [label.strip()] and got[i]["score"] >= 0.9 and [f["line"] for f in got[i]["found"]] == [2], texts[i]
+    assert got[4]["labels"] == ["bsd", "gpl"] and got[5]["labels"] == []
+
+
 # ---- the pipeline
 
 
