@@ -1,31 +1,39 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Strict patterns with their checks give the base spans, which always stand.
-Looser generators propose further, overlapping spans; boosted trees score each
-by the format of what it matches and by what stands around it, and those above
-their kind's calibrated threshold are added where nothing overlaps them.
-
-The trees learn from the strict checks.  A candidate that a base span of its kind
-overlaps is a positive; one that fails its checksum or range, that goes on into a
-longer word or that overlaps a base span of another kind is a negative; all
-others are left out of training and only scored.  What tells a base form
-(the plus of a phone number, the sign of an address) is no feature, so what is
-learned carries over to other forms.
+Looser generators propose further spans: phone numbers without a plus, spelled
+out addresses, address parts in brackets, cards of other lengths and groups.
+Boosted trees score each by its format and by what stands around it, and those
+above their kind's calibrated threshold are added where no base span is.
+
+Nothing in a corpus says what is personal, so the trees learn from two weak
+sources.  In a sample of the corpus, a candidate that a base span of its kind
+overlaps is a positive; one that fails its kind's check, or overlaps a base span of
+another kind only, is a negative; the rest has no label.  Beside it stand invented
+sentences (``seeds``) with one number or address in each, personal or not, so
+that every kind has both labels in forms that the base doesn't know.  The checks
+themselves are no features.  A kind's threshold is set on the half that
+the trees didn't see, among candidates without any base span, as only such are ever added.
 
 Positions are code points.  SQL has no function for them, so a text is split at the
-matches and the lengths are added up.  The patterns are possessive where that
-changes nothing, as a repeated group in Java's engine otherwise recurses once a character.
+matches and the lengths are added up, in passes that each double the reach
+(``scanned``), so that a text with very many matches takes n log n steps.  The
+patterns are possessive where that changes nothing, as a repeated group in Java's
+engine otherwise recurses once a character.
 """
 
 from __future__ import annotations
 
+import functools
+import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cleared
+from palimpsest.llm.common import cleared, cut
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -34,45 +42,64 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must have for a pattern of the kind to match at all; cheaper to test.
-NEEDED = {"email": "[@{(\\[]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": "[0-9][0-9][0-9]"}
-#: The same for the base pattern, where the kind's generator needs something else.
-BASE_NEEDED = NEEDED | {"email": "@", "phone": r"\+[0-9]"}
+#: What every match of a base pattern has; cheaper to test.
+BASE_NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
+_AT, _DOT = r"(?:@|\x20?[({\[]at[)}\]]\x20?|\x20at\x20)", r"(?:\.|\x20?[({\[]dot[)}\]]\x20?|\x20dot\x20)"
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[({\[]at[)}\]]\x20?)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[({\[]dot[)}\]]\x20?)[A-Za-z0-9-]{1,63}+){1,6}+",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+",
-    "card": r"(?<![0-9])(?:3[47][0-9]{2}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}|[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:{_AT}[A-Za-z0-9-]{{1,63}}+(?:\x20?[({{\[]dot[)}}\]]\x20?|\x20dot\x20)|(?:@|\x20?[({{\[]at[)}}\]]\x20?)[A-Za-z0-9-]{{1,63}}+\.)[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{0,5}}",
+    "ip": r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:(?:\.|[\[(]\.[\])])[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
+    "phone": r"(?<![0-9A-Za-z.+-])(?:\+|\(|\+\()?[0-9](?:[().\x20/-]{0,3}[0-9]){6,14}(?![0-9A-Za-z]|[.-][0-9])",
 }
+#: The same for the generators.
+NEEDED = {"email": r"@|[({\[]at[)}\]]|\x20dot\x20", "ip": r"[0-9][\])]?\.[\[(]?[0-9]|[\[(]\.[\])]|[0-9A-Fa-f]::?[0-9A-Fa-f]", "card": r"[0-9]{4}|[0-9][\x20.-][0-9]", "phone": r"[0-9]{3}|[0-9][().\x20/-][0-9]"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IN_RANGE = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
+#: Words before a candidate that speak for its kind.
 CONTEXT = {
-    "email": "(?i)mail|contact|write|address|kontakt|schreib|correo|courriel",
-    "ip": r"(?i)\bip\b|host|server|address|addr|from|login",
-    "card": "(?i)card|visa|master|amex|pay|carte|karte|tarjeta",
-    "phone": r"(?i)phone|call|tel|fax|mobil|whatsapp|anruf|appel|llam",
+    "email": "(?i)mail|contact|write|reach|kontakt|schreib|correo|courriel",
+    "ip": r"(?i)\bip|host|server|address|addr|login|client|adresse",
+    "card": "(?i)card|visa|master|amex|pay|carte|karte|tarjeta|debit|credit",
+    "phone": r"(?i)phone|call|reach|number|tel\b|tel[.:]|telefon|fax|mobil|cell|whatsapp|anruf|appel|llam|sms|dial",
 }
-FEATURES = ("kind", "digits", "other", "groups", "bracket", "first", "varied", "checked", "cue", "before", "after", "space")
+#: Words before a number that say that it's something else.
+CONTRARY = r"(?i)order|invoice|total|version|page|isbn|serial|part|item|ticket|case|sum|amount|price|since|dated|\bid\b|\bno\b|\bnr\b|№|#|[$€£]"
+FEATURES = ("kind", "length", "digits", "groups", "first", "last", "longest", "zero", "varied", "dots", "dashes", "spaces", "brackets", "colons", "letters", "year", "cue", "contrary", "before", "after")
 
 _SPANS = "array<struct<a:int,z:int,m:string>>"
+_CANDIDATES = "array<struct<kind:int,a:int,z:int,fails:boolean," + ",".join(f"f_{f}:int" for f in FEATURES) + ",own:boolean,other:boolean>>"
 
 
 def _nothing(kind: str = _SPANS) -> Column:
     return F.array().cast(kind)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each element combined with all before it, for a ``let`` variable; log n passes, of which each reaches twice as far.
+
+    ``combine`` gets null for what would be before the first.
+    """
+    steps = F.filter(F.lit([1 << k for k in range(28)]), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda so_far, s: F.transform(so_far, lambda x, i: combine(x, F.get(so_far, i - s))))
+
+
 def places(text: Column, pattern: str) -> Column:
-    """Start, end and text of each match, leftmost first, none overlapping."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), _nothing().alias("out"))
+    """Start, end and text of each match, and a little of what is before and after; leftmost first, none overlapping."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps"))
 
-    def step(so_far: Column, x: Column) -> Column:
-        a = so_far["at"] + x["gap"]
-        z = a + F.length(x["m"])
-        return F.struct(z.alias("at"), F.concat(so_far["out"], F.array(F.struct(a.alias("a"), z.alias("z"), x["m"].alias("m")))).alias("out"))
+    def spans(x: Column) -> Column:
+        n = F.size(x["m"])
+        sides = F.zip_with(F.slice(x["gaps"], F.lit(1), n), F.slice(x["gaps"], F.lit(2), n), lambda b, a: F.struct(F.length(b).alias("gap"), F.right(b, F.lit(24)).alias("left"), F.left(a, F.lit(2)).alias("right")))
+        parts = F.zip_with(sides, x["m"], lambda s, m: F.struct((s["gap"] + F.length(m)).alias("n"), m.alias("m"), s["left"].alias("left"), s["right"].alias("right")))
+        ends = lambda p: let(p["n"], lambda v: scanned(v, lambda y, before: y + F.coalesce(before, F.lit(0))))
+        return let(parts, lambda p: F.zip_with(ends(p), p, lambda z, y: F.struct((z - F.length(y["m"])).alias("a"), z.alias("z"), y["m"].alias("m"), y["left"].alias("left"), y["right"].alias("right"))))
 
-    return F.aggregate(pairs, start, step, lambda x: x["out"])
+    return let(both, spans)
 
 
 def _digits(m: Column) -> Column:
@@ -91,59 +118,155 @@ def _checked(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    spans = F.filter(places(text, BASE[kind]), lambda s: _checked(kind, s["m"]))
+    spans = F.transform(F.filter(places(text, BASE[kind]), lambda s: _checked(kind, s["m"])), lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), s["m"].alias("m")))
     return F.when(text.rlike(BASE_NEEDED[kind]), spans).otherwise(_nothing())
 
 
-def _overlaps(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda s: (s["a"] < c["z"]) & (c["a"] < s["z"]))
-
-
-def _described(text: Column, kind: str, base: dict[str, Column]) -> Column:
-    """Candidates of a kind with their features and labels (1, 0, or null where nothing tells)."""
-    is_ = lambda x: x.cast("int")
+def _proposed(text: Column, kind: str) -> Column:
+    """Candidates of a kind with their features."""
+    count = lambda m, characters: F.length(m) - F.length(F.translate(m, characters, ""))
+    is_ = lambda x: F.coalesce(x, F.lit(False)).cast("int")
 
     def one(c: Column) -> Column:
-        digits, number = _digits(c["m"]), F.lit(KINDS.index(kind))
-        left = F.substring(text, F.greatest(c["a"] - 23, F.lit(1)), F.least(c["a"], F.lit(24)))
-        right = F.substring(text, c["z"] + 1, F.lit(1))
-        before, after = is_(F.coalesce(left.rlike(r"[\p{L}0-9_]\z"), F.lit(False))), is_(F.coalesce(right.rlike(r"\A[\p{L}0-9_]"), F.lit(False)))
-        passes = {"ip": _checked("ip", c["m"]), "card": F.call_function("luhn_check", digits)}.get(kind, F.lit(True))
+        m, digits = c["m"], _digits(c["m"])
+        runs = F.regexp_extract_all(m, F.lit("[0-9A-Fa-f]+" if kind == "ip" else "[0-9]+"), F.lit(0))
+        lengths = F.transform(runs, F.length)
+        fails = {"ip": F.lit(False) if kind != "ip" else ~F.regexp_replace(m, r"[\[\]()]", "").rlike(IN_RANGE) & ~m.contains(":"), "card": ~F.call_function("luhn_check", digits)}.get(kind, F.lit(False))
+        none = F.lit(0)
         values = {
-            "kind": number,
+            "kind": F.lit(KINDS.index(kind)),
+            "length": F.length(m),
             "digits": F.length(digits),
-            "other": F.length(c["m"]) - F.length(digits),
-            "groups": F.size(F.regexp_extract_all(c["m"], F.lit("[0-9]+"), F.lit(0))),
-            "bracket": is_(F.instr(c["m"], "(") > 0) if kind == "phone" else F.lit(0),
-            "first": F.coalesce(F.substring(digits, 1, 1).try_cast("int"), F.lit(-1)),
+            "groups": F.size(runs),
+            "first": F.coalesce(F.get(lengths, F.lit(0)), none),
+            "last": F.coalesce(F.get(lengths, F.size(runs) - 1), none),
+            "longest": F.coalesce(F.array_max(lengths), none),
+            "zero": is_(digits.startswith("0")),
             "varied": F.size(F.array_distinct(F.split(digits, ""))),
-            "checked": is_(passes),
-            "cue": is_(left.rlike(CONTEXT[kind])),
-            "before": before,
-            "after": after,
-            "space": is_(left.rlike(r"[\s:(]\z") | (F.length(left) == 0)),
+            "dots": count(m, "."),
+            "dashes": count(m, "-/"),
+            "spaces": count(m, " "),
+            "brackets": count(m, "([{"),
+            "colons": count(m, ":"),
+            "letters": F.length(F.regexp_extract(m, r"[A-Za-z]*\z", 0)),
+            "year": is_(m.rlike(r"(?:\A|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|\z)")),
+            "cue": is_(c["left"].rlike(CONTEXT[kind])),
+            "contrary": is_(c["left"].rlike(CONTRARY)),
+            "before": F.when(c["left"].rlike(r"\s\z") | (c["left"] == ""), 0).when(c["left"].rlike(r"[:(\[<\"']\z"), 1).otherwise(2),
+            "after": F.when(c["right"].rlike(r"\A\s") | (c["right"] == ""), 0).when(c["right"].rlike(r"\A[.,;:!?)\]>\"']"), 1).otherwise(2),
         }
-        others = F.lit(False)
-        for other in KINDS:
-            if other != kind:
-                others = others | _overlaps(base[other], c)
-        wrong = others | ~passes | (before + after > 0)
-        label = F.when(_overlaps(base[kind], c), 1).when(wrong, 0)
-        taken = others | _overlaps(base[kind], c)
-        return F.struct(c["a"].alias("a"), c["z"].alias("z"), label.alias("label"), taken.alias("taken"), *[values[f].cast("int").alias(f) for f in FEATURES])
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["a"].alias("a"), c["z"].alias("z"), F.coalesce(fails, F.lit(False)).alias("fails"), *[values[f].cast("int").alias(f"f_{f}") for f in FEATURES])
+
+    empty = _CANDIDATES.replace(",own:boolean,other:boolean", "")
+    return F.when(text.rlike(NEEDED[kind]), F.transform(places(text, GENERATORS[kind]), one)).otherwise(_nothing(empty))
+
+
+def _marked(base: dict[str, Column], found: Column) -> Column:
+    """Candidates with ``own`` and ``other``: whether a base span of their kind, or of another, overlaps them.
+
+    All spans are sorted once; the furthest end of each kind's base spans so far, and from
+    the other side the nearest start, tell what overlaps.
+    """
+    number = range(len(KINDS))
+
+    def events(c: Column) -> Column:
+        own = [F.transform(base[k], lambda s, i=i: F.struct(s["a"].alias("a"), s["z"].alias("z"), F.lit(i).alias("kind"), F.lit(-1).alias("at"))) for i, k in enumerate(KINDS)]
+        return F.sort_array(F.concat(*own, F.transform(c, lambda x, i: F.struct(x["a"].alias("a"), x["z"].alias("z"), x["kind"].alias("kind"), i.alias("at")))))
+
+    def of_base(e: Column, end: str) -> Column:
+        return F.transform(e, lambda x: F.struct(*[F.when((x["at"] < 0) & (x["kind"] == i), x[end]).alias(f"k{i}") for i in number]))
+
+    def reach(best) -> Callable[[Column], Column]:
+        return lambda v: scanned(v, lambda x, before: F.struct(*[best(x[f"k{i}"], before[f"k{i}"]).alias(f"k{i}") for i in number]))
+
+    def marks(e: Column) -> Column:
+        before = let(of_base(e, "z"), reach(F.greatest))
+        after = F.reverse(let(F.reverse(of_base(e, "a")), reach(F.least)))
+        around = F.zip_with(before, after, lambda b, f: F.struct(b.alias("b"), f.alias("f")))
+
+        def one(x: Column, s: Column) -> Column:
+            hit = [F.coalesce(s["b"][f"k{i}"] > x["a"], F.lit(False)) | F.coalesce(s["f"][f"k{i}"] < x["z"], F.lit(False)) for i in number]
+            own = other = F.lit(False)
+            for i in number:
+                own, other = own | ((x["kind"] == i) & hit[i]), other | ((x["kind"] != i) & hit[i])
+            return F.struct(x["at"].alias("at"), own.alias("own"), other.alias("other"))
+
+        return F.sort_array(F.filter(F.zip_with(e, around, one), lambda x: x["at"] >= 0))
+
+    names = _CANDIDATES.split("<", 2)[2].split(",own")[0].split(",")
+    kept = [n.split(":")[0] for n in names]
+    joined = lambda c: let(events(c), lambda e: F.zip_with(c, marks(e), lambda x, y: F.struct(*[x[n].alias(n) for n in kept], y["own"].alias("own"), y["other"].alias("other"))))
+    return let(found, lambda c: F.when(F.size(c) > 0, joined(c)).otherwise(_nothing(_CANDIDATES)))
 
-    found = F.transform(places(text, GENERATORS[kind]), one)
-    empty = "array<struct<a:int,z:int,label:int,taken:boolean," + ",".join(f"{f}:int" for f in FEATURES) + ">>"
-    return F.when(text.rlike(NEEDED[kind]), found).otherwise(_nothing(empty))
+
+@functools.cache
+def _columns(jvm: int) -> dict[str, Column]:
+    """What ``candidates`` adds; built once for each JVM, as building takes longer than planning."""
+    text = F.col("pii_text")
+    found = F.concat(*[_proposed(text, k) for k in KINDS])
+    return {f"base_{k}": base_spans(text, k) for k in KINDS} | {"pii_candidates": _marked({k: F.col(f"base_{k}") for k in KINDS}, found)}
 
 
 def candidates(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with pii_text, base_<kind> and pii_candidates."""
     rows = docs.withColumn("pii_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    for kind in KINDS:
-        rows = rows.withColumn(f"base_{kind}", base_spans(F.col("pii_text"), kind))
-    base = {k: F.col(f"base_{k}") for k in KINDS}
-    return rows.withColumn("pii_candidates", F.concat(*[_described(F.col("pii_text"), k, base) for k in KINDS]))
+    for name, column in _columns(id(docs.sparkSession._jvm)).items():
+        rows = rows.withColumn(name, column)
+    return rows
+
+
+# ---- what the trees learn from
+
+
+def _luhn(digits: list[int]) -> list[int]:
+    """The digits with the last one set so that the sum is right."""
+    total = sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(reversed(digits[:-1])))
+    return [*digits[:-1], -total % 10]
+
+
+def _filled(form: str, rng: random.Random) -> str:
+    """A form with its marks filled in: # a digit, @ a word, & a short one, % an octet, x a hexadecimal digit."""
+    word = lambda n: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(n))
+    fill = {"#": lambda: str(rng.randrange(10)), "@": lambda: word(rng.randrange(4, 9)), "&": lambda: rng.choice(["com", "org", "net", "de", "fr", "es", "io"]), "%": lambda: str(rng.randrange(256)), "x": lambda: rng.choice("0123456789abcdef")}
+    return "".join(fill[c]() if c in fill else c for c in form)
+
+
+#: Forms of each kind, and of what looks like one; x stands for a hexadecimal digit.
+PERSONAL = {
+    "phone": ["(###) ###-####", "(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "+## ## ## ## ## ##", "+# (###) ###-####", "0# ## ## ## ##", "0### ######", "0##/#######", "0### ### ###", "(0##) ####-####", "0#########"],
+    "email": ["@ (at) @ (dot) &", "@.@ [at] @ [dot] &", "@(at)@.&", "@[at]@.&", "@ at @ dot &", "@{at}@{dot}&", "@.@ (at) @.&"],
+    "ip": ["%[.]%[.]%[.]%", "%.%.%[.]%", "%(.)%(.)%(.)%", "xxxx:xxxx:xxx:x:x:xxxx:xxxx:xxxx", "xxxx:xxx::x:xxxx", "fe80::xxxx:xxxx:xxxx"],
+    "card": ["4###.####.####.####", "5### #### #### ####", "34## ###### #####", "37## ###### #####", "37#############", "36##-######-####"],
+}
+OTHERS = ["20##-0#-1#", "1#.0#.20##", "19##-20##", "20## 0# 1# 1#", "### ### ###", "# ### ###", "#####-####", "978-#-###-#####-#", "978-##-####-##-#", "1##.##.###.##", "#.##.###.#", "##:##:##:##", "xx:xx:xx:xx:xx:xx", "##############", "#############", "#### #### #### ####", "####-###-###", "## ## ## ##", "#######", "########", "#########", "##########", "##/##/20##", "###.###.###", "(20##) ##-###", "@ at @ dot @", "@ at @ dot @", "@ (at) @ (dot) @"]
+SAID = {
+    "phone": ["call {}", "phone: {}", "Tel. {}", "tel: {}", "Telefon {}", "mobile {}", "fax {}", "appelez le {}", "llame al {}"],
+    "email": ["mail {}", "write to {}", "contact: {}", "Kontakt {}", "correo {}", "reach me: {}", "e-mail ({})", "{}"],
+    "ip": ["host {}", "server {}", "ip: {}", "login from {}", "address {}", "client {}", "{}"],
+    "card": ["card {}", "paid with visa {}", "amex {}", "Karte {}", "carte: {}", "credit card no. {}"],
+}
+OTHERWISE = ["order {}", "invoice no. {}", "total {}", "version {}", "page {}", "isbn {}", "serial {}", "item #{}", "ticket {}", "since {}", "dated {}", "id {}", "{}", "{}", "about {} of them", "and {} more"]
+
+
+def seeds(each: int = 400, seed: int = 11) -> list[tuple[str, int]]:
+    """(sentence, kind or -1): invented sentences with one thing in each, ``each`` of a kind and twice as many of none."""
+    rng, out = random.Random(seed), []
+    filler = lambda: " ".join(_filled("@", rng) for _ in range(rng.randrange(2, 6)))
+
+    def said(thing: str, ways: list[str]) -> str:
+        return f"{filler()} {rng.choice(ways).format(thing)}{rng.choice(['', '', '.', ',', ';'])} {filler()}"
+
+    for number, kind in enumerate(KINDS):
+        for i in range(each):
+            form = PERSONAL[kind][i % len(PERSONAL[kind])]
+            thing = _filled(form, rng)
+            if kind == "card":
+                right = iter(_luhn([int(c) for c in thing if c.isdigit()]))
+                thing = "".join(str(next(right)) if c.isdigit() else c for c in thing)
+            # What has a telling form needs no word before it.
+            plain = form.startswith(("(###)", "###-", "+", "xx", "fe", "4#", "5#")) and rng.random() < 0.5
+            out.append((said(thing, ["{}"] if plain else SAID[kind]), number))
+    return out + [(said(_filled(OTHERS[i % len(OTHERS)], rng), OTHERWISE), -1) for i in range(2 * each * len(KINDS))]
 
 
 @dataclass
@@ -154,12 +277,13 @@ class Trees:
     start: float
     thresholds: dict[str, float]
 
-    def score(self, c: Column) -> Column:
-        total = F.lit(self.start)
+    def score(self, c: str) -> str:
+        """SQL of the score of a candidate called ``c``."""
+        total = [f"{self.start!r}D"]
         for feature, at, sides in self.trees:
-            leaf = [F.when(c[f] <= t, F.lit(low)).otherwise(F.lit(high)) for f, t, low, high in sides]
-            total = total + F.when(c[feature] <= at, leaf[0]).otherwise(leaf[1])
-        return 1 / (1 + F.exp(-total))
+            leaf = [f"CASE WHEN {c}.f_{f} <= {t!r}D THEN {low!r}D ELSE {high!r}D END" for f, t, low, high in sides]
+            total.append(f"CASE WHEN {c}.f_{feature} <= {at!r}D THEN {leaf[0]} ELSE {leaf[1]} END")
+        return f"(1 / (1 + exp(-aggregate(array({', '.join(total)}), 0D, (x, y) -> x + y))))"
 
 
 def _split(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, ridge: float = 1.0):
@@ -178,7 +302,7 @@ def _split(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, ridge: float = 1.0
     return best
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.3) -> tuple[list, float, np.ndarray]:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.3) -> tuple[list, float, np.ndarray]:
     """Trees, starting value and the sums they give to ``x`` (logistic loss, Newton steps)."""
     start = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
     total, trees = np.full(len(y), start), []
@@ -210,36 +334,41 @@ def predict(trees: list, start: float, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-total))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 20_000, precision: float = 0.95, least: int = 5) -> Trees:
-    """Trees from the candidates of about ``sample`` documents, chosen by a hash of their key; 20 a document at most on average.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 10_000, each: int = 8, precision: float = 0.95) -> Trees:
+    """Trees from the candidates of about ``sample`` different texts, chosen by their hash, and from ``seeds``.
 
-    Half of them (by hash) fit the trees, the other half sets each kind's
-    threshold: the least at which ``precision`` of the positives it lets through
-    are right.  A kind with fewer than ``least`` positives or no negatives there adds nothing.
+    A text gives at most ``each`` labelled candidates.  Half of the texts and
+    seeds fit the trees, the other half sets each kind's threshold: the least,
+    from 0.5 on, at which ``precision`` of what it lets through is right.  The sampled texts are written first, so
+    that candidates are made of them alone.
     """
-    ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     count = docs.count()
-    part = F.pmod(F.xxhash64(F.lit("pii"), ident), F.lit(1 << 20))
-    some = docs.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.lit("order"), ident).alias("place"), F.pmod(F.xxhash64(F.lit("half"), ident), F.lit(2)).alias("half"), part.alias("part"))
-    some = some.where(F.col("part") < int((1 << 20) * min(1.0, sample / max(count, 1))) + (count <= sample))
-    rows = candidates(some, "t").select("half", "place", F.explode("pii_candidates").alias("c")).where("c.label is not null")
-    rows = rows.orderBy("place", "c.a", "c.z", "c.kind").limit(20 * sample)
-    got = np.array([tuple(r) for r in rows.select("half", "c.label", *[f"c.{f}" for f in FEATURES]).collect()], float).reshape(-1, 2 + len(FEATURES))
-    got = got[np.lexsort(got.T)]
-    first, second = got[got[:, 0] == 0], got[got[:, 0] == 1]
-    none = dict.fromkeys(KINDS, 2.0)
-    if len(set(first[:, 1])) < 2 or not len(second):
-        return Trees([], 0.0, none)
-    trees, start, _ = boost(first[:, 2:], first[:, 1])
-    scores, thresholds = predict(trees, start, second[:, 2:]), {}
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    some = docs.select(body.alias("t"), F.xxhash64(F.lit("pii"), body).alias("place"))
+    share = min(1.0, sample / max(count, 1))
+    some = some.where(F.pmod("place", F.lit(1 << 20)) < int((1 << 20) * share) + (count <= sample)) if share < 1 else some
+    some = cut(some.groupBy("place").agg(F.min("t").alias("t")).withColumn("kind", F.lit(None).cast("int")))
+    spark = docs.sparkSession
+    told = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(seeds())], "place long, t string, kind int")
+    rows = candidates(some.unionByName(told), "t")
+    label = lambda c: F.when(F.col("kind").isNotNull(), (F.col("kind") == c["kind"]).cast("int")).when(c["own"], 1).when(c["other"] | c["fails"], 0)
+    known = F.filter(F.transform("pii_candidates", lambda c: F.struct(label(c).alias("y"), (~c["own"] & ~c["other"]).cast("int").alias("open"), c.alias("c"))), lambda x: x["y"].isNotNull())
+    half = F.pmod(F.xxhash64(F.lit("half"), "place"), F.lit(2)).alias("half")
+    # An outer explode, as Spark would put a second copy of all patterns into a filter for an inner one.
+    rows = rows.select(half, F.explode_outer(F.slice(known, 1, each)).alias("x")).where("x is not null")
+    got = np.array([tuple(r) for r in rows.select("half", "x.y", "x.open", *[f"x.c.f_{f}" for f in FEATURES]).collect()], float).reshape(-1, 3 + len(FEATURES))
+    got = got[np.lexsort(got.T)]  # the order of rows differs from run to run
+    first, second = got[got[:, 0] == 0], got[(got[:, 0] == 1) & (got[:, 2] == 1)]
+    trees, start, _ = boost(first[:, 3:], first[:, 1])
+    scores, thresholds = predict(trees, start, second[:, 3:]), {}
     for number, kind in enumerate(KINDS):
-        own = second[:, 2] == number
+        own = second[:, 3] == number
         order = np.argsort(-scores[own], kind="stable")
         y, s = second[own, 1][order], scores[own][order]
         right = np.cumsum(y) / np.arange(1, len(y) + 1)
         last = np.r_[s[1:] != s[:-1], True] if len(s) else np.zeros(0, bool)
-        fine = np.flatnonzero((right >= precision) & last & (np.cumsum(y) >= least))
-        thresholds[kind] = max(0.5, float(s[fine[-1]])) if len(fine) and len(set(y)) == 2 else 2.0
+        fine = np.flatnonzero((right >= precision) & last)
+        thresholds[kind] = max(0.5, float(s[fine[-1]])) if len(fine) else 1.0
     return Trees(trees, start, thresholds)
 
 
@@ -254,20 +383,15 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Trees
 
     Null and empty texts have no spans; rows stand for themselves, so repeats,
     ties and null keys don't matter; a column of ``docs`` of an added name is
-    replaced.  Each text is read whole.
+    replaced.  Each text is read whole, in time n log n of its matches.  An added
+    span meets no base span; added spans of two kinds may overlap.
     """
     model = model or fit(docs, key, text, **how)
     docs = cleared(docs, ["pii_text", "pii_candidates", "pii_spans", *[f"base_{k}" for k in KINDS]], text)
-    limits = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(model.thresholds[k]))])
     rows = candidates(docs, text)
-    own = F.struct
-    scored = F.transform("pii_candidates", lambda c: own(c["kind"].alias("kind"), c["a"].alias("a"), c["z"].alias("z"), c["taken"].alias("taken"), model.score(c).alias("s")))
-    rows = rows.withColumn("pii_candidates", F.filter(scored, lambda c: ~c["taken"] & (c["s"] >= F.element_at(limits, c["kind"]))))
-    better = lambda d, c: (d["s"] > c["s"]) | ((d["s"] == c["s"]) & ((d["a"] < c["a"]) | ((d["a"] == c["a"]) & (d["kind"] < c["kind"]))))
-    added = F.filter("pii_candidates", lambda c: ~F.exists("pii_candidates", lambda d: (d["a"] < c["z"]) & (c["a"] < d["z"]) & better(d, c)))
-    spans = [base_of(k) for k in KINDS]
-    more = F.transform(added, lambda c: own(c["kind"].alias("kind"), c["a"].alias("a"), c["z"].alias("z")))
-    rows = rows.withColumn("pii_spans", F.sort_array(F.concat(*spans, more)))
+    limit = "CASE c.kind " + " ".join(f"WHEN {i} THEN {model.thresholds[k]!r}D" for i, k in enumerate(KINDS)) + " END"
+    more = F.expr(f"transform(filter(pii_candidates, c -> NOT c.own AND NOT c.other AND {model.score('c')} >= {limit}), c -> struct(c.kind AS kind, c.a AS a, c.z AS z))")
+    rows = rows.withColumn("pii_spans", F.sort_array(F.concat(*[base_of(k) for k in KINDS], more)))
     return rows.drop("pii_candidates", "pii_text")
 
 
@@ -277,18 +401,31 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["a"].cast("string"), s["z"].cast("string"))), ",")
 
 
+#: Characters of a piece that a text is cut into, so that a place in it is found without reading it from the start.
+PIECE = 1024
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by its kind in square brackets."""
+    """``text`` with each span, or run of overlapping spans, replaced by the kind of its first in square brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["z"].alias("z"), s["kind"].alias("kind"))))
+
+    def part(pieces: Column, a: Column, z: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice(pieces, first + 1, F.floor((z - 1) / PIECE).cast("int") - first + 1)
+        return F.when(z > a, F.substring(F.array_join(some, ""), a - first * PIECE + 1, z - a)).otherwise("")
+
+    def replaced(x: Column) -> Column:
+        ends = let(x["spans"]["z"], lambda v: scanned(v, lambda y, before: F.greatest(y, before)))
+        def woven(e: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(e, i - 1), F.lit(0))
+            one = lambda s, i: F.when(s["a"] >= before(i), F.concat(part(x["pieces"], before(i), s["a"]), F.element_at(names, s["kind"] + 1))).otherwise("")
+            return F.concat(F.array_join(F.transform(x["spans"], one), ""), part(x["pieces"], F.element_at(e, -1), x["length"]))
 
-    def step(so_far: Column, s: Column) -> Column:
-        piece = F.concat(so_far["out"], F.substring(text, so_far["at"] + 1, s["a"] - so_far["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(so_far["at"], s["z"]).alias("at"), F.when(s["a"] >= so_far["at"], piece).otherwise(so_far["out"]).alias("out"))
+        return let(ends, woven)
 
-    rest = F.aggregate(order, start, step, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    whole = F.struct(ordered.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.length(text).alias("length"))
+    return F.when(F.size(spans) > 0, let(whole, replaced)).otherwise(text)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", **how) -> DataFrame:

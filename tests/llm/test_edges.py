@@ -118,25 +118,77 @@ def test_pii_base_in_short_groups(spark):
     assert clean[0] == "[PHONE]" and clean[1] == "call [PHONE] now" and clean[2] == texts[2]
 
 
-def test_pii_redaction_and_learning(spark):
+def luhn(number):
+    digits = [int(d) for d in number if d.isdigit()]
+    return sum(d if i % 2 == 0 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def valid_card(rng):
+    return next(x for x in (str(rng.randrange(4 * 10**15, 5 * 10**15)) for _ in range(1000)) if luhn(x))
+
+
+def test_pii_replaces_adjoining_and_loose_forms(spark):
     rng = random.Random(2)
+    plain = [" ".join([*words(5, i), f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", *words(3, i + 1)]) for i in range(50)]
+    two = f"{valid_card(rng)}, {valid_card(rng)}"
+    rows = docs(spark, [*plain, f"see {two} and (743) 555-3824"])
+    last = pii.find(rows).where(f"doc_id = {len(plain)}").first()
+    assert {(s["kind"], s["a"], s["z"]) for s in last["pii_spans"]} == {(2, 4, 20), (2, 22, 38), (3, 43, 57)}
+    clean = pii.redact(rows).where(f"doc_id = {len(plain)}").first()
+    assert clean["text"] == "see [CARD], [CARD] and [PHONE]" and clean["n_chars"] == len(clean["text"])
+
+
+#: Said otherwise than in the sentences that the trees learn from.
+PLANTED = [
+    ("phone", "please ring, my phone is 743-555-{:04d}, any time"), ("phone", "Our office: call (212) 555 {:04d} today"), ("phone", "telefon 030 123{:04d} werktags"), ("phone", "fax 06 12 34 {:02d} 78"),
+    ("email", "you can mail jane{} (at) firm (dot) com"), ("email", "kontakt: max.m{} [at] firma [dot] de"), ("email", "for news write ops{}(at)corp.net"), ("email", "just mail sam{} at corp dot org"),
+    ("ip", "the server 10[.]20[.]30[.]{} answered"), ("ip", "host 2001:db8:85a3::8a2e:{}:7334 is up"), ("ip", "login from 192.168.4[.]{} failed"),
+    ("card", "my amex 3782 822463 1{:04d}"), ("card", "visa 4111.1111.1111.{:04d} it is"),
+    (None, "the meeting of 2024-05-{:02d} was long"), (None, "order 555 123 {:04d} has left"), (None, "chapters {} to 12 and pages 1999-2004"), (None, "version 2.14.{}-beta"), (None, "we stayed at home {} dot dash dot"),
+    (None, "invoice 2024-{:04d}-993"), (None, "mac 00:1a:2b:3c:4d:{}"), (None, "at 12:30:{} sharp"), (None, "isbn 978-3-16-1484{:02d}-0"), (None, "a sum of 1 234 {} 890 euros"), (None, "pi is 3.14159265{:04d}"),
+]
+
 
-    def card(valid):
-        digits = [4, *(rng.randrange(10) for _ in range(14))]
-        total = sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(digits))
-        last = -total % 10
-        return "".join(map(str, [*digits, last if valid else (last + 1) % 10]))
-
-    texts = []
-    for i in range(600):
-        parts = [*words(5, i), f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", *words(3, i + 1), card(i % 2 == 0), *words(3, i)]
-        texts.append(" ".join(parts) + f" x{rng.randrange(200, 999)} 555-{rng.randrange(1000, 9999)}")
-    two = f"{card(True)} {card(True)}"
-    rows = docs(spark, [*texts, f"see {two} and (743) 555-3824"])
-    last = pii.find(rows).where(f"doc_id = {len(texts)}").first()
-    assert {(s["kind"], s["a"], s["z"]) for s in last["pii_spans"]} >= {(2, 4, 20), (2, 21, 37)}
-    clean = pii.redact(rows).where(f"doc_id = {len(texts)}").first()
-    assert clean["text"].startswith("see [CARD] [CARD] and") and clean["n_chars"] == len(clean["text"])
+def test_pii_learned_forms_on_planted_cases(spark):
+    """Each kind adds spans that the base doesn't have, with a precision of at least 0.95 and a recall of at least 0.9 here."""
+    rng = random.Random(8)
+
+    def planted(k, t):
+        return next(x for x in (t.format(rng.randrange(10, 99)) for _ in range(1000)) if k != "card" or luhn(x))
+
+    rows = [(k, f"{' '.join(words(4, i))}. {planted(k, t)} {' '.join(words(3, i))}") for i in range(25) for k, t in PLANTED]
+    got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["pii_spans"]] for r in pii.find(docs(spark, [t for _, t in rows])).collect()}
+    assert not any(any(brute.private(t).values()) for _, t in rows)
+    added, right = sum(len(x) for x in got.values()), {k: [got[i] == [k] for i, (own, _) in enumerate(rows) if own == k] for k in pii.KINDS}
+    assert sum(map(sum, right.values())) >= 0.95 * added
+    assert all(sum(x) >= 0.9 * len(x) for x in right.values()), {k: sum(x) / len(x) for k, x in right.items()}
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """A text of a megabyte with 50,000 addresses, and one with as many numbers that aren't base spans."""
+    texts = ["".join(f"ab{i:05d}@mail{i}.com " for i in range(50_000)), "".join(f"743-555-{i % 9999:04d} ({i}) " for i in range(50_000))]
+    model = pii.fit(docs(spark, PRIVATE))
+    started = time.time()
+    got = pii.redact(docs(spark, texts), model=model).collect()
+    assert time.time() - started < 60
+    assert got[0]["text"] == "[EMAIL] " * 50_000 and got[0]["n_chars"] == 400_000
+
+
+def test_pii_redacted_places(spark):
+    rng, texts, spans = random.Random(4), [], []
+    for i in range(60):
+        text = "".join(rng.choice("ab ß漢🙂\n") for _ in range(rng.randrange(1, 5000)))
+        own = [(rng.randrange(4), a, min(len(text), a + rng.randrange(1, 40))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(0, 30)))]
+        texts.append(text)
+        spans.append(sorted(own))
+    table = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, spans, strict=True))], "i int, t string, s array<struct<kind:int,a:int,z:int>>")
+    for r in table.select("i", pii.redacted(F.col("t"), F.col("s")).alias("out")).collect():
+        out, at, text = [], 0, texts[r["i"]]
+        for a, z, k in sorted((a, z, k) for k, a, z in spans[r["i"]]):
+            if a >= at:
+                out += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, z)
+        assert r["out"] == "".join(out) + text[at:]
 
 
 # ---- toxicity
