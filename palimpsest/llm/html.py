@@ -1,13 +1,18 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements.  Each block of running text passes points to
-the elements around it, for being there, for its commas and its length, fewer to
+the elements around it, for being there, for its commas and its length, half as many to
 each one further out; an element's points are discounted by the share of
 its text that is in links.  The best container is kept with those siblings that
-score well themselves, and its blocks are the text.  Menus, headers, footers,
-side columns, notices, adverts, forms, comments and whatever isn't text are
-left out of the tree's text by their element or by the words of their class,
-id and role.
+score well themselves, and its blocks are the text.  An ``article`` or ``main`` around the best is
+taken instead unless half of its text is in links.
+
+Menus, headers, footers, side columns, notices, adverts, forms and comments go by
+their element, or by a word of their class, id or role that says so (``FIRM``), unless the page's only
+article is in them.  A word that may mean anything (``LOOSE``) only halves an
+element's points; such an element goes when it has no sentence or half of its text is in links.
+
+Every pass over the tree or the marks is linear, in the depth of a page as well.
 """
 
 from __future__ import annotations
@@ -35,48 +40,56 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
 SPACED = {"br", "td", "th"}
+CELLS = {"td", "th", "table"}
 DROPPED = set("head nav footer aside form script style textarea title iframe noscript template button select input svg math canvas object embed audio video menu dialog noembed noframes xmp".split())
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: An open element that the start of another ends.
-ENDED_BY = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead", "tfoot"}, "thead": {"tr", "td", "th", "tbody", "thead", "tfoot"},
-}
+HOLDERS = {"div", "td", "section", "article", "main", "body", "html"}
+#: Open elements that the start of one ends, and what they are not looked for beyond.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}} | {k: {"td", "th"} for k in ("td", "th")} | {"tr": {"tr", "td", "th"}} | {k: {"tr", "td", "th", "tbody", "thead", "tfoot"} for k in ("tbody", "thead", "tfoot")}
 SCOPE = {"ul", "ol", "table", "dl", "select", "body", "html", "div", "section", "article", "main", "td", "th", "blockquote"}
-UNWANTED = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation navigator menu menubar sidebar sidebars aside rail "
-    "footer masthead topbar comment comments commentlist respond replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay paywall "
-    "related recommended recommendations share sharing social newsletter subscribe subscription signup login breadcrumb breadcrumbs widget widgets toolbar "
-    "pagination pager copyright complementary contentinfo search searchbox outbrain taboola".split()
+FIRM = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos nav navbar navigation navigator menu menubar sidebar sidebars "
+    "footer masthead topbar comment comments commentlist respond replies disqus cookie cookies consent gdpr notice notices alert popup "
+    "newsletter subscribe subscription signup breadcrumb breadcrumbs pagination pager contentinfo searchbox outbrain taboola".split()
 )
+LOOSE = set("aside rail widget widgets modal overlay paywall related recommended recommendations social share sharing promotion banner login copyright search toolbar complementary".split())
 WANTED = {"article", "body", "html", "main"}
+FINAL = tuple(".!?…:;。！？\"”»)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "out", "mark", "within", "core", "points", "chars", "linked", "sentences", "inside")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.children, self.out = tag, parent, [], out
-        self.points, self.chars, self.linked = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, mark: str = ""):
+        self.tag, self.parent, self.children, self.mark = tag, parent, [], mark
+        self.within = tag in {"article", "main"} or (parent is not None and parent.within)
+        self.out = tag in DROPPED or (tag == "header" and not self.within)
+        self.core = self.inside = False
+        self.points, self.chars, self.linked, self.sentences = 0.0, 0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in WANTED or "=" not in attributes:
-        return False
+def _mark(tag: str, attributes: str) -> str:
+    """What class, id and role say against an element: "firm", "loose" or nothing; "core" for what holds an article's body."""
+    if "=" not in attributes or tag in DROPPED:
+        return ""
+    found = ""
     for whole, *values in _NAMED.findall(attributes):
-        if not (named := _NAMES.fullmatch(whole)):
+        if whole.lower() == "itemprop" and "".join(values).lower() == "articlebody":
+            return "core"
+        if tag in WANTED or not (named := _NAMES.fullmatch(whole)):
             continue
         name = named[1]
         for value in "".join(values).split():
             parts = [p.lower() for p in _PARTS.findall(value)]
             for i, part in enumerate(parts):
-                if part in UNWANTED and not (i and parts[i - 1] in {"has", "no", "with", "without"}):
-                    return True
-                if part == "header" and name.lower() != "role" and parts in (["header"], ["site", "header"], ["page", "header"]):
-                    return True
-    return False
+                if i and parts[i - 1] in {"has", "no", "with", "without"}:
+                    continue
+                site = part == "header" and name.lower() != "role" and parts in (["header"], ["site", "header"], ["page", "header"])
+                if part in FIRM or site:
+                    found = "firm"
+                elif part in LOOSE and not found and tag in BLOCK:
+                    found = "loose"
+    return found
 
 
 def _end(html: str, at: int, stuck: set[int]) -> int:
@@ -94,9 +107,42 @@ def _end(html: str, at: int, stuck: set[int]) -> int:
     return html.find(">", at) + 1 or -1
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; text is its leaves.  Unended elements end with their parent, paragraphs also with the next block."""
-    root = top = Node("html", None, False)
+class Open:
+    """The open elements, and where the innermost of each name, of the blocks and of the cells is."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.cells = [], {}, [], []
+        self.push(root)
+
+    def push(self, node: Node):
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in BLOCK or node.tag in CELLS:
+            self.blocks.append(place)
+        if node.tag in CELLS:
+            self.cells.append(place)
+
+    def close(self, place: int):
+        """End the element at ``place`` and all in it; the root stays."""
+        while len(self.stack) > max(place, 1):
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            for places in (self.blocks, self.cells):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def innermost(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
+def parse(html: str) -> list[Node]:
+    """The elements of a page, each before those in it, the root first; text is their leaves.
+
+    Unended elements end with their parent, paragraphs also with the next block.
+    """
+    root = Node("html", None)
+    nodes, opened = [root], Open(root)
     at, end, stuck, last = 0, len(html), set(), html.rfind(">")
     while at < end:
         mark = _MARK.search(html, at)
@@ -106,7 +152,7 @@ def parse(html: str) -> Node:
         if not mark and (cut := _UNENDED.search(text)):
             text = text[: cut.start()]
         if text:
-            top.children.append(text)
+            opened.stack[-1].children.append(text)
         if not mark:
             break
         at = mark.end()
@@ -118,46 +164,43 @@ def parse(html: str) -> Node:
             attributes = html[mark.end() : at]
         tag = mark[2].lower()
         if mark[1]:
-            node = top
-            while node is not root and node.tag != tag and not (node.tag in {"td", "th", "table"} and tag not in BLOCK | {"td", "th"}):
-                node = node.parent
-            if node.tag == tag and node is not root:
-                top = node.parent
+            place = opened.innermost([tag])
+            beyond = tag not in BLOCK and tag not in SPACED and opened.cells and opened.cells[-1] > place
+            if place > 0 and not beyond:
+                opened.close(place)
             elif tag == "p" or tag == "br":
-                top.children.append(Node("br", top, False))
+                opened.stack[-1].children.append(Node("br", opened.stack[-1]))
             continue
-        if tag in {"html", "body"} and tag == root.tag:
+        if tag == "html":
             continue
-        if tag in BLOCK or tag in SPACED:
-            node = top
-            while node is not root and node.tag != "p" and node.tag not in BLOCK and node.tag not in {"td", "th"}:
-                node = node.parent
-            if node.tag == "p" and tag != "br":
-                top = node.parent
-        if closes := [k for k, v in ENDED_BY.items() if tag in v]:
-            node = top
-            while node is not root and node.tag not in closes and node.tag not in SCOPE - {"td", "th"}:
-                node = node.parent
-            while node.tag in closes and node is not root:
-                top = node.parent
-                node = top
-        node = Node(tag, top, top.out or _unwanted(tag, attributes) or (tag == "header" and not _within(top)))
-        top.children.append(node)
+        if (tag in BLOCK or tag in CELLS) and opened.stack[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
+        if ended := ENDS.get(tag):
+            scope = opened.innermost({"table"} if "td" in ended else SCOPE)
+            while (place := opened.innermost(ended)) > scope:
+                opened.close(place)
+        node = Node(tag, opened.stack[-1], _mark(tag, attributes))
+        opened.stack[-1].children.append(node)
+        nodes.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
-        elif tag not in VOID and not attributes.endswith("/>") or tag in {"p", "div", "a", "li"}:
-            top = node
-    return root
+        elif tag not in VOID and (not attributes.endswith("/>") or tag in {"p", "div", "a", "li"}):
+            opened.push(node)
+    return nodes
 
 
-def _within(node: Node | None) -> bool:
-    """Whether an article or main element is around."""
-    while node is not None:
-        if node.tag in {"article", "main"}:
-            return True
-        node = node.parent
-    return False
+def _leave_out(nodes: list[Node], firm: bool):
+    """Mark what goes by element and, if ``firm``, by a telling word."""
+    articles = [n for n in nodes if n.tag == "article"]
+    for node in reversed(nodes):
+        node.core |= node.tag == "main" or node.mark == "core" or (node.tag == "article" and len(articles) == 1)
+        if node.mark == "firm" and firm and not node.core:
+            node.out = True
+        if node.parent is not None and not node.out:
+            node.parent.core |= node.core
+    for node in nodes[1:]:
+        node.out |= node.parent.out
 
 
 def _blocks(root: Node) -> list[tuple[Node, str, int]]:
@@ -199,52 +242,60 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def _weigh(nodes: list[Node], blocks: list[tuple[Node, str, int]]):
+    """Points, characters, linked characters and sentences of each element, with those of what is in it."""
+    for owner, text, linked in blocks:
+        owner.chars += len(text)
+        owner.linked += linked
+        running = owner.tag not in HEADS
+        owner.sentences += running and 2 * linked < len(text) and (text.endswith(FINAL) or len(text) >= 80)
+        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * running * (1 - linked / len(text))
+        (owner if owner.tag in HOLDERS else owner.parent or owner).points += points
+    for node in reversed(nodes):
+        if node.mark == "loose" and not node.out:
+            if not node.core and (not node.sentences or 2 * node.linked >= node.chars):
+                node.out = True
+                continue
+            node.points /= 2
+        if node.parent is not None and not node.out:
+            above = node.parent
+            above.points += node.points / 2
+            above.chars, above.linked, above.sentences = above.chars + node.chars, above.linked + node.linked, above.sentences + node.sentences
+    for node in nodes[1:]:
+        node.out |= node.parent.out
+
+
 def extract(html: str | None) -> str:
     """The main text of one page; null, empty and textless pages give an empty text."""
-    root = parse(html or "")
-    blocks = _blocks(root)
+    for firm in (True, False):  # a page that is nothing but what goes by a word is read without such words
+        nodes = parse(html or "")
+        _leave_out(nodes, firm)
+        blocks = _blocks(nodes[0])
+        if blocks:
+            break
+    _weigh(nodes, blocks)
+    blocks = [x for x in blocks if not x[0].out]
     if not blocks:
         return ""
-    nodes: dict[int, Node] = {}
-    for owner, text, linked in blocks:
-        running = owner.tag not in HEADS
-        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * running * (1 - linked / len(text))
-        node, share = owner if owner.tag in {"div", "td", "section", "article", "main", "body", "html"} else owner.parent or owner, 1.0
-        while node is not None:
-            node.points += points * share
-            nodes[id(node)] = node
-            node, share = node.parent, share / 2
-        node = owner
-        while node is not None:
-            node.chars += len(text)
-            node.linked += linked
-            node = node.parent
     score = lambda n: n.points * (1 - n.linked / max(n.chars, 1))
-    best = max(nodes.values(), key=score)  # the first of equals: the innermost around the earliest text
+    best = max((n for n in nodes if not n.out and n.chars), key=score)  # the first of equals: the outermost, around the earliest text
     node, outer = best, None
     while node is not None:
-        if node.tag in {"article", "main"} and node.chars:
+        if node.tag in {"article", "main"} and 2 * node.linked < node.chars:
             outer = node if outer is None or outer.tag == "main" else outer
         node = node.parent
     best = outer or best
-    least, kept = 0.2 * score(best), {id(best)}
-    if outer is None and best.parent is not None:
-        for other in best.parent.children:
-            if isinstance(other, Node) and not other.out and other.chars:
-                dense = other.linked / other.chars
-                if score(other) >= max(least, 1) or other.tag in HEADS or (other.tag == "p" and dense < 0.25 and other.chars > 80):
-                    kept.add(id(other))
-    elif outer is not None and outer.tag == "article" and outer.parent is not None:
-        kept |= {id(x) for x in outer.parent.children if isinstance(x, Node) and x.tag == "article" and not x.out and score(x) >= least}
-
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
-        return False
-
-    return "\n".join(text for owner, text, _ in blocks if inside(owner))
+    least, kept = 0.2 * score(best), [best]
+    beside = [x for x in best.parent.children if isinstance(x, Node) and not x.out and x.chars] if best.parent is not None else []
+    if outer is None:
+        kept += [x for x in beside if score(x) >= max(least, 1) or x.tag in HEADS or (x.tag == "p" and 4 * x.linked < x.chars and x.chars > 80)]
+    elif outer.tag == "article":
+        kept += [x for x in beside if x.tag == "article" and score(x) >= least]
+    for node in kept:
+        node.inside = True
+    for node in nodes[1:]:
+        node.inside |= node.parent.inside
+    return "\n".join(text for owner, text, _ in blocks if owner.inside)
 
 
 def main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -253,7 +304,7 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFr
     White space within a block is one space, blocks are joined by newlines,
     character references are decoded.  Null and empty pages give an empty text;
     rows stand for themselves, so repeats and ties don't matter; a column named
-    ``out``, whatever its case, is replaced.  Each page is read whole, in one pass.
+    ``out``, whatever its case, is replaced.  Each page is read whole, however long, deep or broken.
     """
     kept = [f for f in pages.schema.fields if f.name != html and f.name.lower() != out.lower()]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` string"])

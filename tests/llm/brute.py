@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -114,3 +115,44 @@ def sha(x):
 
 def pairs(n):
     return combinations(range(n), 2)
+
+
+class _Article(HTMLParser):
+    """The blocks of what is inside article elements, by the standard library's parser."""
+
+    BLOCKS = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "article", "section", "table", "tr", "footer", "nav", "blockquote", "pre"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skipped, self.piece, self.blocks = 0, 0, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.piece).split()):
+            self.blocks.append(text)
+        self.piece = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skipped += tag in {"script", "style"}
+        if tag in self.BLOCKS:
+            self.flush()
+        elif tag == "br":
+            self.piece.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.depth -= tag == "article"
+        self.skipped -= tag in {"script", "style"}
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skipped:
+            self.piece.append(data)
+
+
+def article(page):
+    parser = _Article()
+    parser.feed(page or "")
+    parser.close()
+    parser.flush()
+    return "\n".join(parser.blocks)

@@ -339,6 +339,13 @@ PAGES = {
     "cut tag": ("<article><p>one</p><p>two<a hre", "one\ntwo"),
     "form": ("<main><form><p>Name, please</p></form><p>Kept here, yes.</p><aside><p>related, things</p></aside></main>", "Kept here, yes."),
     "empty": ("<html><head><title>t</title></head><body></body></html>", ""),
+    "loose word": ("<article><p>One, two.</p><div class='widget'><p>A tool in the text, kept.</p></div><div class='related'><a href=x>Other</a> <a href=y>more</a></div></article>", "One, two.\nA tool in the text, kept."),
+    "firm word around": ("<body><div class='layout sidebar'><article><p>All of it, here.</p></article></div><div class='sidebar'><p>Not this, no.</p></div>", "All of it, here."),
+    "firm words only": ("<div class='notice'><p>Nothing but this, here.</p></div>", "Nothing but this, here."),
+    "links in main": ("<main><ul>" + "<li><a href=x>A link to some place</a>" * 30 + "</ul></main><div><p>" + "Text, and more of it, " * 9 + "</p></div>", ("Text, and more of it, " * 9).strip()),
+    "sections": ("<article><section><h2>A</h2><p>One, two.</p></section><section><div><p>Three, four, five.</p></div></section><footer>f</footer></article>", "A\nOne, two.\nThree, four, five."),
+    "table": ("<article><table><tbody><tr><td>a<td>b<tr><td>c</td><td>d</td></table><p>End, yes.</article>", "a b\nc d\nEnd, yes."),
+    "hidden": ('<p title="' + "x" * 5000 + ' > hidden">in</p>', "in"),
     "quoted": ('<article><p title="a > b">in</p><p>a < b</p></article>', "in\na < b"),
 }
 
@@ -367,6 +374,13 @@ def test_unended_quotes_are_read_in_linear_time():
     assert time.process_time() - started < 20
 
 
+@pytest.mark.parametrize("piece", ["<div>x", "<div>x</i>", "<i>x", "<td><i></b>x", "<header>x", "<li>x<b>", "<p>x<i>", "<div class=widget>A b.", "<table><tr><td>x", "<article><div class=ad>x"])
+def test_deep_and_broken_pages_are_read_in_linear_time(piece):
+    started = time.process_time()
+    html.extract(piece * 50_000)
+    assert time.process_time() - started < 5
+
+
 def test_pages_odd(spark):
     rows = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 5), (None, "u", "<p>x" * 20_000, 5), (2, "u", "<" * 50_000, 5), (3, "u", "<div>" * 5_000 + "deep", 5)], "page_id bigint, url string, html string, text int")
     out = html.main_text(rows).collect()

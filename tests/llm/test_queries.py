@@ -88,6 +88,10 @@ def test_licenses(spark, sf):
     assert not got
 
 
+@pytest.mark.parametrize("sf", DIRS)
 def test_html(spark, sf):
-    for r in queries.op9_html(spark, sf).collect():
-        assert r["n_chars"] == len(r["text"]) and not r["text"].startswith("\n")
+    """The pages of these tables have their text in an article element."""
+    want = {i: (url, brute.article(page)) for i, url, page in rows(sf, "pages", "page_id, url, html")}
+    got = {r["page_id"]: r for r in queries.op9_html(spark, sf).collect()}
+    assert {i: (r["url"], r["text"]) for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
