@@ -32,16 +32,32 @@ def ascii_lower(text: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and cut its lineage.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a
-    folder of our own is set only where none is (a single machine, tests).
+    The folder is the one that the cluster names in spark.checkpoint.dir.  Only on a
+    single machine one of our own stands in for it; a cluster without one is an
+    error, as its machines don't share local folders.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def least(rows: DataFrame, by: Column, n: int, *then: str) -> DataFrame:
+    """The ``n`` rows of the least ``by``, a hash, ties in the order of ``then``.
+
+    Of many rows only a range of the hash that holds about twice as many is
+    sorted, so that tasks don't each hand on ``n`` rows.
+    """
+    count = rows.count()
+    if count > 4 * n:
+        near = rows.where(by < F.lit(int(2 * n / count * 2**64) - 2**63))
+        rows = near if near.count() >= n else rows
+    return rows.orderBy(by, *then).limit(n)
+
+
 def cleared(df: DataFrame, added: list[str], *kept: str) -> DataFrame:
     """``df`` without columns of the names that an operator adds, whatever their case; ``kept`` stay."""
     names = {a.lower() for a in added}

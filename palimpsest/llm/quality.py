@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
 Two generative models over hashed words and pairs of words, one of the target
-text and one of all text, give each document a log ratio.  Adding seeded Gumbel
+text and one of all text, give each document a log ratio: the sum over all its words and pairs.  Adding seeded Gumbel
 noise to it and keeping the top k samples documents without replacement in
 proportion to the ratio.
 """
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, least
 
 BUCKETS = 10_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -64,8 +64,8 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     The target model is of rows whose label ``good`` is 1, at most ``targets``
     keys of them, those with the least hash, so that the keys can be broadcast and no text is
     shuffled to find them.  The raw model counts every row.
-    log_weight is the mean log ratio of a text's buckets times the square root of their
-    number, so that long texts don't settle everything; 0 for null and empty
+    log_weight is the sum of the log ratios of a text's buckets, so the log
+    ratio of what the two models give the whole text; 0 for null and empty
     texts and without any target.  draw adds Gumbel noise from a hash of seed,
     key and text.  selected marks the ``share`` of rows with the greatest draws,
     exactly ceil(share x rows) of them but for rows of equal draw (repeated
@@ -74,7 +74,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     ident = F.col(f"`{key}`")
     chosen = labels.where(F.col(f"`{good}`") == 1).select(ident.alias("k")).where("k is not null").distinct()
-    chosen = cut(chosen.orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(targets))
+    chosen = cut(least(chosen, F.xxhash64(F.lit(seed), "k"), targets, "k"))
     rows = docs.select(ident.alias("key"), F.col(f"`{text}`").alias("text"))
     marked = rows.join(F.broadcast(chosen), F.col("key") == F.col("k"), "left").select("key", "text", F.col("k").isNotNull().alias("good"))
     ratios = fit(marked, "good", "text", size)
@@ -87,7 +87,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             weights = []
             for body in batch.column(1).to_pylist():
                 b = buckets(body, size)
-                weights.append(float(own[b].mean() * math.sqrt(len(b))) if len(b) else 0.0)
+                weights.append(float(own[b].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weights, pa.float64())], names=["key", "u", "log_weight"])
 
     drawn = F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))

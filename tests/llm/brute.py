@@ -1,7 +1,9 @@
 """Plain versions of the operators, for comparison."""
 
 import hashlib
+import math
 import re
+import struct
 from html.parser import HTMLParser
 from itertools import combinations
 
@@ -156,3 +158,26 @@ def article(page):
     parser.close()
     parser.flush()
     return "\n".join(parser.blocks)
+
+
+def resampled(docs, targets, share, seed, size):
+    """{key: (log weight, draw)} and the keys chosen: two bags of hashed words and pairs, their log ratio, Gumbel noise, the top share."""
+    bags = {}
+    for i, text in docs:
+        tokens = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+        one = [xxhash.xxh64_intdigest(t) for t in tokens]
+        two = [(a * 0x9E3779B97F4A7C15 % 2**64) ^ b for a, b in zip(one, one[1:], strict=False)]
+        bags[i] = [x % size for x in one + [x ^ (x >> 29) for x in two]]
+    raw, good = [1] * size, [1] * size
+    for i, bag in bags.items():
+        for x in bag:
+            raw[x] += 1
+            good[x] += i in targets
+    out = {}
+    for i, text in docs:
+        weight = sum(math.log(good[x] / sum_good) - math.log(raw[x] / sum_raw) for sum_good, sum_raw in [(sum(good), sum(raw))] for x in bags[i])
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        for part in (str(i), text or ""):
+            h = xxhash.xxh64_intdigest(part.encode(), h)
+        out[i] = (weight, weight - math.log(-math.log(((h >> 11) + 0.5) / 2**53)))
+    return out, set(sorted(out, key=lambda i: -out[i][1])[: math.ceil(share * len(out))])

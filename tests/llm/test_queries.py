@@ -69,10 +69,14 @@ def test_substring(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("sf", DIRS)
 def test_quality(spark, sf):
-    out = queries.op8_quality(spark, sf).collect()
-    chosen = sorted(out, key=lambda r: -r["draw"])[: -(-len(out) // 2)]
-    assert {r["doc_id"] for r in out if r["selected"]} == {r["doc_id"] for r in chosen}
+    targets = {i for i, y in rows(sf, "labels", "doc_id, quality") if y == 1}
+    want, chosen = brute.resampled(rows(sf, "documents", "doc_id, text"), targets, 0.5, 23, 10_000)
+    got = {r["doc_id"]: r for r in queries.op8_quality(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i]["log_weight"] - w) < 1e-6 and abs(got[i]["draw"] - d) < 1e-6 for i, (w, d) in want.items())
+    assert {i for i, r in got.items() if r["selected"]} == chosen
 
 
 @pytest.mark.parametrize("sf", DIRS)
