@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cleared, cut
+from palimpsest.llm.common import cleared, cut, least
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -89,17 +89,19 @@ def cut_off(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float
 
 def _picked(rows: DataFrame, most: int) -> DataFrame:
     """(key, h) of at most ``most`` different texts, those with the least hash."""
-    return rows.groupBy("h").agg(F.min("key").alias("key")).orderBy("h").limit(most)
+    return least(rows.groupBy("h").agg(F.min("key").alias("key")), F.col("h"), most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = 4000, unlabelled: int = 16000, features: int = 512, lift: float = 2.5, least: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = 4000, unlabelled: int = 16000, features: int = 512, lift: float = 2.5, rarest: int = 3) -> Model:
     """A model from at most ``positives`` toxic and ``unlabelled`` other different texts that aren't held out.
 
     The sample is bounded, so that the driver and one task can hold what the fit
     needs: which of at most ``features`` words each sampled text has.  The class
-    prior is the share of toxic among the labels that aren't held out (0.1
+    prior is the share of toxic among the labels that aren't held out, taken as at least 0.001 and at most 0.5 (0.1
     without any).  Without positives every score is the prior.  The bias is set so that
     0.5 is where F1 is best, as far as positives and unlabelled text can tell.
+    Rows with a null key take no part; of the rows of a repeated key the least text does,
+    and a key that any label calls toxic is toxic.
     """
     ident = F.col(f"`{key}`")
     rows = docs.where(ident.isNotNull() & ~held_out(ident)).select(ident.alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
@@ -113,21 +115,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     other = _picked(rows, unlabelled).withColumn("y", F.lit(0))
     chosen = cut(yes.unionByName(other))  # at most positives + unlabelled rows
     body = docs.select(ident.alias("key"), F.col(f"`{text}`").alias("text"))
-    body = body.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    # Of the rows of a repeated key the least text stands, so that reruns agree.
+    body = body.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
 
     def spread(batches):
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sorted(words(x))
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int64()), pa.array(own, pa.string())], names=["key", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), batch.column(0).type), pa.array(own, pa.string())], names=["key", "word"])
 
-    pairs = body.select(F.col("key").cast("long"), "text").mapInArrow(spread, "key long, word string").join(F.broadcast(chosen.select(F.col("key").cast("long").alias("key"), "y")), "key")
+    pairs = body.select("key", "text").mapInArrow(spread, f"key {kind}, word string").join(F.broadcast(chosen.select("key", "y")), "key")
     pairs = cut(pairs)
     sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     np_, nu = sizes.get(1, 0), sizes.get(0, 0)
     if not np_ or not nu:
         return flat
-    found = pairs.groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= least)
+    found = pairs.groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= rarest)
     found = found.withColumn("lift", F.col("p") / np_ / ((F.col("u") + 1) / nu)).where(F.col("lift") >= lift)
     found = found.withColumn("gain", F.col("p") * F.log("lift")).orderBy(F.desc("gain"), "word").limit(features)
     vocabulary = [r["word"] for r in found.collect()]

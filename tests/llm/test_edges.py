@@ -213,6 +213,19 @@ def test_toxicity_learns_words_and_odd_rows(spark):
     assert toxicity.score(rows, empty).select("score").distinct().count() == 1
 
 
+def test_toxicity_of_repeated_null_and_text_keys(spark):
+    texts, labels = [], []
+    for i in range(300):
+        texts.append(" ".join(words(30, i) + (["vile"] if i % 6 == 0 else [])))
+        labels.append((i, int(i % 6 == 0)))
+    rows, marks = docs(spark, texts), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    again = rows.unionByName(docs(spark, ["vile other text"] * 4, [1, 1, None, None])).unionByName(rows)
+    first = toxicity.fit(again, marks.union(marks))
+    assert first == toxicity.fit(again.repartition(7), marks)
+    named = toxicity.fit(rows.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), marks.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert named.score("vile") >= 0.5 > named.score("w1")
+
+
 def test_nn_pu_doesnt_call_unlabelled_positives_negative():
     rng = np.random.default_rng(0)
     positive, negative = rng.normal(2, 1, (200, 2)), rng.normal(-2, 1, (700, 2))
