@@ -140,22 +140,56 @@ FROM docs LEFT JOIN kept USING (r)
 
 
 def _listed(rows) -> str:
-    return ", ".join(f"('{label}', {[w.decode() for w in words]}, {least})" for label, words, least in rows)
+    return ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in rows)
 
 
+def _words(text: str) -> list[str]:
+    return [w.decode() for w in licenses.tokens(text)]
+
+
+_PHRASES = _listed((k, _words(v)) for k, v in licenses.PHRASES.items())
+_NOTICES = _listed((i, label, sorted(set(_words(text))), len(_words(text)), _words(telling)) for i, (label, text, telling) in enumerate(licenses.NOTICES))
+
 OP10_SQL = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 words AS (SELECT r, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM docs),
-phrases(label, own, least) AS (VALUES {_listed((k, licenses.tokens(v), 0) for k, v in licenses.PHRASES.items())}),
-notices(label, own, least) AS (VALUES {_listed(licenses.Notices(licenses.NOTICES, {}, 0.8).rows)}),
+phrases(label, own) AS (VALUES {_PHRASES}),
+texts(notice, label, own, size, telling) AS (VALUES {_NOTICES}),
+notices AS (SELECT *, greatest(1, ceil(0.8 * len(own) - 1e-9))::INT AS least, ceil(size / 0.8 - 1e-9)::INT AS width FROM texts),
 base AS (
   SELECT r, label, i - 1 AS at_word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words), phrases
   WHERE w[i] = own[1] AND w[i : i + len(own) - 1] = own),
-lines AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM docs),
+lines AS (
+  SELECT r, i, regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT r, generate_subscripts(string_split(t, chr(10)), 1) AS i, unnest(string_split(t, chr(10))) AS line FROM docs)),
+parts AS (SELECT r, i, w, count(*) FILTER (len(w) = 0) OVER (PARTITION BY r ORDER BY i) AS p FROM lines),
+placed AS (
+  SELECT r, p, word, row_number() OVER (PARTITION BY r, p ORDER BY i, k) AS at_word
+  FROM (SELECT r, p, i, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM parts WHERE len(w) > 0)),
+own_words AS (SELECT notice, least, width, telling, unnest(own) AS word FROM notices),
+hits AS (SELECT r, p, notice, at_word, word, least, width, telling FROM placed JOIN own_words USING (word)),
+near AS (SELECT r, p, notice FROM hits GROUP BY r, p, notice HAVING count(DISTINCT word) >= any_value(least)),
+tried AS (SELECT * FROM hits SEMI JOIN near USING (r, p, notice)),
+latest AS (
+  SELECT a.r, a.p, a.notice, a.at_word, b.word, max(b.at_word) AS last_at
+  FROM tried a JOIN tried b ON a.r = b.r AND a.p = b.p AND a.notice = b.notice AND b.at_word <= a.at_word AND b.at_word > a.at_word - a.width
+  GROUP BY a.r, a.p, a.notice, a.at_word, b.word),
+ends AS (
+  SELECT l.r, l.p, l.notice, l.at_word, count(*) AS n, min(last_at) AS first_at,
+         count(*) >= any_value(x.least) AND list_has_all(list(l.word), any_value(x.telling)) AS good
+  FROM latest l JOIN notices x ON x.notice = l.notice GROUP BY l.r, l.p, l.notice, l.at_word),
+runs AS (
+  SELECT *, count(*) FILTER (NOT good) OVER (PARTITION BY r, p, notice ORDER BY at_word) AS run FROM ends),
+best AS (
+  SELECT r, p, notice, max(n) AS n, arg_min(first_at, (-n, at_word)) AS first_at, arg_min(at_word, (-n, at_word)) AS last_at
+  FROM runs WHERE good GROUP BY r, p, notice, run),
 found AS (
-  SELECT r, label, len(list_intersect(own, w)) / len(own) AS share FROM lines, notices
-  WHERE len(list_intersect(own, w)) >= least),
+  SELECT b.r, x.label, b.n / len(x.own) AS share FROM best b JOIN notices x USING (notice)
+  WHERE NOT EXISTS (
+    SELECT 1 FROM best o JOIN notices y ON y.notice = o.notice
+    WHERE o.r = b.r AND o.p = b.p AND o.first_at <= b.last_at AND o.last_at >= b.first_at
+      AND list_has_all(y.telling, x.telling) AND NOT list_has_all(x.telling, y.telling))),
 of_base AS (
   SELECT r, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM base GROUP BY r),

@@ -3,12 +3,14 @@
 import random
 import time
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import ann, components, decontaminate, html, licenses, mixing, pii, quality, simhash, substring, toxicity
+from palimpsest.llm import ann, components, decontaminate, html, licenses, mixing, pii, quality, queries, simhash, substring, toxicity
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -405,33 +407,75 @@ def test_pages_odd(spark):
 
 
 def test_licenses_join_is_exact(spark):
-    notices = [("a", "the quick brown fox jumps"), ("b", "quick red fox"), ("c", "x")]
-    texts = [None, "", "the QUICK brown fox\nred fox quick", "fox brown the jumps", "x\n\nx y", "lazy dog", "under the MIT license. Apache License, Version 2.0; CC-BY-NC under the mit license"]
+    """Against every run of words of every paragraph."""
+    notices = [("a", "the quick brown fox jumps", "fox"), ("b", "quick red fox", ""), ("c", "x", ""), ("d", "the red fox jumps over", "fox over")]
+    rng = random.Random(6)
+    texts = [None, "", "the QUICK brown fox\nred fox quick", "fox brown the jumps", "x\n\nx y", "lazy dog", "the quick brown\n--\nfox jumps"]
+    texts += [" ".join(rng.choice("the quick brown fox jumps red over x lazy dog and \n \n\n".split(" ")) for _ in range(rng.randrange(60))) for _ in range(80)]
     out = licenses.scan(docs(spark, texts), notices=notices).collect()
     for r in out:
-        lines = [set(brute.ALNUM.findall(x.translate(brute.LOWER))) for x in (texts[r["doc_id"]] or "").split("\n")]
-        want = {(k, i) for i, line in enumerate(lines) for k, t in notices if len(set(t.split()) & line) >= 0.8 * len(set(t.split()))}
-        assert {(f["label"], f["line"]) for f in r["found"]} == want
-    last = out[-1]
-    assert (last["n_base"], last["first_word"], last["last_word"], last["base_labels"]) == (4, 0, 12, ["apache-2", "cc-by-nc", "mit"])
+        want = {}
+        lines = [brute.ALNUM.findall(x.translate(brute.LOWER)) for x in (texts[r["doc_id"]] or "").split("\n")]
+        for start, end in licenses.paragraphs(lines):
+            own = [w for line in lines[start:end] for w in line]
+            runs = {}
+            for label, text, telling in notices:
+                wanted, width = set(text.split()), -(-len(text.split()) // 0.8)
+                blocks = [(i, j, len(wanted & set(own[i:j]))) for i in range(len(own)) for j in range(i + 1, min(len(own), i + int(width)) + 1)]
+                runs[label] = [(i, j, n) for i, j, n in blocks if n >= 0.8 * len(wanted) and set(telling.split()) <= set(own[i:j])]
+            for label, text, _ in notices:
+                best = max((n for i, j, n in runs[label] if not (label == "a" and any(i < y and x < j for x, y, _ in runs["d"]))), default=0)
+                if best:
+                    want[label] = max(want.get(label, 0), best / len(set(text.split())))
+        got = {}
+        for f in r["found"]:
+            got[f["label"]] = max(got.get(f["label"], 0), f["share"])
+        assert {k: v for k, v in got.items() if k != "a"} == {k: v for k, v in want.items() if k != "a"}, texts[r["doc_id"]]
+        assert set(want) - {"a"} <= set(got) <= {k for k, _, _ in notices}
+        assert all(lines[f["line"]] for f in r["found"])
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
-WRAPPED = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
-    "mit ": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
-    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
-    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\r\n# are met:",
-}
+def test_license_phrases(spark):
+    last = licenses.scan(docs(spark, ["under the MIT license. Apache License, Version 2.0; CC-BY-NC under the mit license"])).first()
+    assert (last["n_base"], last["first_word"], last["last_word"], last["base_labels"]) == (4, 0, 12, ["apache-2", "cc-by-nc", "mit"])
+
+
+_GPL = "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation"
+LICENSED = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction": "mit",
+    "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.": "mit",
+    "Released under the MIT License.": "mit",
+    "released under the License": "",
+    f" * {_GPL}, either version 3 of the License, or": "gpl-3",
+    f" * {_GPL}; either version 2\n * of the License, or (at your option) any later version": "gpl-2",
+    f"{_GPL}.": "gpl",
+    "licensed under the GNU General Public License": "gpl",
+    "licensed under the GNU Lesser General Public License": "lgpl",
+    "licensed under the GNU Affero General Public License, version 3": "agpl-3",
+    "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\r\n# are met:": "bsd",
+    "This work is licensed under CC BY 4.0.": "cc-by",
+    "This work is licensed under CC BY-SA 4.0.": "cc-by-sa",
+    "licensed under CC-BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa",
+    "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "\n\n".join(f"{w} a b c" for w in _GPL.split()): "",
+    "Licensed under the Apache License,\nVersion 2.0 (the License); you may not use this file except in compliance with the License.": "apache-2",
+    "the software " * 3000 + "is licensed under CC BY 4.0 " + "by the license of a 4.0 general public nc sa " * 300: "cc-by",
+}
 
 
-def test_licenses_of_wrapped_notices(spark):
-    texts = [f"Some code here\n\n{x}\n\nmore of it\n" for x in WRAPPED.values()]
-    texts += [f"A head of this file\n{WRAPPED['gpl']}\nand a tail\n{WRAPPED['bsd']}\nend", "\n\n".join(f"{w} a b c" for w in WRAPPED["gpl"].split())]
-    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
-    for i, label in enumerate(WRAPPED):
-        assert got[i]["labels"] == [label.strip()] and got[i]["score"] >= 0.9 and [f["line"] for f in got[i]["found"]] == [2], texts[i]
-    assert got[4]["labels"] == ["bsd", "gpl"] and got[5]["labels"] == []
+def test_labels_of_licenses_and_their_sql(spark):
+    """Labels of usual notices, wrapped or not; and the SQL over the same texts."""
+    texts = [f"Some code here\n\n{x}\n\nmore of it\n" for x in LICENSED] + [f"A head\n{_GPL}\nand\n" + "Released under the MIT License\n" * 3 + "end", None, ""]
+    rows = docs(spark, texts)
+    got = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    assert {x: ",".join(got[i]["labels"]) for i, x in enumerate(LICENSED)} == LICENSED
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    for i, *row in con.execute(queries.OP10_SQL).fetchall():
+        r = got[i]
+        assert row == [r["n_words"], r["n_base"], r["first_word"], r["last_word"], ",".join(r["base_labels"]), ",".join(r["labels"]), r["score"]], texts[i]
 
 
 # ---- the pipeline
