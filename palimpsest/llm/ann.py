@@ -7,29 +7,36 @@ A beam search picks each vector's code words; its approximation's error enters
 through a stored norm.  A query's products with all code words are a lookup
 table, so that a stored vector's score is a few lookups.  The best by lookup are scored
 again on the original vectors, in double precision.
+
+The first code word is a vector's inverted list.  How many lists a query looks
+into is measured on the sample: as many as hold nearly all true neighbours
+there.  Vectors that lie in clusters need a few; where there is no structure, so that
+this comes to over half of the lists, all are looked into.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, least
 
 
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): one row for each key, v an array of doubles.
+    """(id, v): one row for each key, v an array of floats where it was one, else of doubles.
 
     Rows take no part whose key or vector is null, or whose vector is empty,
     zero, or holds null or non-finite components; of several rows of one key
     the least vector stands.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast(kind).alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("id is not null and v is not null").where(finite & F.exists(v, lambda x: x != 0))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
@@ -103,33 +110,81 @@ def train(x: np.ndarray, stages: int = 32, words: int = 64, rounds: int = 6, ref
     return found
 
 
-def fit(rows: DataFrame, sample: int = 8192, **how) -> Books | None:
-    """Codebooks from at most ``sample`` vectors, those with the least hash of their key."""
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+@dataclass
+class Index:
+    """Codebooks, the middle of each first word's list, and how many lists a query looks into."""
+
+    books: np.ndarray
+    middles: np.ndarray
+    probes: int
+
+
+def lists_needed(x: np.ndarray, own: np.ndarray, middles: np.ndarray, k: int = 20, share: float = 0.98, queries: int = 256) -> int:
+    """How many lists, by product with their middles, hold ``share`` of the ``k`` nearest of sampled queries; all if over half of them."""
+    asked = x[:queries]
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(middles)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(asked @ middles.T), axis=1, kind="stable"), axis=1)
+    needed = int(np.quantile(np.take_along_axis(place, own[best], 1), share)) + 1
+    return needed if 2 * needed <= len(middles) else len(middles)
+
+
+def fit(rows: DataFrame, sample: int = 8192, beam: int = 8, **how) -> Index | None:
+    """An index from at most ``sample`` vectors, those with the least hash of their key."""
+    picked = [r["v"] for r in least(rows, F.xxhash64("id"), sample, "id").select("v").collect()]
     if not picked:
         return None
-    size = max(len(r["v"]) for r in picked)
-    return train(np.array([r["v"] for r in picked if len(r["v"]) == size]), **how)
+    size = max(map(len, picked))
+    x = np.array([v for v in picked if len(v) == size], dtype=np.float64)
+    books = train(x, **how)
+    own = books.encode(x, beam)[:, 0].astype(np.int64)
+    middles = np.zeros((books.books.shape[1], size))
+    np.add.at(middles, own, x)
+    middles /= np.maximum(np.bincount(own, minlength=len(middles)), 1)[:, None]
+    return Index(books.books, middles, lists_needed(x, own, middles))
 
 
-def encode(rows: DataFrame, books: Books, beam: int = 8) -> DataFrame:
-    """(id, v) to (id, codes, norm): code words and the ratio of the vector's norm to its approximation's."""
-    held = rows.sparkSession.sparkContext.broadcast(books.books)
+def encode(rows: DataFrame, books: np.ndarray, beam: int = 8) -> DataFrame:
+    """(id, v) to (id, codes, list, norm): code words, the first of them, and the ratio of the vector's norm to its approximation's."""
+    held = rows.sparkSession.sparkContext.broadcast(books)
 
     def run(frames):
         own = Books(held.value)
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
-                x = np.stack(part["v"].to_numpy())
+                x = np.stack(part["v"].to_numpy()).astype(np.float64)
                 codes = own.encode(x, beam)
                 near = np.linalg.norm(own.decode(codes), axis=1)
-                yield pd.DataFrame({"id": part["id"], "codes": [c.tobytes() for c in codes], "norm": np.linalg.norm(x, axis=1) / np.where(near > 0, near, 1)})
+                yield pd.DataFrame({"id": part["id"], "codes": [c.tobytes() for c in codes], "list": codes[:, 0].astype(np.int32), "norm": np.linalg.norm(x, axis=1) / np.where(near > 0, near, 1)})
+
+    return rows.mapInPandas(run, "id long, codes binary, list int, norm double")
 
-    return rows.mapInPandas(run, "id long, codes binary, norm double")
 
+def blocks_of(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """(first block, blocks) of each list: a long list has several of its own, short ones share one, of about ``block`` rows each."""
+    out, number, filled = {}, 0, 0
+    for name, n in sorted(sizes.items()):
+        if filled and filled + n > block:
+            number, filled = number + 1, 0
+        parts = max(1, math.ceil(n / block))
+        out[name] = (number, parts)
+        number, filled = (number + parts, 0) if parts > 1 else (number, filled + n)
+    return out
 
-def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = 400, block: int = 16384, queries: int = 1024, **how) -> DataFrame:
+
+def lookups(wanted: np.ndarray, books: np.ndarray) -> list[np.ndarray]:
+    """Tables of the queries' products with all sums of two code words (of neighbouring books), or of one if their number is odd."""
+    each = np.einsum("qd,mkd->mkq", wanted.astype(np.float32), books)
+    pairs = [(each[j][:, None] + each[j + 1][None]).reshape(-1, len(wanted)) for j in range(0, len(each) - 1, 2)]
+    return pairs + [each[-1]] * (len(each) % 2)
+
+
+def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = 400, block: int = 16384, queries: int = 2048, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query.
 
     Queries are the rows whose key ``every`` divides, candidates are all rows but the
@@ -139,11 +194,10 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     vector of another length than most is left out too, as products with it
     aren't defined.  No valid rows give no rows.
 
-    Every row is in the index; the codebooks alone are fitted on a sample
-    (``fit``).  With 32 books of 64 words (24 bytes of code) and 400 candidates
-    scored again, 98 % of the true neighbours are found among 51,282 vectors of 64 dimensions.  Queries and codes are dealt out in blocks that meet in pairs;
-    a task holds one block of each, and hands on a query's best
-    ``rerank`` of the block in one row.
+    Every row is in the index (32 books of 64 words: 32 bytes of code); the codebooks alone are fitted on a sample
+    (``fit``).  Codes are dealt into blocks by list, queries to the blocks of the
+    lists that they look into; a task holds one block and at most about ``queries`` queries, and hands on a
+    query's best ``rerank`` of the block in one row.  Such rows are merged 16 at a time.
     """
     rows = cut(valid(vectors, key, vector))
     out = "query_id long, rank int, vec_id long, score double"
@@ -151,50 +205,74 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     if common is None:
         return rows.sparkSession.createDataFrame([], out)
     rows = rows.where(F.size("v") == common["size"])
-    books = fit(rows, **how)
+    index = fit(rows, **how)
+    coded = cut(encode(rows, index.books))
+    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row for each first word
+    dealt = blocks_of(sizes, block)
+    spark = rows.sparkSession
+    where = F.broadcast(spark.createDataFrame([(name, *own) for name, own in dealt.items()], "list int, start int, parts int"))
+    coded = coded.join(where, "list").select("id", "codes", "norm", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("cb"))
     asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    blocks = max(1, math.ceil(common["count"] / block))
-    parts = max(1, math.ceil(asked.count() / queries))
-    deal = lambda frame, own, n, other, most: frame.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    coded = deal(cut(encode(rows, books)), "cb", blocks, "qb", parts)
-    asked = deal(asked, "qb", parts, "cb", blocks)
-    held = rows.sparkSession.sparkContext.broadcast(books.books)
-
-    def scored(codes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    held = spark.sparkContext.broadcast(index)
+    starts = np.array([dealt.get(i, (-1, 0)) for i in range(len(index.middles))])
+
+    def aim(frames):
+        middles, probes = held.value.middles, held.value.probes
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+                order = np.argsort(-(x @ middles.T), axis=1, kind="stable")[:, :probes]
+                found = [sorted({b for a, n in starts[own] for b in range(a, a + n)}) for own in order]
+                yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "blocks": found})
+
+    kind = rows.schema["v"].dataType.simpleString()
+    asked = asked.mapInPandas(aim, f"id long, v {kind}, blocks array<int>")
+    asked = cut(asked.select("id", "v", F.explode("blocks").alias("cb")))
+    # How many parts the queries of a block are dealt into, and a copy of its codes for each.
+    shares = asked.groupBy("cb").agg(F.ceil(F.count("*") / queries).cast("int").alias("shares"))
+    asked = asked.join(shares, "cb").select("id", "v", "cb", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("qb"))
+    coded = coded.join(shares, "cb").select("id", "codes", "norm", "cb", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("qb"))
+
+    def scored(names: tuple, codes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(codes) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": [], "cb": [], "ids": [], "scores": []})
         codes = codes.sort_values("id")
-        own = held.value
+        own = held.value.books
         stages, words, _ = own.shape
-        at = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(-1, stages).astype(np.int64)
+        at = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(-1, stages).astype(np.int32)
+        both = [at[:, j] * words + at[:, j + 1] for j in range(0, stages - 1, 2)] + [at[:, -1]] * (stages % 2)
         ids, norm = codes["id"].to_numpy(), codes["norm"].to_numpy(np.float32)
-        names, found, scores = [], [], []
-        for begin in range(0, len(wanted), 64):
-            part = wanted.iloc[begin : begin + 64]
-            lookup = np.einsum("qd,mkd->mkq", np.stack(part["v"].to_numpy()).astype(np.float32), own)
-            total = lookup[0][at[:, 0]]
-            for j in range(1, stages):
-                total = total + lookup[j][at[:, j]]
-            total = (total * norm[:, None]).T
-            for name, row in zip(part["id"].tolist(), np.ascontiguousarray(total), strict=True):
-                row = np.where(ids == name, -np.inf, row)
+        asked_ids, found, scores = [], [], []
+        for begin in range(0, len(wanted), 32):
+            part = wanted.iloc[begin : begin + 32]
+            tables = lookups(np.stack(part["v"].to_numpy()), own)
+            total, buffer = tables[0][both[0]], None
+            for table, place in zip(tables[1:], both[1:], strict=True):
+                buffer = np.take(table, place, axis=0, out=buffer, mode="clip")
+                total += buffer
+            total = np.ascontiguousarray((total * norm[:, None]).T)
+            for name, row in zip(part["id"].tolist(), total, strict=True):
+                row[ids == name] = -np.inf
                 if len(row) > rerank:  # the best, of equals those with the smallest ids
-                    least = np.partition(row, len(row) - rerank)[len(row) - rerank]
-                    above = np.flatnonzero(row > least)
-                    pick = np.concatenate([above, np.flatnonzero(row == least)[: rerank - len(above)]])
+                    limit = np.partition(row, len(row) - rerank)[len(row) - rerank]
+                    above = np.flatnonzero(row > limit)
+                    pick = np.concatenate([above, np.flatnonzero(row == limit)[: rerank - len(above)]])
                 else:
                     pick = np.arange(len(row))
                 pick = pick[row[pick] > -np.inf]
-                names.append(name)
+                asked_ids.append(name)
                 found.append(ids[pick])
                 scores.append(row[pick].astype(np.float64))
-        return pd.DataFrame({"query_id": names, "ids": found, "scores": scores})
+        return pd.DataFrame({"query_id": asked_ids, "cb": int(names[0]), "ids": found, "scores": scores})
 
-    near = coded.groupBy("cb", "qb").cogroup(asked.groupBy("cb", "qb")).applyInPandas(scored, "query_id long, ids array<long>, scores array<double>")
-    pairs = F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("s"), i.alias("i")))
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, rerank).alias("best"))
+    near = coded.groupBy("cb", "qb").cogroup(asked.groupBy("cb", "qb")).applyInPandas(scored, "query_id long, cb int, ids array<long>, scores array<double>")
+    best = near.select("query_id", "cb", F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("s"), i.alias("i"))).alias("best"))
+    count = max(a + n for a, n in dealt.values())
+    while count > 1:
+        top = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, rerank)
+        best, count = best.groupBy("query_id", F.floor(F.col("cb") / 16).cast("int").alias("cb")).agg(top.alias("best")), math.ceil(count / 16)
     wanted = best.select("query_id", F.explode("best.i").alias("id"))
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     exact = wanted.join(rows, "id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", F.col("id").alias("vec_id"), product.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -94,6 +94,27 @@ def test_ann_odd_vectors(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_ann_recall_where_few_are_scored_again(spark, clusters):
+    """20,000 vectors, of which 400 (2 %) a query are scored again; without structure, and in clusters, where few lists are looked into."""
+    rng = np.random.default_rng(clusters)
+    x = rng.normal(size=(20_000, 32))
+    if clusters:
+        x = 0.25 * x + rng.normal(size=(clusters, 32))[rng.integers(clusters, size=len(x))]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(map(np.ndarray.tolist, x))}), "vec_id long, embedding array<float>").repartition(4)
+    index = ann.fit(ann.valid(table, "vec_id", "embedding"))
+    assert (index.probes <= 16) if clusters else (index.probes == len(index.middles))
+    got = ann.search(table, every=200, block=4096, queries=50).toPandas()
+    want = np.argsort(-(x[::200].astype(float) @ x.T.astype(float) - 9.0 * (np.arange(len(x))[None] == np.arange(0, len(x), 200)[:, None])), axis=1)[:, :20]
+    found = [len(set(got[got["query_id"] == 200 * i]["vec_id"]) & set(own)) / 20 for i, own in enumerate(want.tolist())]
+    assert len(got) == 100 * 20 and np.mean(found) >= 0.9, np.mean(found)
+
+
+def test_ann_blocks():
+    assert ann.blocks_of({0: 5, 1: 5, 2: 30, 3: 1, 4: 9}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1)}
+
+
 # ---- personal data
 
 PRIVATE = [
