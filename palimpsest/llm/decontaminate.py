@@ -131,11 +131,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
     out = docs
     for number, part in enumerate(slices):
-        held = sc.broadcast(part)
+        held = sc.broadcast(Windows(part, width))  # built once, and read once by each worker
         last = number == total - 1
 
         def run(batches, held=held, number=number, last=last):
-            windows = Windows(held.value, width)
+            windows = held.value
             for batch in batches:
                 names = batch.schema.names
                 texts = batch.column(names.index(text)).to_pylist()
