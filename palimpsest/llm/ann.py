@@ -99,7 +99,8 @@ def train(x: np.ndarray, stages: int = 32, words: int = 64, rounds: int = 6, ref
         both = np.zeros((stages * words, stages * words), np.float32)
         for a in range(stages):
             for b in range(stages):
-                np.add.at(both, (codes[:, a], codes[:, b]), 1)
+                pairs = np.bincount((codes[:, a] - a * words) * words + codes[:, b] - b * words, minlength=words * words)
+                both[a * words : (a + 1) * words, b * words : (b + 1) * words] = pairs.reshape(words, words)
         target = np.zeros((stages * words, x.shape[1]), np.float64)
         for a in range(stages):
             np.add.at(target, codes[:, a], x)
