@@ -2,14 +2,16 @@
 
 Seeds are winnowed anchors: of the ``window - gram + 1`` grams in a window the one with
 the least hash, leftmost first, so that equal windows have equal anchors at equal
-places and each window belongs to one anchor.  Anchors that occur once end
-there.  Occurrences of the others meet, and each is extended both ways over all
-windows that belong to its anchor, by hashes of whole windows; adjoining
-windows that an earlier place has too are one repeat, as long as it goes.
+places and each window belongs to one anchor.  A text is read once: an
+occurrence of an anchor goes out with hashes of all windows that belong to it, which is as far as
+the match can be extended both ways around it.  Occurrences of one anchor meet,
+and adjoining windows that an earlier place has too are one repeat, as long as it goes.
 
-An anchor with more than ``crowd`` occurrences is dealt over several tasks by
+An anchor with more than about ``crowd`` occurrences is dealt over several tasks by
 document.  What is first of its kind within such a share meets the first ones
-of the other shares in a second, far smaller round.
+of the other shares in a second, far smaller round, which is dealt by window.
+Which anchors these are is estimated beforehand on some documents; the estimate
+decides where work is done, never what is found.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from palimpsest.llm.common import cut
 
 GRAM = 5
+#: Words that are hashed together, and anchors at most that are dealt over several tasks: any other has less than a ten-thousandth of all occurrences.
+WORDS, HOT = 400_000, 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -42,31 +47,6 @@ def _runs(x: np.ndarray, n: int, by: np.uint64) -> np.ndarray:
     return _mixed(out)
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").split()
-
-
-def anchors(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, hash of each gram, and for each window the place of its anchor."""
-    x = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    if len(words) < window:
-        return x, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = _runs(x, gram, _A)
-    n, width = len(words) - window + 1, window - gram + 1
-    best, owner = grams[:n].copy(), np.arange(n)
-    for k in range(1, width):
-        less = grams[k : k + n] < best
-        best[less] = grams[k : k + n][less]
-        owner[less] = np.flatnonzero(less) + k
-    return x, grams, owner
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    """An Arrow column with one list for each array."""
-    offsets = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-
-
 def _packed(high: str, low: str) -> Column:
     """Two numbers below 2**31 as one long: a quarter of a struct's size in an array."""
     return F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)
@@ -77,126 +57,159 @@ def _unpacked(longs) -> tuple[np.ndarray, np.ndarray]:
     return both >> 32, both & 0xFFFFFFFF
 
 
-def _seeds(window: int):
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
+
+
+def occurrences(texts: list[bytes | None], window: int, gram: int = GRAM):
+    """(text, anchor, first window, number of windows) of each occurrence, in order, and the hashes of all windows in their order.
+
+    Arrays; ``text`` and the first window's place count from 0.
+    """
+    words = list(map(_words, texts))
+    sizes = np.array(list(map(len, words)), np.int64)
+    x = np.fromiter((xxhash.xxh64_intdigest(w) for own in words for w in own), np.uint64, int(sizes.sum()))
+    if len(x) < window:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    grams, n = _runs(x, gram, _A), len(x) - window + 1
+    best, owner = grams[:n].copy(), np.arange(n)
+    for k in range(1, window - gram + 1):
+        less = np.flatnonzero(grams[k : k + n] < best)
+        best[less] = grams[k + less]
+        owner[less] = k + less
+    text = np.repeat(np.arange(len(texts)), sizes)[:n]
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(n) - starts[text]
+    inside = np.flatnonzero(place + window <= sizes[text])  # windows that don't run on into the next text
+    text, place, owner = text[inside], place[inside], owner[inside]
+    if not len(inside):
+        return text, text, text, text, text
+    begin = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
+    return text[begin], grams[owner[begin]].view(np.int64), place[begin], np.diff(np.r_[begin, len(inside)]), _runs(x, window, _B)[inside].view(np.int64)
+
+
+def _portions(batches):
+    """(uids, texts) of about ``WORDS`` words each."""
+    uids, texts, size = [], [], 0
+    for batch in batches:
+        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            uids.append(uid)
+            texts.append(text)
+            size += len(text or b"") // 5
+            if size >= WORDS:
+                yield uids, texts
+                uids, texts, size = [], [], 0
+    if uids:
+        yield uids, texts
+
+
+def crowded(rows: DataFrame, window: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of more than about ``crowd`` occurrences, at most ``HOT``, sorted, and how many shares each is dealt into.
+
+    Counted in one document of 32, or more if ``crowd`` is small.
+    """
+    one_of = max(1, min(32, crowd // 16))
+
     def run(batches):
-        for batch in batches:
-            uids, hashes, places = [], [], []
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, grams, owner = anchors(_words(text), window)
-                if len(owner):
-                    own = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                    uids.append(uid)
-                    hashes.append(grams[owner[own]].view(np.int64))
-                    places.append(owner[own].astype(np.int32))
-            if uids:
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), _lists(hashes), _lists(places)], names=["uid", "anchors", "places"])
+        for _, texts in _portions(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(occurrences(texts, window)[1])], names=["anchor"])
 
-    return run
+    some = rows.select("uid", "text").where(F.pmod(F.xxhash64(F.lit("crowd"), "uid"), F.lit(one_of)) == 0).mapInArrow(run, "anchor long")
+    most = some.groupBy("anchor").count().where(F.col("count") * one_of > crowd).orderBy(F.desc("count"), "anchor").limit(HOT).collect()
+    found = np.array(sorted((r["anchor"], -(-r["count"] * one_of // crowd)) for r in most), np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
-def _extended(window: int):
+def _met(window: int, hot: np.ndarray, shares: np.ndarray):
     def run(batches):
-        for batch in batches:
-            rows, lists = [[], [], [], []], []
-            for uid, text, seeds in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x, grams, owner = anchors(_words(text), window)
-                whole = _runs(x, window, _B).view(np.int64)
-                shares, own = _unpacked(seeds)
-                order = np.argsort(own)
-                shares, own = shares[order], own[order]
-                low, high = np.searchsorted(owner, own, "left"), np.searchsorted(owner, own, "right")
-                rows[0].append(grams[own].view(np.int64))
-                share = _mixed(np.array([uid], np.int64).view(np.uint64))
-                rows[1].append(np.where(shares > 1, (share % shares.astype(np.uint64)).astype(np.int64), -1))
-                rows[2].append(np.full(len(own), uid, np.int64))
-                rows[3].append(low.astype(np.int64))
-                lists.extend(whole[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True))
-            if lists:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(r)) for r in rows), _lists(lists)], names=["anchor", "share", "uid", "low", "windows"])
+        for uids, texts in _portions(batches):
+            text, anchor, low, n, windows = occurrences(texts, window)
+            uid = np.array(uids, np.int64)[text]
+            share = np.full(len(anchor), -1, np.int64)
+            if len(hot) and len(anchor):
+                at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                is_hot = hot[at] == anchor
+                share[is_hot] = (_mixed(uid[is_hot].view(np.uint64)) % shares[at[is_hot]].astype(np.uint64)).astype(np.int64)
+            offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(share.astype(np.int32)), pa.array(uid), pa.array(low.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows))], names=["anchor", "share", "uid", "low", "windows"])
 
     return run
 
 
-def _repeats(first_ones: bool):
-    """Rows sorted by (anchor, share, uid, low) to repeats [a, z] of window starts.
+def _repeats(batches):
+    """Rows sorted by (anchor, share, uid, low) to repeats (uid, a, z) of window starts [a, z], with share -1 and without window.
 
-    With ``first_ones``, instead the windows that are first in a share of
-    a crowded anchor, as (uid, a, a, anchor, window).
+    Of shares of a crowded anchor also what is first in the share: (uid, a, a) with share, anchor and window.
     """
-
-    def run(batches):
-        at, seen = None, set()
-        for batch in batches:
-            if first_ones:
-                batch = batch.filter(pa.array(batch.column(1).to_numpy() >= 0))
-            heads = [batch.column(i).to_pylist() for i in range(4)]
-            hashes, offsets = batch.column(4).values.to_numpy().tolist(), batch.column(4).offsets.to_numpy().tolist()
-            out = [[], [], [], [], []]
-            for anchor, share, uid, low, begins, ends in zip(*heads, offsets, offsets[1:], strict=False):
-                own = hashes[begins:ends]
-                if at != (anchor, share):
-                    at, seen = (anchor, share), set()
-                begin = None
-                for k, w in enumerate(own):
-                    if w in seen:
-                        begin = k if begin is None else begin
-                        continue
-                    seen.add(w)
-                    if first_ones:
-                        for column, value in zip(out, (uid, low + k, low + k, anchor, w), strict=True):
-                            column.append(value)
-                    elif begin is not None:
-                        for column, value in zip(out, (uid, low + begin, low + k - 1, 0, 0), strict=True):
-                            column.append(value)
-                    begin = None
-                if begin is not None and not first_ones:
-                    for column, value in zip(out, (uid, low + begin, low + len(own) - 1, 0, 0), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["uid", "a", "z", "anchor", "w"])
-
-    return run
+    last, seen = None, np.zeros(0, np.int64)
+    for batch in batches:
+        anchor, share, uid, low = (batch.column(i).to_numpy() for i in range(4))
+        if not len(anchor):
+            continue
+        begins, ends = batch.column(4).offsets.to_numpy()[:-1], batch.column(4).offsets.to_numpy()[1:]
+        group = np.cumsum(np.r_[False, (anchor[1:] != anchor[:-1]) | (share[1:] != share[:-1])])
+        goes_on = last == (anchor[0], share[0])
+        sizes = np.bincount(group)
+        # An anchor alone has nothing to tell, unless it goes on in another batch or share.
+        tried = (sizes > 1) | (share[np.cumsum(sizes) - 1] >= 0)
+        tried[0] |= goes_on
+        tried[-1] = True
+        rows = np.flatnonzero(tried[group])
+        n = (ends - begins)[rows]
+        at = np.repeat(begins[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        w, row = batch.column(4).values.to_numpy()[at], np.repeat(rows, n)
+        place = low[row] + at - begins[row]
+        order = np.lexsort((w, group[row]))  # stable, so that the earliest of equal windows comes first
+        same = np.r_[False, (w[order][1:] == w[order][:-1]) & (group[row][order][1:] == group[row][order][:-1])]
+        late = np.zeros(len(w), bool)
+        late[order] = same
+        if goes_on:
+            first = group[row] == 0
+            late[first] |= np.isin(w[first], seen)
+        tail = np.unique(w[group[row] == group[-1]])
+        seen = np.union1d(seen, tail) if goes_on and group[-1] == 0 else tail
+        last = (anchor[-1], share[-1])
+        starts = np.flatnonzero(late & ~np.r_[False, late[:-1] & (row[1:] == row[:-1])]) if len(late) else np.zeros(0, np.int64)
+        stops = np.flatnonzero(late & ~np.r_[late[1:] & (row[1:] == row[:-1]), False]) if len(late) else starts
+        firsts = np.flatnonzero(~late & (share[row] >= 0))
+        none = np.zeros(len(starts), np.int64)
+        columns = [(uid[row[starts]], uid[row[firsts]]), (place[starts], place[firsts]), (place[stops], place[firsts]), (none - 1, share[row[firsts]]), (none, anchor[row[firsts]]), (none, w[firsts])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["uid", "a", "z", "share", "anchor", "w"])
 
 
 def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with ``uid``, a long in the order of key, and text where keys repeat; null keys last."""
     ident = F.col(f"`{key}`")
-    odd = docs.groupBy(ident.alias("k")).count().where("count > 1 or k is null")
-    if odd.isEmpty():
-        return docs.withColumn("uid", ident.cast("long")).where("uid is not null")
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        odd = docs.groupBy(ident.alias("k")).count().where("count > 1 or k is null")
+        if odd.isEmpty():
+            return docs.withColumn("uid", ident.cast("long"))
     rows = docs.orderBy(ident.asc_nulls_last(), F.col(f"`{text}`").asc_nulls_first())
-    return cut(rows.withColumn("uid", F.monotonically_increasing_id())).where("uid is not null")
+    return cut(rows.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 2000) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 500) -> DataFrame:
     """(key, text, spans) for each row: the text's bytes, and word ranges to remove, packed as a << 32 | z, or null.
 
     A word goes if a window of ``window`` consecutive words covers it that also
     starts at an earlier place: in a row with a smaller key, or earlier in the
-    same.  Rows of one key stand in the order of their texts, null keys last, so
+    same.  Keys may be of any type that can be ordered.  Rows of one key stand in the order of their texts, null keys last, so
     that of rows that are alike the first stays.  Words are what white
     space separates; null and empty texts have none, and a text shorter than the
     window loses none.  Windows are judged on the input.
     """
     rows = _ordered(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")), "key", "text")
-    # One short row a text; kept, as it's read once to count the anchors and once to place them.
-    seeds = cut(rows.select("uid", "text").mapInArrow(_seeds(window), "uid long, anchors array<long>, places array<int>"))
-    half = F.shiftright("anchor", 32).alias("half")
-    again = seeds.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1")
-    again = again.select("anchor", half, F.ceil(F.col("count") / crowd).cast("int").alias("shares"))
-    each = seeds.select("uid", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("uid", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
-    # The second key has both sides dealt out for this join alone, so that a partition with a common anchor can be split.
-    places = each.select("uid", "anchor", half, "place").join(again, ["anchor", "half"]).groupBy("uid").agg(F.collect_list(_packed("shares", "place")).alias("seeds"))
-    # With all columns, so that the texts dealt out here are dealt out once for both joins.
-    found = rows.join(places, "uid").select("uid", "text", "seeds", "key")
-    windows = found.mapInArrow(_extended(window), "anchor long, share long, uid long, low long, windows array<long>")
+    hot, shares = crowded(rows, window, crowd)
+    windows = rows.select("uid", "text").mapInArrow(_met(window, hot, shares), "anchor long, share int, uid long, low int, windows array<long>")
     met = windows.repartition("anchor", "share").sortWithinPartitions("anchor", "share", "uid", "low")
-    schema = "uid long, a long, z long, anchor long, w long"
-    late = met.mapInArrow(_repeats(False), schema).select("uid", "a", "z")
-    firsts = met.mapInArrow(_repeats(True), schema)
-    order = Window.partitionBy("anchor", "w").orderBy("uid", "a")
-    later = firsts.withColumn("n", F.row_number().over(order)).where("n > 1").select("uid", "a", "z")
-    spans = late.unionByName(later).select("uid", "a", (F.col("z") + window).alias("z")).groupBy("uid").agg(F.collect_list(_packed("a", "z")).alias("spans"))
+    found = cut(met.mapInArrow(_repeats, "uid long, a long, z long, share long, anchor long, w long"))
+    late = found.where("share < 0").select("uid", "a", "z")
+    if len(hot):
+        order = Window.partitionBy("anchor", "w").orderBy("uid", "a")
+        later = found.where("share >= 0").withColumn("n", F.row_number().over(order)).where("n > 1").select("uid", "a", "z")
+        late = late.unionByName(later)
+    spans = late.select("uid", "a", (F.col("z") + window).alias("z")).groupBy("uid").agg(F.collect_list(_packed("a", "z")).alias("spans"))
     return rows.join(spans, "uid", "left").select("key", "text", "spans")
 
 
@@ -207,7 +220,7 @@ def _kept(words: list[bytes], spans) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 2000) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 500) -> DataFrame:
     """(key, n_words, n_removed, kept): ``kept`` is the words that stay, joined by one space.
 
     See ``repeats`` for what goes and for nulls, ties and repeated rows.

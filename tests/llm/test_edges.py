@@ -317,15 +317,22 @@ def test_hit_words_taken_out(spark):
 # ---- substrings
 
 
-@pytest.mark.parametrize("crowd", [2000, 3])
-def test_substring_against_brute_force(spark, crowd):
+@pytest.mark.parametrize(("crowd", "batch"), [(500, 10_000), (3, 10_000), (500, 3), (3, 2)])
+def test_substring_against_brute_force(spark, crowd, batch):
+    """Also with anchors dealt over several shares, and groups that go on over several batches."""
     shared = " ".join(words(45, 9))
     texts = [None, "", " ".join(words(19, 2)), " ".join(words(30, 2)), "x " * 60]
     for i in range(40):
         body = words(30 + i, 100 + i)
         texts.append(" ".join(body[:10]) + f"  {shared[: 60 + 5 * i]}\n" + " ".join(body[10:]))
     texts += [texts[7]] * 5 + [" ".join(w if k % 31 else "edit" for k, w in enumerate(texts[20].split())) for _ in range(3)]
-    got = {r["doc_id"]: r for r in substring.deduplicate(docs(spark, texts), crowd=crowd).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r["doc_id"]: r for r in substring.deduplicate(docs(spark, texts), crowd=crowd).collect()}
+        named = docs(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+        assert {int(r["doc_id"][1:]): r["kept"] for r in substring.deduplicate(named, crowd=crowd).collect()} == {i: r["kept"] for i, r in got.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     for i, kept in enumerate(brute.later(list(enumerate(texts)))):
         assert got[i]["kept"] == " ".join(kept) and got[i]["n_removed"] == got[i]["n_words"] - len(kept)
 
