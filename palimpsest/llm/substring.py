@@ -90,7 +90,12 @@ def occurrences(texts: list[bytes | None], window: int, gram: int = GRAM):
 
 
 def _portions(batches):
-    """(uids, texts) of about ``WORDS`` words each."""
+    """(uids, texts) of about ``WORDS`` words each, sorted by uid."""
+
+    def arranged(uids, texts):
+        order = sorted(range(len(uids)), key=uids.__getitem__)
+        return [uids[i] for i in order], [texts[i] for i in order]
+
     uids, texts, size = [], [], 0
     for batch in batches:
         for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -98,10 +103,10 @@ def _portions(batches):
             texts.append(text)
             size += len(text or b"") // 5
             if size >= WORDS:
-                yield uids, texts
+                yield arranged(uids, texts)
                 uids, texts, size = [], [], 0
     if uids:
-        yield uids, texts
+        yield arranged(uids, texts)
 
 
 def crowded(rows: DataFrame, window: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +126,22 @@ def crowded(rows: DataFrame, window: int, crowd: int) -> tuple[np.ndarray, np.nd
     return found[:, 0], found[:, 1]
 
 
+#: The share of an occurrence that is a repeat of another in its portion: its one "window" is how many windows it has.
+KNOWN = -2
+
+
+def _known(anchor: np.ndarray, n: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether an earlier occurrence of the portion has the same anchor and the same windows; it needn't meet the others then."""
+    if not len(anchor):
+        return np.zeros(0, bool)
+    place = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n)
+    own = np.add.reduceat(_mixed(windows.view(np.uint64) + place.astype(np.uint64)), np.cumsum(n) - n)
+    order = np.lexsort((own, anchor))
+    out = np.zeros(len(anchor), bool)
+    out[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+    return out
+
+
 def _met(window: int, hot: np.ndarray, shares: np.ndarray):
     def run(batches):
         for uids, texts in _portions(batches):
@@ -131,7 +152,13 @@ def _met(window: int, hot: np.ndarray, shares: np.ndarray):
                 at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
                 is_hot = hot[at] == anchor
                 share[is_hot] = (_mixed(uid[is_hot].view(np.uint64)) % shares[at[is_hot]].astype(np.uint64)).astype(np.int64)
-            offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
+            known = _known(anchor, n, windows)
+            share[known], anchor[known] = KNOWN, _mixed(uid[known].view(np.uint64)).view(np.int64)
+            parts = np.where(known, 1, n)
+            starts = (np.cumsum(n) - n)[known]
+            windows[starts] = n[known]
+            windows = windows[np.repeat(~known, n) | (np.bincount(starts, minlength=len(windows)) > 0)]
+            offsets = np.r_[0, np.cumsum(parts)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(share.astype(np.int32)), pa.array(uid), pa.array(low.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows))], names=["anchor", "share", "uid", "low", "windows"])
 
     return run
@@ -141,12 +168,22 @@ def _repeats(batches):
     """Rows sorted by (anchor, share, uid, low) to repeats (uid, a, z) of window starts [a, z], with share -1 and without window.
 
     Of shares of a crowded anchor also what is first in the share: (uid, a, a) with share, anchor and window.
+    What is ``KNOWN`` to be a repeat goes through.
     """
     last, seen = None, np.zeros(0, np.int64)
     for batch in batches:
         anchor, share, uid, low = (batch.column(i).to_numpy() for i in range(4))
         if not len(anchor):
             continue
+        if (known := share == KNOWN).any():
+            some = batch.filter(pa.array(known))
+            begin, end = some.column(3).to_numpy(), some.column(4).flatten().to_numpy()
+            none = pa.array(np.zeros(len(begin), np.int64))
+            yield pa.RecordBatch.from_arrays([some.column(2), pa.array(begin.astype(np.int64)), pa.array(begin + end - 1), pa.array(np.full(len(begin), -1)), none, none], names=["uid", "a", "z", "share", "anchor", "w"])
+            batch = batch.filter(pa.array(~known))
+            anchor, share, uid, low = (batch.column(i).to_numpy() for i in range(4))
+            if not len(anchor):
+                continue
         begins, ends = batch.column(4).offsets.to_numpy()[:-1], batch.column(4).offsets.to_numpy()[1:]
         group = np.cumsum(np.r_[False, (anchor[1:] != anchor[:-1]) | (share[1:] != share[:-1])])
         goes_on = last == (anchor[0], share[0])
@@ -189,17 +226,12 @@ def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cut(rows.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 500) -> DataFrame:
-    """(key, text, spans) for each row: the text's bytes, and word ranges to remove, packed as a << 32 | z, or null.
+def repeats(rows: DataFrame, window: int = 20, crowd: int = 500) -> DataFrame:
+    """(uid, text) to (uid, spans): the word ranges to remove, packed as a << 32 | z, of the rows that have any.
 
     A word goes if a window of ``window`` consecutive words covers it that also
-    starts at an earlier place: in a row with a smaller key, or earlier in the
-    same.  Keys may be of any type that can be ordered.  Rows of one key stand in the order of their texts, null keys last, so
-    that of rows that are alike the first stays.  Words are what white
-    space separates; null and empty texts have none, and a text shorter than the
-    window loses none.  Windows are judged on the input.
+    starts at an earlier place: in a row with a smaller uid, or earlier in the same.
     """
-    rows = _ordered(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")), "key", "text")
     hot, shares = crowded(rows, window, crowd)
     windows = rows.select("uid", "text").mapInArrow(_met(window, hot, shares), "anchor long, share int, uid long, low int, windows array<long>")
     met = windows.repartition("anchor", "share").sortWithinPartitions("anchor", "share", "uid", "low")
@@ -209,8 +241,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         order = Window.partitionBy("anchor", "w").orderBy("uid", "a")
         later = found.where("share >= 0").withColumn("n", F.row_number().over(order)).where("n > 1").select("uid", "a", "z")
         late = late.unionByName(later)
-    spans = late.select("uid", "a", (F.col("z") + window).alias("z")).groupBy("uid").agg(F.collect_list(_packed("a", "z")).alias("spans"))
-    return rows.join(spans, "uid", "left").select("key", "text", "spans")
+    return late.select("uid", "a", (F.col("z") + window).alias("z")).groupBy("uid").agg(F.collect_list(_packed("a", "z")).alias("spans"))
+
+
+def _small(batches):
+    """(key, uid, text) with the text compressed, and its size: shuffled it's half as large as Spark's own codec makes it."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = [x or b"" for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary()), pa.array(list(map(len, texts)), pa.int64())], names=["key", "uid", "text", "size"])
 
 
 def _kept(words: list[bytes], spans) -> list[bytes]:
@@ -223,14 +262,18 @@ def _kept(words: list[bytes], spans) -> list[bytes]:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, crowd: int = 500) -> DataFrame:
     """(key, n_words, n_removed, kept): ``kept`` is the words that stay, joined by one space.
 
-    See ``repeats`` for what goes and for nulls, ties and repeated rows.
+    See ``repeats`` for what goes.  Keys may be of any type that can be ordered.  Rows of one
+    key stand in the order of their texts, null keys last, so that of rows that are alike
+    the first stays.  Words are what white space separates; null and empty texts have none, and
+    a text shorter than the window loses none.  Windows are judged on the input.
     """
 
     def run(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
             counts, removed, kept = [], [], []
-            for body, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = _words(body)
+            for body, size, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                words = _words(codec.decompress(body, size, asbytes=True)) if size else []
                 left = _kept(words, spans) if spans else words
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
@@ -238,7 +281,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = repeats(docs, key, text, window, crowd).mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept string")
+    rows = _ordered(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")), "key", "text")
+    found = repeats(rows, window, crowd)
+    small = rows.select("key", "uid", "text").mapInArrow(_small, f"key {kind}, uid long, text binary, size long")
+    out = small.join(found, "uid", "left").select("key", "text", "size", "spans").mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("key", key)
 
 
