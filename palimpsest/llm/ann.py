@@ -47,28 +47,22 @@ class Books:
 
     def __init__(self, books: np.ndarray):
         self.books = books.astype(np.float32)
-        m, k, d = books.shape
-        self.flat = self.books.reshape(m * k, d)
-        self.gram = self.flat @ self.flat.T
-        self.norms = np.diag(self.gram).copy()
+        self.norms = np.square(self.books).sum(2)
 
     def encode(self, x: np.ndarray, beam: int = 8) -> np.ndarray:
-        """Code words (n, stages) of the smallest error that the beam finds."""
-        m, k, _ = self.books.shape
-        n = len(x)
-        products = x.astype(np.float32) @ self.flat.T
+        """Code words (n, stages) of the smallest error that the beam finds; what is left of each vector goes along."""
+        (m, k, d), n = self.books.shape, len(x)
+        rest = x.astype(np.float32)[:, None, :]
         codes = np.zeros((n, 1, 0), np.int64)
-        errors = np.zeros((n, 1), np.float32)
-        for stage in range(m):
-            own = slice(stage * k, (stage + 1) * k)
-            step = (self.norms[own] - 2 * products[:, own])[:, None, :] + errors[:, :, None]
-            for j in range(stage):
-                step = step + 2 * self.gram[j * k + codes[:, :, j], own]
-            flat = step.reshape(n, -1)
+        errors = np.square(rest).sum(2)
+        for stage, (book, norms) in enumerate(zip(self.books, self.norms, strict=True)):
+            flat = (errors[:, :, None] + norms - 2 * (rest.reshape(-1, d) @ book.T).reshape(n, -1, k)).reshape(n, -1)
             width = min(beam if stage < m - 1 else 1, flat.shape[1])
             best = np.argpartition(flat, width - 1, axis=1)[:, :width] if width < flat.shape[1] else np.tile(np.arange(width), (n, 1))
+            before, word = best // k, best % k
             errors = np.take_along_axis(flat, best, 1)
-            codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], 1), (best % k)[:, :, None]], 2)
+            codes = np.concatenate([np.take_along_axis(codes, before[:, :, None], 1), word[:, :, None]], 2)
+            rest = np.take_along_axis(rest, before[:, :, None], 1) - book[word]
         return codes[np.arange(n), errors.argmin(1)].astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -104,7 +98,7 @@ def train(x: np.ndarray, stages: int = 32, words: int = 64, rounds: int = 6, ref
         target = np.zeros((stages * words, x.shape[1]), np.float64)
         for a in range(stages):
             np.add.at(target, codes[:, a], x)
-        start = found.flat.astype(np.float64)
+        start = found.books.reshape(stages * words, -1).astype(np.float64)
         ridge = 0.1
         solved = np.linalg.solve(both.astype(np.float64) + ridge * np.eye(len(both)), target + ridge * start)
         found = Books(solved.reshape(stages, words, -1))
