@@ -51,3 +51,23 @@ def test_stages_and_run(spark):
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
     want = brute.waterfill(sizes, weights, 1.5 * sum(sizes.values()), 2.0)
     assert all(abs(taken.get(s, 0) - want[s]) <= 1 for s in sizes)
+
+
+def test_stages_with_null_keys_and_repeated_rows(spark):
+    """Each stage and the whole over rows of which some have no key, no text or no source, and some repeat."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.limit(20).selectExpr("cast(null as bigint) doc_id", "text", "lang", "cast(null as string) source", "n_chars")
+    blank = docs.limit(5).selectExpr("doc_id + 1000000 doc_id", "cast(null as string) text", "lang", "source", "cast(null as bigint) n_chars")
+    rows = docs.unionByName(docs.limit(30)).unionByName(odd).unionByName(odd).unionByName(blank)
+    kept = rows
+    for name, stage in corpus_pipeline.STAGES:
+        before = kept.count()
+        out = stage(spark, kept, "/root/testdata/sf0.001").collect()
+        assert 0 < len(out) <= before, name
+        assert any(r["doc_id"] is None for r in out), name
+        if name == "near_duplicates":
+            keys = [r["doc_id"] for r in out if r["doc_id"] is not None]
+            assert len(keys) == len(set(keys))
+        if name != "mixing":
+            assert list(out[0].asDict()) == docs.columns
+            kept = spark.createDataFrame(out, docs.schema)
