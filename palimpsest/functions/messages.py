@@ -22,6 +22,20 @@ MESSAGES = {
     "unmapped_tags": ("Меток без значения: {count} ({tags}).", "Tags without a value: {count} ({tags})."),
     "model_failed": ("Модель не ответила: {reason}.", "The model didn't answer: {reason}."),
     "model_no_json": ("В ответе модели нет JSON.", "The model's reply has no JSON."),
+    "missing_client_id": ("Не указано, кто спрашивает.", "It isn't said who is asking."),
+    "scan_running": ("Документы ещё читаются.", "The documents are still being read."),
+    "no_pattern": ("Из выбранного не получается ни одного образца.", "No pattern can be made of what is selected."),
+    "replacing_failed": ("Замена не удалась.", "Replacing failed."),
+    "restore_failed": ("Восстановление не удалось.", "Restoring failed."),
+    "file_not_ready": ("Файла ещё нет.", "The file isn't there yet."),
+    "doc_not_ready": ("Документа ещё нет.", "The document isn't there yet."),
+    "mapping_unreadable": ("Ключ не читается: {error}.", "The key can't be read: {error}."),
+    "mapping_tag_mismatch": ("В ключе метки вида {prefix}…{suffix}, в настройках {server_prefix}…{server_suffix}.", "The key's tags are {prefix}…{suffix}, those of the settings {server_prefix}…{server_suffix}."),
+    "no_model": ("Модель не задана: искали только по правилам.", "No model is set: only rules have searched."),
+    "chunk_failed": ("Часть {index} из {total} не прочитана: {error}.", "Part {index} of {total} wasn't read: {error}."),
+    "model_unreachable": ("Нет связи с {url}: {error}.", "{url} can't be reached: {error}."),
+    "model_http_error": ("Модель ответила кодом {status}: {body}.", "The model answered with status {status}: {body}."),
+    "model_bad_shape": ("Ответ модели устроен иначе: {body}.", "The model's answer has another shape: {body}."),
     "model_unclosed": ("Модель не закончила рассуждение.", "The model didn't end its thinking."),
 }
 

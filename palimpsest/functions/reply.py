@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from palimpsest.functions.constants import ACKNOWLEDGED, FINAL_STATUS, LAYERS, THINKING
 
 _TAGS = "|".join(THINKING)
+#: A place of a template that an input is put in.
+PLACE = re.compile(r"\{(\w+)\}")
+
+
+def heading(number: int, total: int) -> str:
+    """What stands above a layer of a prompt."""
+    return f"[LAYER {number}/{total}]\n"
 
 
 def without_thinking(reply: Column) -> Column:
@@ -49,7 +56,7 @@ def findings(reply: Column) -> Column:
 
 def substituted(template: Column, inputs: dict[str, Column]) -> Column:
     """The template with each {name} of ``inputs`` filled in; null if it names another input."""
-    names = F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1))
+    names = F.regexp_extract_all(template, F.lit(PLACE.pattern), F.lit(1))
     missing = F.array_except(names, F.array(*[F.lit(n) for n in inputs]))
     out = template
     for name, value in inputs.items():
@@ -58,7 +65,7 @@ def substituted(template: Column, inputs: dict[str, Column]) -> Column:
 
 
 def missing_inputs(template: Column, given: list[str]) -> Column:
-    names = F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1))
+    names = F.regexp_extract_all(template, F.lit(PLACE.pattern), F.lit(1))
     return F.sort_array(F.array_except(names, F.array(*[F.lit(n) for n in given]).cast("array<string>")))
 
 
@@ -81,11 +88,3 @@ def layered_messages(layers: dict[str, Column]) -> Column:
 def retry_class(status: Column) -> Column:
     """What to do after a call: done, final (as it can only fail again) or retry; null stands for no connection."""
     return F.when(status.isNull(), "final").when(status < 400, "done").when(status.isin(FINAL_STATUS), "final").otherwise("retry")
-
-
-def fill(template: str, inputs: dict[str, str]) -> str:
-    """``substituted`` for one text on the driver; raises KeyError for inputs that aren't given."""
-    names = set(re.findall(r"\{(\w+)\}", template))
-    if names - inputs.keys():
-        raise KeyError(f"missing inputs: {sorted(names - inputs.keys())}")
-    return re.sub(r"\{(\w+)\}", lambda m: inputs[m[1]], template)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from palimpsest.functions.constants import DASHES, GENERIC, LANGUAGES, LEGAL_FORMS, LEGAL_PREFIXES, PUNCTUATION, QUOTES, VOWELS
+from palimpsest.functions.constants import DASHES, ENDING, GENERIC, LANGUAGES, LEGAL_FORMS, LEGAL_PREFIXES, PUNCTUATION, QUOTES, VOWELS
 
 
 def _in_class(characters: str) -> str:
@@ -135,21 +135,23 @@ def preview(text: Column, limit: int = 200) -> Column:
 # ---- patterns of forms, built on the driver
 
 
-def _is_cyrillic(token: str) -> bool:
-    letters = [c for c in token if c.isalpha()]
-    return bool(letters) and all("Ѐ" <= c <= "ӿ" for c in letters)
+#: Cyrillic letters between what aren't letters; the driver's form of ``cyrillic_word``.
+_CYRILLIC = re.compile(r"(?:(?:[^\W\d_](?<=[Ѐ-ӿ])|[\W\d_]))*")
+
+
+def declines(token: str, inflect: bool) -> bool:
+    """Whether a word of a form takes endings: a Cyrillic one of four characters or more."""
+    return inflect and len(token) >= 4 and _CYRILLIC.fullmatch(token) is not None and any(map(str.isalpha, token))
 
 
 def token_pattern(token: str, inflect: bool) -> str:
     """One word of a form: any quote for a quote, any dash for a dash, and endings if it inflects."""
-    declines = inflect and len(token) >= 4 and _is_cyrillic(token)
-    vowel = declines and token[-1].lower() in VOWELS
+    ends = declines(token, inflect)
+    vowel = ends and token[-1].lower() in VOWELS
     stem = token[:-1] if vowel else token
     classes = [(QUOTES, _in_class(QUOTES)), (DASHES, _in_class(DASHES))]
     body = "".join(next((p for own, p in classes if c in own), re.escape(c)) for c in stem)
-    if not declines:
-        return body
-    return body + "[а-яёА-ЯЁ]" + ("{1,3}" if vowel else "{0,3}")
+    return body + (ENDING + ("{1,3}" if vowel else "{0,3}") if ends else "")
 
 
 def _body(form: str, inflect: bool) -> str:
@@ -161,8 +163,8 @@ def form_pattern(form: str, inflect: bool = False) -> str:
     return rf"(?<!\w){_body(form, inflect)}(?!\w)" if form.strip() else ""
 
 
-def entity_pattern(forms: list[str], inflect: bool = False) -> str:
-    """All forms of one entity, the longest first.
+def entity_pattern(forms: list[str], inflect: bool = False, any_case: bool = False) -> str:
+    """All forms of one entity, the longest first; in any case if so asked.
 
     What a form can begin with is tested before anything else, as that settles nearly every place of a text.
     """
@@ -170,5 +172,7 @@ def entity_pattern(forms: list[str], inflect: bool = False) -> str:
     if not found:
         return ""
     first = {f.lstrip()[0] for f in found}
+    if any_case:
+        first = {c for f in first for c in (f, *f.lower(), *f.upper())}
     begins = "".join(sorted(set().union(*(next((own for own in (QUOTES, DASHES) if c in own), c) for c in first))))
-    return rf"(?={_in_class(begins)})(?<!\w)(?:{'|'.join(_body(f, inflect) for f in found)})(?!\w)"
+    return rf"(?={_in_class(begins)})(?<!\w)(?{'i' if any_case else ''}:{'|'.join(_body(f, inflect) for f in found)})(?!\w)"

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.constants import LEGAL_FORMS, PUNCTUATION
 from palimpsest.functions.text import _in_class
+from palimpsest.sources.tables import numbered
 
 MERGED = "job_id string, id string, category string, value string, variants array<string>, source string, inflect boolean"
 
 
 def rank(value: Column, key: Column, source: Column) -> Column:
-    """The order in which spellings stand for a group: with a legal form, longer, found by a rule."""
-    return F.struct(T.has_legal_form(key).cast("int").alias("legal"), F.length(value).alias("length"), (source == "rule").cast("int").alias("rule"))
+    """The order in which spellings stand for a group: with a legal form, longer once normalised, found by a rule."""
+    return F.struct(T.has_legal_form(key).cast("int").alias("legal"), F.length(T.unified(value)).alias("length"), (source == "rule").cast("int").alias("rule"))
 
 
 def same_name(entities: DataFrame, *scope: str) -> DataFrame:
@@ -79,15 +80,40 @@ def absorbed(keeper: DataFrame, other: DataFrame) -> DataFrame:
 
 def ordered(entities: DataFrame, *scope: str) -> DataFrame:
     """``place`` by category, then most occurrences, then value."""
-    window = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
-    return entities.withColumn("place", F.row_number().over(window.orderBy("category", F.desc("total"), "value")))
+    return numbered(entities, "place", [F.col(c) for c in scope], [F.col("category"), F.desc("total"), F.col("value")])
 
 
-def with_tags(entities: DataFrame, *scope: str, prefix: str = "[[", suffix: str = "]]") -> DataFrame:
-    """``tag``: prefix, category, a running number of at least three digits, suffix; numbered in review order."""
+def with_tags(entities: DataFrame, *scope: str, prefix: str = "[[", suffix: str = "]]", taken: dict[str, int] | None = None) -> DataFrame:
+    """``tag``: prefix, category, a running number of at least three digits, suffix; numbered in review order.
+
+    ``taken`` is the highest number of each category that tag-shaped text of the
+    documents has already; numbers go on from there, so that restoring can't take one for the other.
+    """
     kind = T.sanitised_category(F.col("category"))
-    order = Window.partitionBy(*scope, kind).orderBy("category", F.desc("total"), "value")
-    return entities.withColumn("tag", F.concat(F.lit(prefix), F.format_string("%s_%03d", kind, F.row_number().over(order)), F.lit(suffix)))
+    rows = numbered(entities, "__n", [*[F.col(c) for c in scope], kind], [F.col("category"), F.desc("total"), F.col("value")])
+    start = F.lit(0)
+    for name, n in (taken or {}).items():
+        start = F.when(kind == name, n).otherwise(start)
+    return rows.withColumn("tag", F.concat(F.lit(prefix), F.format_string("%s_%03d", kind, F.col("__n") + start), F.lit(suffix))).drop("__n")
+
+
+def spelling_keys(entities: DataFrame) -> DataFrame:
+    """(job_id, id, key): the canonical keys of an entity's value and variants, and of a company's name without legal form."""
+    forms = entities.select("job_id", "id", "category", F.col("value").alias("own"), F.explode(F.array_distinct(F.concat(F.array("value"), "variants"))).alias("form"))
+    keys = forms.select("job_id", "id", "category", (F.col("own") == F.col("form")).alias("is_own"), T.canonical_key(T.dedup_key(F.col("form"))).alias("key"))
+    bare = keys.where((F.upper("category") == "ORG") & F.col("is_own")).select("job_id", "id", T.strip_legal_form(F.col("key")).alias("key"))
+    return keys.select("job_id", "id", "key").unionByName(bare).where("key <> ''").distinct()
+
+
+def merged(entities: DataFrame) -> DataFrame:
+    """``merge``, in which only entities take part that share a key with another; all others are as they were."""
+    keys = spelling_keys(entities)
+    shared = keys.groupBy("job_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    near = keys.join(shared, ["job_id", "key"], "left_semi").select("job_id", "id").distinct()
+    fields = MERGED.replace(",", "").split()[::2]
+    order = F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))
+    own = entities.join(near, ["job_id", "id"], "left_semi").withColumn("seq", order).select(*fields, "seq")
+    return merge(own).unionByName(entities.join(near, ["job_id", "id"], "left_anti").select(*fields))
 
 
 def merge(entities: DataFrame) -> DataFrame:
@@ -95,7 +121,8 @@ def merge(entities: DataFrame) -> DataFrame:
 
     Spellings are compared without case, punctuation and spacing.  A spelling
     counts once for each entity that claims it, and one claimed by
-    several goes from all of them.
+    several goes from all of them; what is spelled as an entity's own value is
+    never a claim and stays.
     """
     drop, legal = _in_class(PUNCTUATION), frozenset(LEGAL_FORMS)
 
@@ -110,6 +137,7 @@ def merge(entities: DataFrame) -> DataFrame:
             def __init__(self, row):
                 self.row, self.key, self.forms = row, key(row.value), dict.fromkeys(row.variants)
                 self.words = self.key.split()
+                self.length = len(" ".join(unicodedata.normalize("NFKC", row.value).split()))
 
             def take(self, other):
                 mine, theirs = self.row, other.row
@@ -140,7 +168,7 @@ def merge(entities: DataFrame) -> DataFrame:
 
         official = lambda g: bool(legal.intersection(g.words))
         started = [Group(r) for r in rows.sort_values("seq").itertuples(index=False)]
-        started.sort(key=lambda g: (official(g), len(g.row.value), g.row.source == "rule"), reverse=True)
+        started.sort(key=lambda g: (official(g), g.length, g.row.source == "rule"), reverse=True)
         by_key, groups = {}, []
         for g in started:
             if g.key in by_key:
@@ -166,7 +194,7 @@ def merge(entities: DataFrame) -> DataFrame:
         groups = fold(groups, company_of)
         shared = {k for k, own in owners(groups).items() if len(own) > 1}
         fields = MERGED.replace(",", "").split()[::2]
-        out = [g.row._replace(variants=[f for f in g.forms if key(f) not in shared]) for g in groups]
+        out = [g.row._replace(variants=[f for f in g.forms if key(f) == g.key or key(f) not in shared]) for g in groups]
         return pd.DataFrame(out, columns=rows.columns)[fields]
 
     return entities.groupBy("job_id").applyInPandas(run, MERGED)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import display
 from palimpsest.functions.constants import JOB_TTL_MINUTES, MAX_FILES, MAX_UPLOAD_MB, POLL_SAMPLE, SLOW_MS
+from palimpsest.sources.tables import numbered
 
 
 def upload_errors(uploads: DataFrame) -> DataFrame:
@@ -31,6 +32,22 @@ def expired(jobs: DataFrame, now: Column, minutes: int = JOB_TTL_MINUTES) -> Dat
     return jobs.where(F.col("updated_at") < now - F.expr(f"interval {minutes} minutes"))
 
 
+def purge(spark: SparkSession, root: str, expired_jobs: DataFrame, most: int = 100_000) -> list[str]:
+    """Delete the folders below ``root`` that are named after expired jobs, in any store; their names.
+
+    ``most`` bounds what is brought to the driver at once; call again while there are that many.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for row in expired_jobs.select(F.col("job_id").cast("string").alias("job_id")).distinct().limit(most).collect():
+        name = row["job_id"]
+        if name and "/" not in name and name not in {".", ".."} and store.exists(own := spark._jvm.org.apache.hadoop.fs.Path(path, name)):
+            store.delete(own, True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def orphans(folders: DataFrame, jobs: DataFrame) -> DataFrame:
     """Folders that no job has."""
     return folders.join(jobs.select("job_id"), "job_id", "left_anti")
@@ -62,8 +79,8 @@ def eta(log: DataFrame, *keys: str) -> DataFrame:
 def logged_requests(requests: DataFrame, slow_ms: int = SLOW_MS, sample: int = POLL_SAMPLE) -> DataFrame:
     """Requests (event_id, path, is_poll, status, ms) worth a line: slow, failed, not a poll, or every 20th fine poll of a path."""
     odd = (F.col("ms") >= slow_ms) | (F.col("status") >= 400)
-    order = Window.partitionBy("path", "is_poll", odd).orderBy("event_id")
-    return requests.withColumn("nth", F.row_number().over(order)).where(odd | ~F.col("is_poll") | (F.col("nth") % sample == 0))
+    rows = numbered(requests, "nth", [F.col("path"), F.col("is_poll"), odd], [F.col("event_id")])
+    return rows.where(odd | ~F.col("is_poll") | (F.col("nth") % sample == 0))
 
 
 def miss_streaks(polls: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,16 @@ def filtered(entities: DataFrame, query: str = "", document: str | None = None)
 
 
 def groups(entities: DataFrame) -> DataFrame:
-    """(category, size, ids): the largest group first in ``place``."""
-    from pyspark.sql import Window
-
-    rows = entities.groupBy("category").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("ids"))
+    """(category, size, selected, place): a row for each category, the largest first; ``page`` lists its entities."""
+    rows = entities.groupBy("category").agg(F.count("*").alias("size"), F.count_if("selected").alias("selected"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "category")))
 
 
+def page(entities: DataFrame, category: str, size: int = 50, number: int = 0) -> DataFrame:
+    """One page of a category's entities, in review order."""
+    return entities.where(F.col("category") == category).orderBy(F.desc("total"), "value").offset(size * number).limit(size)
+
+
 def totals(entities: DataFrame) -> DataFrame:
     """One row: entities, how many are selected, their hits, and all hits."""
     return entities.agg(F.count("*").alias("entities"), F.count_if("selected").alias("selected"), F.sum(F.when(F.col("selected"), F.col("total"))).alias("selected_hits"), F.sum("total").alias("hits"))

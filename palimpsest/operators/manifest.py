@@ -24,6 +24,13 @@ def bundle(files: DataFrame, with_key: bool = True) -> DataFrame:
     return rows.unionByName(fine.select("job_id", F.lit("mapping.json").alias("member")).distinct()) if with_key else rows
 
 
+def named(files: DataFrame) -> DataFrame:
+    """Files (job_id, doc_id, out, content) to (job_id, member, content); of one name all but the first have their id in front."""
+    nth = F.row_number().over(Window.partitionBy("job_id", "out").orderBy("doc_id"))
+    front = F.concat(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(12)), F.lit("_"), F.col("out"))
+    return files.select("job_id", F.when(nth == 1, F.col("out")).otherwise(front).alias("member"), "content")
+
+
 def archives(members: DataFrame) -> DataFrame:
     """(job_id, member, content) to (job_id, archive): one zip for each job.
 

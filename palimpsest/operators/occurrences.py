@@ -1,19 +1,23 @@
 """How often each entity stands in each text, without comparing all with all.
 
-A text's words lead to the forms that begin with one of them, by a join on
-the first letters of a word; only the pairs so found are counted by pattern.
+Each form has an anchor: of its words the one that the fewest texts have, so that a
+company isn't looked for wherever a legal form stands.  A text's words lead to
+the forms whose anchor is one of them, by an equi-join, and only the pairs so found are
+counted by pattern.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.functions.text import entity_pattern
 
-#: Letters of a form's first word that an ending can't change: inflecting words have four or more.
+#: Letters of a word that an ending can't change: inflecting words have four or more.
 PREFIX = 3
-#: Up to so many entities their anchors are broadcast; beyond it both sides are shuffled, and hot words are split.
+#: Up to so many entities their anchors are broadcast; beyond it both sides are shuffled.
 BROADCAST_ENTITIES = 20_000
 
 _RUN = r"(?U)[\p{L}\p{N}_]+"
@@ -33,25 +37,46 @@ def patterns(entities: list[dict]) -> list[tuple[str, str, list[str]]]:
     return [r for r in rows if r[1]]
 
 
-def count_occurrences(docs: DataFrame, forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(entity_id, key, n): the matches of each entity's pattern in each text, where there are any.
+def _anchors(form: Column, inflects: Column) -> Column:
+    """The words that each text with the form has, as they are or by their beginning; "=", which every text has, for a form without any."""
+
+    def of_token(token: Column) -> Column:
+        runs = F.regexp_extract_all(F.lower(token), F.lit(_RUN), F.lit(0))
+        last = F.element_at(runs, -1)
+        ends = inflects & (F.length(token) >= 4) & T.cyrillic_word(token)
+        # Endings come after the last character of a token, in place of a final vowel.
+        end = F.when(~F.lower(token).endswith(last), F.array(_whole(last))).when(F.length(last) > PREFIX, F.array(_prefix(last))).otherwise(F.array().cast("array<string>"))
+        some = F.concat(F.transform(F.slice(runs, F.lit(1), F.size(runs) - 1), _whole), end)
+        return F.when(F.size(runs) == 0, F.array().cast("array<string>")).when(ends, some).otherwise(F.transform(runs, _whole))
+
+    found = F.array_distinct(F.flatten(F.transform(F.split(F.trim(form), r"(?U)\s+"), of_token)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("=")))
+
+
+def near(docs: DataFrame, forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, tried): the (entity_id, pattern) whose forms a text may have, for texts with any.
 
     ``forms`` has entity_id, pattern and forms (its spellings), and may have
-    inflect.  A form is looked for in texts that have its first word, or the
-    beginning of that if it inflects.  The texts are shuffled once and only where a
-    form may stand.  Forms without a letter or digit are compared with every text.
+    inflect.  Only words of forms are kept of the texts; they are counted and joined from there.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_RUN), F.lit(0)))
-    keys = F.concat(F.transform(words, _whole), F.array(F.lit("=")))
     inflects = F.coalesce(F.col("inflect"), F.lit(False)) if "inflect" in forms.columns else F.lit(False)
+    keys = F.concat(F.transform(words, _whole), F.array(F.lit("=")))
     if "inflect" in forms.columns:
         keys = F.concat(keys, F.array_distinct(F.transform(words, _prefix)))
-    found = docs.select(key, F.explode(keys).alias("anchor"))
-    spelled = forms.select("entity_id", "pattern", inflects.alias("inflects"), F.explode("forms").alias("form"))
-    first = F.lower(F.regexp_extract("form", _RUN, 0))
-    anchors = spelled.select("entity_id", "pattern", F.when(F.col("inflects") & (first != ""), _prefix(first)).otherwise(_whole(first)).alias("anchor")).distinct()
-    few = forms.limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
-    pairs = found.join(F.broadcast(anchors) if few else anchors, "anchor").groupBy(key).agg(F.collect_set(F.struct("entity_id", "pattern")).alias("tried"))
-    both = docs.select(key, text).join(pairs, key)
+    each = forms.select("entity_id", "pattern", inflects.alias("inflects"), F.posexplode("forms").alias("no", "form"))
+    each = each.where("trim(form) <> ''").select("entity_id", "pattern", "no", F.explode(_anchors(F.col("form"), F.col("inflects"))).alias("anchor")).persist(StorageLevel.MEMORY_AND_DISK)
+    few = each.select("entity_id").distinct().limit(BROADCAST_ENTITIES + 1).count() <= BROADCAST_ENTITIES
+    small = F.broadcast if few else lambda x: x
+    found = docs.select(F.col(key).alias("__key"), F.explode(keys).alias("anchor")).join(small(each.select("anchor").distinct()), "anchor").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = found.groupBy("anchor").agg(F.count("*").alias("n"))
+    rarest = each.join(counts, "anchor", "left").groupBy("entity_id", "pattern", "no").agg(F.min_by(F.struct("anchor", "n"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("best"))
+    chosen = rarest.where("best.n > 0").select("entity_id", "pattern", "best.anchor").distinct()  # a form with a word that no text has stands nowhere
+    return found.join(small(chosen), "anchor").groupBy(F.col("__key").alias(key)).agg(F.collect_set(F.struct("entity_id", "pattern")).alias("tried"))
+
+
+def count_occurrences(docs: DataFrame, forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(entity_id, key, n): the matches of each entity's pattern in each text, where there are any; see ``near`` for ``forms``."""
+    both = docs.select(key, text).join(near(docs, forms, key, text), key)
     counted = F.transform("tried", lambda e: F.struct(e["entity_id"].alias("entity_id"), F.regexp_count(F.col(text), F.concat(F.lit("(?U)"), e["pattern"])).alias("n")))
     return both.select(key, F.explode(counted).alias("c")).where("c.n > 0").select("c.entity_id", key, "c.n")

@@ -5,26 +5,26 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import TAG_PREFIX, TAG_SUFFIX
 from palimpsest.functions.text import entity_pattern
+from palimpsest.operators import occurrences
 
-#: Up to so many characters of patterns the JVM's expression is used; beyond it, a compiled pattern in Python workers.
+#: Up to so many characters of patterns every text is read with one alternation of all; beyond it, with one of the entities that it may have.
 NATIVE_CHARS = 20_000
 
 
-def alternation(entities: list[dict]) -> list[tuple[str, str]]:
+def alternation(entities: list[dict], any_case: bool = False) -> list[tuple[str, str]]:
     """(tag, pattern) of entities (value, variants, inflect, tag): those with the longest form first, else as given."""
     forms = [[e["value"], *e.get("variants", [])] for e in entities]
     order = sorted(range(len(entities)), key=lambda i: -max(map(len, forms[i])))
-    rows = [(entities[i]["tag"], entity_pattern(forms[i], entities[i].get("inflect", False))) for i in order]
+    rows = [(entities[i]["tag"], entity_pattern(forms[i], entities[i].get("inflect", False), any_case)) for i in order]
     return [r for r in rows if r[1]]
 
 
-def woven(text: Column, pattern: str, replaced, found: Column | None = None) -> Column:
+def woven(text: Column, pattern: str | Column, replaced, found: Column | None = None) -> Column:
     """``text`` with ``replaced(match)`` for each match, leftmost first, nothing looked at twice; ``found`` are the matches, if known."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if found is None else found
     gaps = F.split(text, pattern, -1)
@@ -66,34 +66,44 @@ def redacted(text: Column, rules: list[tuple[str, str]], known: dict[str, str] |
     """``text`` with every value of the rules replaced by its tag."""
     if not rules:
         return text
-    if sum(len(p) for _, p in rules) <= NATIVE_CHARS:
-        return woven(text, "(?U)" + "|".join(p for _, p in rules), lambda m: F.when(m.isNotNull(), tag_of(m, rules, known)), found)
-    return _redactor(rules)(text)
+    return woven(text, "(?U)" + "|".join(p for _, p in rules), lambda m: F.when(m.isNotNull(), tag_of(m, rules, known)), found)
 
 
-def _redactor(rules: list[tuple[str, str]]):
-    whole = "|".join(f"(?P<e{i}>{p})" for i, (_, p) in enumerate(rules))
-    tags = {f"e{i}": t for i, (t, _) in enumerate(rules)}
+def _with_rules(docs: DataFrame, rules: list[tuple[str, str]], entities: list[dict], text: str) -> DataFrame:
+    """``docs`` with ``__rules``: (rank, tag, pattern) of the entities that a text may have, in the alternation's order.
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        compiled = re.compile(whole)
-        return texts.map(lambda t: None if t is None else compiled.sub(lambda m: tags[m.lastgroup], t))
-
-    return run
-
-
-def redact(docs: DataFrame, entities: list[dict], text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` redacted and ``replacements``, how many values were; map-only.
-
-    ``entities`` is the reviewed list of one job (value, variants, inflect, tag), a few hundred
-    rows by nature; it goes along with the plan.  Null texts stay null with 0 replacements.
+    Texts are joined by their hash, so rows need no key; two texts of one hash only share what is tried.
     """
-    rules = alternation(entities)
-    found = "__matches"
-    rows = docs.withColumn(found, matches(F.col(text), rules))
-    count = F.coalesce(F.greatest(F.size(found), F.lit(0)), F.lit(0))
-    return rows.withColumn("replacements", count).withColumn(text, redacted(F.col(text), rules, spelled(entities, rules), F.col(found))).drop(found)
+    forms = {e["tag"]: ([e["value"], *e.get("variants", [])], bool(e.get("inflect", False))) for e in entities}
+    own = [((i, tag), pattern, *forms[tag]) for i, (tag, pattern) in enumerate(rules)]
+    table = docs.sparkSession.createDataFrame(own, "entity_id struct<rank:int,tag:string>, pattern string, forms array<string>, inflect boolean")
+    marked = docs.withColumn("__text", F.xxhash64(F.col(text)))
+    tried = occurrences.near(marked.select("__text", text).where(F.col(text).isNotNull()), table, "__text", text)
+    some = F.transform("tried", lambda e: F.struct(e["entity_id"]["rank"].alias("rank"), e["entity_id"]["tag"].alias("tag"), e["pattern"].alias("pattern")))
+    out = marked.join(tried.select("__text", F.sort_array(some).alias("__rules")), "__text", "left").drop("__text")
+    return out.withColumn("__rules", F.coalesce("__rules", F.array().cast("array<struct<rank:int,tag:string,pattern:string>>")))
+
+
+def redact(docs: DataFrame, entities: list[dict], text: str = "text", any_case: bool = False, native_chars: int = NATIVE_CHARS) -> DataFrame:
+    """``docs`` with ``text`` redacted and ``replacements``, how many values were.
+
+    ``entities`` is the reviewed list of one job (value, variants, inflect, tag); it goes
+    along with the plan, and texts aren't shuffled.  A long list, of over ``native_chars`` characters of patterns, is
+    joined with the texts by anchors, as for counting, and each text is read with an alternation
+    of what it may have; what is replaced is the same.  Null texts stay null with 0 replacements.
+    """
+    rules = alternation(entities, any_case)
+    count = F.coalesce(F.greatest(F.size("__matches"), F.lit(0)), F.lit(0))
+    if sum(len(p) for _, p in rules) <= native_chars:
+        rows = docs.withColumn("__matches", matches(F.col(text), rules))
+        return rows.withColumn("replacements", count).withColumn(text, redacted(F.col(text), rules, spelled(entities, rules), F.col("__matches"))).drop("__matches")
+    rows = _with_rules(docs, rules, entities, text)
+    whole = F.concat(F.lit("(?U)"), F.array_join("__rules.pattern", "|"))
+    any_ = F.size("__rules") > 0
+    rows = rows.withColumn("__matches", F.when(any_, F.regexp_extract_all(F.col(text), whole, F.lit(0))).otherwise(F.array().cast("array<string>")))
+    first = lambda m: F.get(F.filter("__rules", lambda r: F.rlike(m, F.concat(F.lit(r"(?U)\A(?:"), r["pattern"], F.lit(r")\z")))), F.lit(0))["tag"]
+    done = F.when(any_, woven(F.col(text), whole, lambda m: F.when(m.isNotNull(), first(m)), F.col("__matches"))).otherwise(F.col(text))
+    return rows.withColumn("replacements", F.when(F.col(text).isNotNull(), count).otherwise(0)).withColumn(text, done).drop("__matches", "__rules")
 
 
 def hits(docs: DataFrame, entities: list[dict], text: str = "text") -> DataFrame:
@@ -131,14 +141,25 @@ def restore(docs: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str
     return out.withColumn(text, restored(F.col(text), F.col("own"), prefix, suffix)).drop("own")
 
 
-def unmapped(docs: DataFrame, mapping: DataFrame, text: str = "text") -> DataFrame:
+def unmapped(docs: DataFrame, mapping: DataFrame, text: str = "text", prefix: str = TAG_PREFIX, suffix: str = TAG_SUFFIX) -> DataFrame:
     """The different tags of all texts that the mapping doesn't have."""
-    return docs.select(F.explode(tags_in(F.col(text))).alias("tag")).distinct().join(mapping.select("tag"), "tag", "left_anti")
+    return docs.select(F.explode(tags_in(F.col(text), prefix, suffix)).alias("tag")).distinct().join(mapping.select("tag"), "tag", "left_anti")
+
+
+def taken_numbers(docs: DataFrame, text: str = "text", prefix: str = TAG_PREFIX, suffix: str = TAG_SUFFIX) -> dict[str, int]:
+    """The highest number of each category that tag-shaped text has already, before anything is replaced.
+
+    A category has at most 64 characters; the thousand with the highest numbers are looked at.
+    """
+    inner = F.regexp_extract_all(F.col(text), F.lit(re.escape(prefix) + "([A-Z0-9_]{1,64})" + re.escape(suffix)), F.lit(1))
+    tags = docs.select(F.explode(inner).alias("t")).select(F.regexp_extract("t", r"\A(.*)_([0-9]{1,9})\z", 1).alias("kind"), F.regexp_extract("t", r"\A(.*)_([0-9]{1,9})\z", 2).try_cast("int").alias("n"))
+    rows = tags.where("kind <> ''").groupBy("kind").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "kind").limit(1000).collect()
+    return {r["kind"]: r["n"] for r in rows}
 
 
-def key_file(job_id: str, created_at: str, documents: list[dict], entities: list[dict]) -> str:
+def key_file(job_id: str, created_at: str, documents: list[dict], entities: list[dict], prefix: str = TAG_PREFIX, suffix: str = TAG_SUFFIX) -> str:
     """The key that restores a job, as JSON; it holds every secret, so don't put it beside the redacted files."""
-    head = {"version": 1, "job_id": job_id, "created_at": created_at, "tag_prefix": TAG_PREFIX, "tag_suffix": TAG_SUFFIX}
+    head = {"version": 1, "job_id": job_id, "created_at": created_at, "tag_prefix": prefix, "tag_suffix": suffix}
     return json.dumps(head | {"documents": documents, "entities": entities}, ensure_ascii=False, indent=2)
 
 

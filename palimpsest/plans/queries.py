@@ -249,7 +249,7 @@ def _(spark, sf_dir):
 SELECTED = f"(SELECT *, {TAG} AS tag FROM (SELECT *, upper(category) AS cat, row_number() OVER (PARTITION BY upper(category) ORDER BY category, total DESC, value) AS n FROM {CUSTOMERS} WHERE selected AND total > 0))"
 
 
-@query("select_for_redaction", f"SELECT c.id, s.tag FROM {CUSTOMERS} c LEFT JOIN {SELECTED} s USING (id)")
+@query("select_for_tagging", f"SELECT c.id, s.tag FROM {CUSTOMERS} c LEFT JOIN {SELECTED} s USING (id)")
 def _(spark, sf_dir):
     rows = customers(spark, sf_dir)
     return rows.select("id").join(entities.with_tags(rows.where("selected and total > 0")).select("id", "tag"), "id", "left")
@@ -279,7 +279,7 @@ def _(spark, sf_dir):
     return ledger.filtered(ledger_rows(spark, sf_dir), " Build ", "5").select("id", "value")
 
 
-@query("ledger_groups", f"SELECT category, size, ids, row_number() OVER (ORDER BY size DESC, category)::INT AS place FROM (SELECT category, count(*) AS size, list(id ORDER BY id) AS ids FROM {CUSTOMERS} GROUP BY category)")
+@query("ledger_groups", f"SELECT category, size, selected, row_number() OVER (ORDER BY size DESC, category)::INT AS place FROM (SELECT category, count(*) AS size, count(*) FILTER (selected) AS selected FROM {CUSTOMERS} GROUP BY category)")
 def _(spark, sf_dir):
     return ledger.groups(customers(spark, sf_dir))
 

@@ -76,20 +76,20 @@ def gazetteer(values: dict[str, list[str]]) -> Client:
     return answer
 
 
-def replies(chunks: DataFrame, client: Client, template: dict[str, str] | None = None, concurrency: int = 3) -> DataFrame:
+def replies(chunks: DataFrame, client: Client, template: prompts.Template | None = None, concurrency: int = 3) -> DataFrame:
     """(doc_id, chunk_no, text) to (doc_id, chunk_no, body, error): what the client answered, or why it didn't.
 
     Each chunk is asked about once; a failed one is a row with its error, and
     the others go on.
     """
-    layers, names = template or prompts.DEFAULT, ", ".join(CATEGORIES)
+    own, names = template or prompts.DEFAULT, ", ".join(CATEGORIES)
 
     def run(frames):
         for frame in frames:
             rows = []
             for chunk in frame.itertuples(index=False):
                 try:
-                    rows.append((chunk.doc_id, chunk.chunk_no, client(prompts.messages(layers, {"text": chunk.text, "categories": names})), None))
+                    rows.append((chunk.doc_id, chunk.chunk_no, client(own.render({"text": chunk.text, "categories": names})), None))
                 except Exception as error:  # noqa: BLE001  whatever a client raises is the row's error
                     rows.append((chunk.doc_id, chunk.chunk_no, None, f"{type(error).__name__}: {error}"[:300]))
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "body", "error"])

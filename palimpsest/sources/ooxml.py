@@ -252,26 +252,38 @@ def package_paragraphs(files: DataFrame) -> DataFrame:
 _SCHEMA = pa.schema([("path", pa.string()), ("part_no", pa.int32()), ("part_name", pa.string()), ("para_no", pa.int32()), ("leaves", pa.list_(pa.string())), ("text", pa.string()), ("error", pa.string())])
 
 
-def redact_packages(files: DataFrame, rules: list[tuple[str, str]], scrub: bool = True) -> DataFrame:
-    """Files (path, content) to (path, content, replacements, error), values of the rules replaced by their tags."""
-    whole = "|".join(f"(?P<e{i}>{p})" for i, (_, p) in enumerate(rules)) or r"(?!)"
-    tags = {f"e{i}": t for i, (t, _) in enumerate(rules)}
+_OUT = pa.schema([("path", pa.string()), ("content", pa.binary()), ("replacements", pa.int32()), ("error", pa.string())])
+
+
+def _rewritten(files: DataFrame, pattern: str, replace, scrub: bool) -> DataFrame:
+    """Files (path, content) to (path, content, replacements, error); a file that can't be read is a row with ``error``."""
 
     def run(batches):
-        compiled = re.compile(whole)
+        compiled = re.compile(pattern)
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    new, n = rewritten(path, content, compiled, lambda m: tags[m.lastgroup], scrub)
+                    new, n = rewritten(path, content, compiled, replace, scrub)
                     rows.append({"path": path, "content": new, "replacements": n, "error": None})
                 except Refused as error:
                     rows.append({"path": path, "content": None, "replacements": 0, "error": str(error)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("content", pa.binary()), ("replacements", pa.int32()), ("error", pa.string())]))
+            yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
 
     return files.select("path", "content").mapInArrow(run, "path string, content binary, replacements int, error string")
 
 
+def redact_packages(files: DataFrame, rules: list[tuple[str, str]], scrub: bool = True) -> DataFrame:
+    """Files (path, content) to (path, content, replacements, error), values of the rules replaced by their tags."""
+    tags = {f"e{i}": t for i, (t, _) in enumerate(rules)}
+    return _rewritten(files, "|".join(f"(?P<e{i}>{p})" for i, (_, p) in enumerate(rules)) or r"(?!)", lambda m: tags[m.lastgroup], scrub)
+
+
+def restore_packages(files: DataFrame, values: dict[str, str], pattern: str) -> DataFrame:
+    """Files (path, content) to (path, content, replacements, error), tags that have a value replaced by it; metadata stays."""
+    return _rewritten(files, pattern, lambda m: values.get(m[0], m[0]), False)
+
+
 def as_package(text: str, author: str = "somebody") -> bytes:
     """A small docx of a text's lines, each cut into runs in mid-word, as word processors do."""
     body = []

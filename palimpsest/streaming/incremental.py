@@ -1,6 +1,6 @@
-"""Redaction and expiry over streams.
+"""Replacing values, and expiry, over streams.
 
-Redaction and restoring look at one text at a time, so a stream goes through the
+Replacing and restoring look at one text at a time, so a stream goes through the
 same expressions as a table.  Repeated deliveries are dropped within a
 watermark, and jobs expire by the same rule as in a batch.
 """

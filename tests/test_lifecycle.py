@@ -4,13 +4,14 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.messages import message
-from palimpsest.operators import manifest, redact
+from palimpsest.operators import jobs, manifest, redact
 from palimpsest.plans import lifecycle
-from palimpsest.sources import model, prompts
-from palimpsest.streaming import redaction, tags
+from palimpsest.sources import model, ooxml, prompts
+from palimpsest.streaming import incremental, tags
 
 TEXTS = ["Write to Ann@x.org or ann@x.org\nCall +7 (495) 123-45-67", "ann@x.org again, ANN@X.ORG.", None, ""]
 
@@ -47,8 +48,8 @@ def test_stream_is_as_batch(spark, tmp_path):
     rules = [{"value": "ann@x.org", "variants": [], "inflect": False, "tag": "[[EMAIL_001]]"}]
     docs = frame(spark).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     docs.unionByName(docs).write.parquet(str(tmp_path / "in"))
-    stream = redaction.redacted_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), rules, key="doc_id", at="at")
-    redaction.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stream = incremental.redacted_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), rules, key="doc_id", at="at")
+    incremental.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(r["doc_id"], r["text"], r["replacements"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r["doc_id"], r["text"], r["replacements"]) for r in redact.redact(docs, rules).collect()}
 
@@ -56,8 +57,8 @@ def test_stream_is_as_batch(spark, tmp_path):
 def test_sessions_expire(spark, tmp_path):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 03:00:00"), ("b", "2024-01-01 00:00:00"), ("c", "2024-01-03 00:00:00")], "job_id string, t string").select("job_id", F.col("t").cast("timestamp").alias("at"))
     rows.write.parquet(str(tmp_path / "in"))
-    stream = redaction.last_activity(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    redaction.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stream = incremental.last_activity(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    incremental.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(r["job_id"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 2), ("b", 1)}
 
@@ -76,6 +77,66 @@ def test_model_scan_and_review(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "Acme met [[PERSON_001]].\nAcme left.", 2: "[[PERSON_001]]", 3: None}
 
 
+COMPANIES = "Компания ООО «Ромашка» и ПАО «Ромашка» спорят. РОМАШКА молчит, Ромашка тоже. ПАО «МегаФон», он же МегаФон, платит. Иванов Иван Иванович пришёл, Иванова И.И. ждали. И.И. Иванов ушёл."
+
+
+def companies(spark):
+    docs = spark.createDataFrame([(1, COMPANIES), (2, "МегаФон. Мегафончик."), (3, None)], "doc_id bigint, text string")
+    rows = [("ORG", "ООО «Ромашка»", []), ("ORG", "ПАО «Ромашка»", []), ("ORG", "Ромашка", ["РОМАШКА"]), ("ORG", "ПАО «МегаФон»", []), ("ORG", "МегаФон", []), ("PERSON", "Иванов Иван Иванович", []), ("PERSON", "нигде", ["Не Здесь"])]
+    found = spark.createDataFrame([(1, *r, i) for i, r in enumerate(rows)], "doc_id bigint, category string, value string, aliases array<string>, seq int")
+    return docs, found
+
+
+def test_spellings_of_one_thing_are_one_entity(spark):
+    docs, found = companies(spark)
+    reviewed = lifecycle.analyse(docs, findings=found)
+    rows = {r["value"]: r for r in reviewed.collect()}
+    assert rows.keys() == {"ООО «Ромашка»", "ПАО «Ромашка»", "Ромашка", "ПАО «МегаФон»", "Иванов Иван Иванович"}
+    # The bare name belongs to neither company; its own other spelling stays with it.
+    assert rows["ООО «Ромашка»"]["variants"] == rows["ПАО «Ромашка»"]["variants"] == [] and rows["Ромашка"]["variants"] == ["РОМАШКА"]
+    assert rows["ПАО «МегаФон»"]["variants"] == ["МегаФон"] and rows["ПАО «МегаФон»"]["total"] == 3 and rows["ПАО «МегаФон»"]["documents"] == 2
+    assert set(rows["Иванов Иван Иванович"]["variants"]) >= {"Иванов И.И.", "И.И. Иванов"} and rows["Иванов Иван Иванович"]["total"] == 3
+    out = {r["doc_id"]: r["text"] for r in lifecycle.redact_documents(docs, reviewed).collect()}
+    assert not any(w in out[1] + out[2] for w in ("Иванов", "Ромашка", "РОМАШКА", "МегаФон.")) and "Мегафончик" in out[2]
+
+
+def test_tag_shaped_text_is_not_taken_for_a_tag(spark):
+    docs = spark.createDataFrame([(1, "see [[EMAIL_004]] and a@b.org"), (2, "[[EMAIL_x]] [[odd_9]]")], "doc_id bigint, text string")
+    out = lifecycle.redact_documents(docs, lifecycle.analyse(docs)).orderBy("doc_id").first()
+    assert out["text"] == "see [[EMAIL_004]] and [[EMAIL_005]]"
+
+
+def test_packages_there_and_back(spark):
+    texts = {"in/a.docx": "Write to ann@x.org\nor +7 (495) 123-45-67", "in/b/a.docx": "ann@x.org again", "in/bad.docx": None}
+    files = spark.createDataFrame([(k, b"broken" if v is None else ooxml.as_package(v)) for k, v in texts.items()], "path string, content binary")
+    own = lifecycle.Settings(prefix="<<", suffix=">>")
+    outputs, found = lifecycle.redact_packages(files, lifecycle.analyse(lifecycle.package_texts(files), own), own)
+    outputs = outputs.persist()
+    assert {r["path"]: r["error"] for r in outputs.collect()} == {"in/a.docx": None, "in/b/a.docx": None, "in/bad.docx": "not_ooxml"}
+    hidden = {r["doc_id"]: r["text"] for r in lifecycle.package_texts(outputs.where("error is null")).collect()}
+    assert hidden == {"in/a.docx": "Write to <<EMAIL_001>>\nor <<PHONE_001>>", "in/b/a.docx": "<<EMAIL_001>> again"}
+    key = lifecycle.package_key(outputs, found, "j", "2024-01-01T00:00:00+00:00", own)
+    assert {e["tag"]: e["replacements"] for e in json.loads(key)["entities"]} == {"<<EMAIL_001>>": 2, "<<PHONE_001>>": 1}
+    archive = zipfile.ZipFile(io.BytesIO(lifecycle.bundle(outputs, "j", key).first()["archive"]))
+    assert len(archive.namelist()) == 3 and {"a__redacted.docx", "mapping.json"} < set(archive.namelist())
+    mapping = redact.parsed_mapping(spark.createDataFrame([("j", key)], "job_id string, content string"))
+    # The key's delimiters count, whatever the settings are.
+    back = lifecycle.restore_packages(outputs.where("error is null"), mapping)
+    assert {r["doc_id"]: r["text"] for r in lifecycle.package_texts(back).collect()} == {k: v for k, v in texts.items() if v}
+    assert {r["name"] for r in back.collect()} == {"a__restored.docx"}
+    some = spark.createDataFrame([(1, "<<EMAIL_001>> <<X_9>> [[X_9]]")], "doc_id bigint, text string")
+    assert lifecycle.restore_documents(some, mapping).first()["text"] == "ann@x.org <<X_9>> [[X_9]]"
+    assert [r["tag"] for r in lifecycle.unmapped_tags(some, mapping).collect()] == ["<<X_9>>"]
+
+
+def test_purge(spark, tmp_path):
+    for name in ("old", "new", "other"):
+        (tmp_path / name / "source").mkdir(parents=True)
+        (tmp_path / name / "source" / "f").write_text("x")
+    rows = spark.createDataFrame([("old",), ("gone",), ("../x",), (None,)], "job_id string")
+    assert jobs.purge(spark, str(tmp_path), rows) == ["old"] and sorted(p.name for p in tmp_path.iterdir()) == ["new", "other"]
+
+
 def test_what_a_model_does_wrong(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["raise", "think", "prose", "shape", "fine"])], "doc_id bigint, text string")
 
@@ -94,13 +155,24 @@ def test_what_a_model_does_wrong(spark):
 def test_settings_of_the_environment():
     own = lifecycle.Settings.from_env({"PALIMPSEST_DETECTORS": "EMAIL, URL,", "PALIMPSEST_CHUNK_CHARS": "50", "PALIMPSEST_PREFIX": "<"})
     assert (own.detectors, own.chunk_chars, own.prefix, own.suffix) == (("EMAIL", "URL"), 50, "<", "]]")
+    assert own.endpoint() is None and own.case_sensitive
+    own = lifecycle.Settings.from_env({"PALIMPSEST_MODEL_URL": "http://h", "PALIMPSEST_MODEL_NAME": "m", "PALIMPSEST_MODEL_TIMEOUT": "2.5", "PALIMPSEST_CASE_SENSITIVE": "false", "PALIMPSEST_MODEL_EXTRA_HEADERS": '{"A": 1}', "PALIMPSEST_MODEL_EXTRA_BODY": "no"})
+    assert own.endpoint() == model.Endpoint("http://h", "m", timeout=2.5, extra_headers=(("A", "1"),)) and not own.case_sensitive
 
 
 def test_prompt_files(tmp_path):
     (tmp_path / "a.json").write_text('[{"task": "do {x}", "examples": " ", "other": 1}]')
-    layers = prompts.load(str(tmp_path / "a.json"))
-    assert layers == {"task": "do {x}"}
-    assert prompts.messages(layers, {"x": "{y}"}) == [{"role": "user", "content": "[LAYER 1/1]\ndo {y}"}]
+    own = prompts.Template.read(str(tmp_path / "a.json"))
+    assert own.layers == (("task", "do {x}"),) and own.needs() == {"x"}
+    assert own.render({"x": "{y}"}) == [{"role": "user", "content": "[LAYER 1/1]\ndo {y}"}]
+    with pytest.raises(KeyError):
+        own.render({})
+    for odd in ("[]", '{"other": "x"}', '{"task": "  "}', "3"):
+        (tmp_path / "b.json").write_text(odd)
+        with pytest.raises(ValueError):
+            prompts.Template.read(str(tmp_path / "b.json"))
+    both = prompts.Template.of([{"schema_contract": "a"}, {"task": "b"}]).render({})
+    assert [m["role"] for m in both] == ["user", "assistant", "user"] and both[2]["content"] == "[LAYER 2/2]\nb"
 
 
 def test_messages():
@@ -119,6 +191,6 @@ def test_tags_of_a_stream_never_change(spark, tmp_path):
     for name, rows in (("1", [("j", "ORG", "b", "B"), ("j", "ORG", "a", "A"), ("j", "id no", "x", "X")]), ("2", [("j", "ORG", "a", "A"), ("j", "ORG", "0", "O"), ("k", "ORG", "a", "A")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = tags.append_only_tags(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-        redaction.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        incremental.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(r["job_id"], r["key"]): r["tag"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("j", "a"): "[[ORG_001]]", ("j", "b"): "[[ORG_002]]", ("j", "x"): "[[ID_NO_001]]", ("j", "0"): "[[ORG_003]]", ("k", "a"): "[[ORG_001]]"}

@@ -63,10 +63,30 @@ def test_one_pass_is_what_a_compiled_pattern_does(spark):
     rows = [*samples(1500, 3), "Иванов Иван Иванович и Иванову", "ООО «Ромашка»", "", "Ивановский"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
     native = {r["doc_id"]: r for r in redact.redact(df, PEOPLE).collect()}
-    arrow = {r["doc_id"]: r["t"] for r in df.select("doc_id", redact._redactor(rules)(F.col("text")).alias("t")).collect()}
+    joined = {r["doc_id"]: r for r in redact.redact(df, PEOPLE, native_chars=0).collect()}
     for i, x in enumerate(rows):
         want, n = whole.subn(lambda m: rules[int(m.lastgroup[1:])][0], x)
-        assert native[i]["text"] == arrow[i] == want and native[i]["replacements"] == n
+        assert native[i]["text"] == joined[i]["text"] == want and native[i]["replacements"] == joined[i]["replacements"] == n
+
+
+def test_short_and_long_lists_replace_alike(spark):
+    """On both sides of the size at which texts are joined with what they may have; combining marks and null texts too."""
+    own = [{"value": v, "variants": [v.upper()], "inflect": False, "tag": f"[[X_{i:03d}]]"} for i, v in enumerate(["Zoe", "Zoe Ann", "a-b", "№", "x y", "y"])]
+    rows = ["Zoe\u0308 Zoe", "ZOE ANN and Zoe Ann", "a–b, a-b", "№ 5", "x  y y", None, "", "nothing", "Zoe"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    long = own + [{"value": f"absent{i} word{i}", "variants": [], "inflect": False, "tag": f"[[Y_{i:03d}]]"} for i in range(600)]
+    assert sum(len(p) for _, p in redact.alternation(long)) > redact.NATIVE_CHARS
+    short = [tuple(r) for r in redact.redact(df, own).orderBy("doc_id").collect()]
+    assert short == [tuple(r) for r in redact.redact(df, long).orderBy("doc_id").select("doc_id", "text", "replacements").collect()]
+    assert short[0][1:] == ("Zoe\u0308 [[X_000]]", 1) and short[5][1:] == (None, 0)
+
+
+def test_any_case(spark):
+    df = spark.createDataFrame([(1, "ИВАНОВУ, иванов и Иванов; Ann@X.org ANN@x.ORG")], "doc_id int, text string")
+    own = [{"value": "Иванов", "variants": [], "inflect": True, "tag": "[[P_001]]"}, {"value": "ann@x.org", "variants": [], "inflect": False, "tag": "[[E_001]]"}]
+    want = "[[P_001]], [[P_001]] и [[P_001]]; [[E_001]] [[E_001]]"
+    assert [redact.redact(df, own, any_case=True, native_chars=n).first()["text"] for n in (20_000, 0)] == [want] * 2
+    assert redact.redact(df, own).first()["replacements"] == 1
 
 
 def test_restore_after_redact(spark):
