@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import display, messages, reply
 from palimpsest.functions import text as T
-from palimpsest.functions.constants import CATEGORIES, DASHES, GENERIC, LEGAL_FORMS, LEGAL_PREFIXES, MEDIA_TYPES, PUNCTUATION, QUOTES, SUPPORTED
+from palimpsest.functions.constants import CATEGORIES, DASHES, GENERIC, LEGAL_FORMS, LEGAL_PREFIXES, MEDIA_TYPES, PUNCTUATION, QUOTES, SUPPORTED, VOWELS
 from palimpsest.operators import candidates, chunks, detect, entities, jobs, leaves, ledger, manifest, occurrences, redact
+from palimpsest.plans import lifecycle
 from palimpsest.plans.registry import QUERIES, SQL, Rows, _written, query
 from palimpsest.sources import model, ooxml
 from palimpsest.sources.tables import grouped_leaves, paragraphs, spread, table
@@ -92,9 +93,13 @@ def _(spark, sf_dir):
     return leaves.offsets(cut_up(spark, sf_dir), "doc_id", "para_no").drop("text")
 
 
-@query("locate_match_leaf", f"SELECT doc_id, para_no, (strpos(text, '@') - 1)::BIGINT AS at, ((strpos(text, '@') - 1) // 7)::INT AS leaf_no, ((strpos(text, '@') - 1) % 7)::BIGINT AS \"offset\" FROM ({LINES}) WHERE contains(text, '@')")
+@query("locate_match_leaf", f"""SELECT doc_id, para_no, "at"::BIGINT AS "at", ("at" // 7)::INT AS leaf_no, ("at" % 7)::BIGINT AS "offset" FROM (
+  SELECT doc_id, para_no, unnest(list_filter(range(length(text)), lambda i: substr(text, i::INT + 1, 1) = '@')) AS "at" FROM ({LINES}) WHERE contains(text, '@'))""")
 def _(spark, sf_dir):
-    found = paragraphs(docs(spark, sf_dir)).where(F.contains("text", F.lit("@"))).select("doc_id", "para_no", (F.instr("text", "@") - 1).cast("bigint").alias("at"))
+    rows = paragraphs(docs(spark, sf_dir)).where(F.contains("text", F.lit("@")))
+    parts = F.transform(F.split("text", "@"), F.length)
+    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.aggregate(F.slice("parts", F.lit(1), k), k - 1, lambda a, x: a + x))
+    found = rows.withColumn("parts", parts).select("doc_id", "para_no", F.explode(ends).alias("at")).withColumn("at", F.col("at").cast("bigint"))
     return leaves.located(found, leaves.offsets(cut_up(spark, sf_dir), "doc_id", "para_no"), "doc_id", "para_no")
 
 
@@ -122,9 +127,33 @@ def counted_sql(column: str, w: str) -> str:
 ALL_COUNTS = " + ".join(counted_sql("text", w) for w in WORDS)
 
 
-@query("redact_packages", f"SELECT doc_id::VARCHAR || '.docx' AS path, ({ALL_COUNTS})::INT AS replacements, NULL::VARCHAR AS error FROM documents")
+def read_again(sql: str) -> str:
+    """What the paragraphs of a package hold, in SQL: the lines of a text after ``sql``."""
+    return f"""coalesce(sha256(string_agg({sql}, chr(10) ORDER BY para_no)), sha256('')) AS text_sha256
+FROM (SELECT doc_id, ({ALL_COUNTS})::INT AS replacements FROM documents) d LEFT JOIN ({LINES}) l USING (doc_id) GROUP BY doc_id, replacements"""
+
+
+def with_text(out: DataFrame) -> DataFrame:
+    read = lifecycle.package_texts(out).select(F.col("doc_id").alias("path"), "text")
+    return out.join(read, "path", "left").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+@query("redact_packages", f"SELECT doc_id::VARCHAR || '.docx' AS path, replacements, {read_again(replaced_sql('l.text'))}")
+def _(spark, sf_dir):
+    return with_text(ooxml.redact_packages(packages(spark, sf_dir), redact.alternation(DICTIONARY))).select("path", "replacements", "text_sha256")
+
+
+def lowered_sql(column: str) -> str:
+    for w in WORDS:
+        column = rf"regexp_replace({column}, '\b{FORMS[w]}\b', '{w}', 'g')"
+    return column
+
+
+@query("restore_packages", f"SELECT doc_id::VARCHAR || '.docx' AS path, doc_id::VARCHAR || '__restored.docx' AS name, replacements, {read_again(lowered_sql('l.text'))}")
 def _(spark, sf_dir):
-    return ooxml.redact_packages(packages(spark, sf_dir), redact.alternation(DICTIONARY)).select("path", "replacements", "error")
+    hidden = ooxml.redact_packages(packages(spark, sf_dir), redact.alternation(DICTIONARY))
+    mapping = spark.createDataFrame([(e["tag"], e["value"]) for e in DICTIONARY], "tag string, value string")
+    return with_text(lifecycle.restore_packages(hidden, mapping)).select("path", "name", "replacements", "text_sha256")
 
 
 @query("scan_errors", "SELECT * FROM (VALUES ('bad.docx', 'not_ooxml'), ('a.pdf', 'unsupported_format')) AS _(path, error)")
@@ -482,20 +511,25 @@ def _(spark, sf_dir):
 
 
 MAPPED = Rows("tag string, value string", [("[[EN_001]]", "one"), ("[[EN_002]]", "two $1 \\"), ("[[FR_003]]", "trois")])
-TAGGED_SQL = "(SELECT doc_id, left(coalesce(text, ''), 40) || ' [[' || upper(lang) || '_' || lpad((doc_id % 5)::VARCHAR, 3, '0') || ']] end' AS text, '[[' || upper(lang) || '_' || lpad((doc_id % 5)::VARCHAR, 3, '0') || ']]' AS tag FROM documents)"
+TAG_SQL = "'[[' || upper(lang) || '_' || lpad((doc_id % 5)::VARCHAR, 3, '0') || ']]'"
+#: Whole texts with a tag before every third line and one at the end.
+TAGGED_SQL = f"""(SELECT doc_id, tag, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: CASE WHEN i % 3 = 1 THEN tag || ' ' ELSE '' END || l), chr(10)) || tag AS text,
+  ((len(string_split(coalesce(text, ''), chr(10))) + 2) // 3 + 1)::INT AS n FROM (SELECT doc_id, text, {TAG_SQL} AS tag FROM documents))"""
 
 
 def tagged(spark, sf_dir):
     tag = F.concat(F.lit("[["), F.upper("lang"), F.lit("_"), F.lpad((F.col("doc_id") % 5).cast("string"), 3, "0"), F.lit("]]"))
-    return docs(spark, sf_dir).select("doc_id", F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), F.lit(" "), tag, F.lit(" end")).alias("text"))
+    rows = docs(spark, sf_dir).select("doc_id", tag.alias("tag"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    lines = F.transform("lines", lambda x, i: F.when(i % 3 == 0, F.concat("tag", F.lit(" "), x)).otherwise(x))
+    return rows.select("doc_id", F.concat(F.array_join(lines, "\n"), "tag").alias("text"))
 
 
-@query("restore_lookup", f"SELECT doc_id, replace(text, tag, coalesce(value, tag)) AS text, (value IS NOT NULL)::INT AS mapped, (value IS NULL)::INT AS unmapped FROM {TAGGED_SQL} LEFT JOIN {MAPPED.sql} USING (tag)")
+@query("restore_lookup", f"SELECT doc_id, replace(text, tag, coalesce(value, tag)) AS text, CASE WHEN value IS NULL THEN 0 ELSE n END AS mapped, CASE WHEN value IS NULL THEN n ELSE 0 END AS unmapped FROM {TAGGED_SQL} LEFT JOIN {MAPPED.sql} USING (tag)")
 def _(spark, sf_dir):
     return redact.restore(tagged(spark, sf_dir), MAPPED.df(spark)).select("doc_id", "text", "mapped", "unmapped")
 
 
-@query("scan_tags", f"SELECT doc_id, [tag] AS tags FROM {TAGGED_SQL}")
+@query("scan_tags", f"SELECT doc_id, list_transform(range(n), lambda i: tag) AS tags FROM {TAGGED_SQL}")
 def _(spark, sf_dir):
     return tagged(spark, sf_dir).select("doc_id", redact.tags_in(F.col("text")).alias("tags"))
 
@@ -599,9 +633,21 @@ def _(spark, sf_dir):
     return pattern_rows(spark).select("form", F.regexp_extract_all("x", F.concat(F.lit("(?U)"), "pattern"), F.lit(0)).alias("found"))
 
 
-@query("token_pattern")
+WORDS_OF_FORMS = Rows("token string, inflect boolean", sorted({(w, i) for f, i, _ in PATTERNS.rows for w in f.split()} | {("И.И.", True), ("Петров-Водкин", True), ("Ли", True), ("O'Neil", True), ("100%", False)}))
+#: Characters that a pattern takes as they are; others have a backslash in front.
+ESCAPED = """CASE WHEN regexp_matches(c, '[A-Za-z0-9_]') OR unicode(c) > 127 OR contains('%/",:;<=>@!`' || chr(39), c) THEN c ELSE chr(92) || c END"""
+
+
+def of_class(characters: str) -> str:
+    return _written(T._in_class(characters))
+
+
+@query("token_pattern", rf"""SELECT token, inflect, array_to_string(list_transform(string_split(stem, ''), lambda c: CASE WHEN contains({_written(QUOTES)}, c) THEN {of_class(QUOTES)} WHEN contains({_written(DASHES)}, c) THEN {of_class(DASHES)} ELSE {ESCAPED} END), '')
+  || CASE WHEN NOT declines THEN '' WHEN vowel THEN '[а-яёА-ЯЁ]{{1,3}}' ELSE '[а-яёА-ЯЁ]{{0,3}}' END AS pattern
+FROM (SELECT *, CASE WHEN vowel THEN left(token, -1) ELSE token END AS stem FROM (SELECT *, declines AND contains({_written(VOWELS)}, lower(right(token, 1))) AS vowel FROM (
+  SELECT token, inflect, inflect AND length(token) >= 4 AND regexp_matches(token, '[Ѐ-ӿ]') AND len(regexp_extract_all(token, '\p{{L}}')) = len(regexp_extract_all(token, '[Ѐ-ӿ]')) AS declines FROM {WORDS_OF_FORMS.sql})))""")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(f, i, T.token_pattern(f, i)) for f, i, _ in PATTERNS.rows], "token string, inflect boolean, pattern string")
+    return spark.createDataFrame([(t, i, T.token_pattern(t, i)) for t, i in WORDS_OF_FORMS.rows], "token string, inflect boolean, pattern string")
 
 
 PERSONS = Rows("value string, category string", [("Иванов Иван Иванович", "PERSON"), ("John Smith", "person"), ("ООО Ромашка", "ORG"), ("Ромашка", "ORG"), ("GmbH Ab", "ORG"), ("x", "OTHER"), ("One Two Three", "PERSON")])
@@ -831,3 +877,31 @@ def _(spark, sf_dir):
   SELECT *, row_number() OVER w - sum(missed::INT) OVER w AS island FROM (SELECT user_id AS job_id, ts, event_id, event_id % 3 <> 0 AS missed FROM events) WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) WHERE missed GROUP BY job_id, island) GROUP BY job_id""")
 def _(spark, sf_dir):
     return jobs.miss_streaks(log(spark, sf_dir).withColumn("missed", F.col("event_id") % 3 != 0), "job_id")
+
+
+# ---- the whole of analyse, over documents with a model's findings: words, with their other spellings as aliases
+
+FOUND = f"(SELECT unnest([{listed(WORDS)}]) AS w)"
+#: Mails and phones of lines, as in the detectors' SQL, with where each stands first.
+HITS = " UNION ALL ".join(
+    f"SELECT doc_id, para_no, {n} AS rule_ord, '{k}' AS category, unnest(list_filter(list_transform(regexp_extract_all({RE2[k][1]}, '{RE2[k][0]}', 1), lambda x: trim(x, ' .,;:')), lambda x: x <> '')) AS value FROM ({LINES})"
+    for n, k in enumerate(("EMAIL", "PHONE"))
+)
+EITHER = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+
+
+@query("analyse_documents", rf"""WITH hits AS ({HITS}),
+spelled AS (SELECT category, value, lower({NORMAL.replace('(x,', '(value,')}) AS key, min((doc_id, rule_ord, para_no)) AS seq FROM hits GROUP BY category, value),
+firsts AS (SELECT key, arg_min(category, seq) AS category, arg_min(value, seq) AS value, list(DISTINCT value) AS forms FROM spelled GROUP BY key),
+rules AS (SELECT key, category, value, list_filter(forms, lambda x: x <> value) AS variants, 'rule' AS source, doc_id, length(t) - length(replace(t, chr(1), '')) AS n
+  FROM (SELECT f.*, doc_id, regexp_replace(d.text, '{EITHER[0]}(?:' || array_to_string(list_transform(list_sort(f.forms, 'DESC'), lambda x: regexp_escape(x)), '|') || '){EITHER[1]}', '\1' || chr(1) || '\2', 'g') AS t
+    FROM firsts f JOIN documents d ON len(list_filter(f.forms, lambda x: contains(d.text, x))) > 0)),
+words AS (SELECT w AS key, 'ORG' AS category, w AS value, [upper(w), upper(left(w, 1)) || substr(w, 2)] AS variants, 'llm' AS source, doc_id,
+  len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: x IN (w, upper(w), upper(left(w, 1)) || substr(w, 2)))) AS n FROM documents, {FOUND}),
+totals AS (SELECT key, category, value, any_value(list_sort(variants)) AS variants, source, sum(n)::BIGINT AS total, count(*) AS documents FROM (SELECT * FROM rules UNION ALL SELECT * FROM words) WHERE n > 0 GROUP BY key, category, value, source)
+SELECT category, value, variants, source, total, documents, row_number() OVER (ORDER BY category, total DESC, value)::INT AS place FROM totals""")
+def _(spark, sf_dir):
+    said = [(0, "org", w, [w.upper(), w.capitalize()], i) for i, w in enumerate(WORDS)]
+    found = spark.createDataFrame(said, "doc_id bigint, category string, value string, aliases array<string>, seq int")
+    out = lifecycle.analyse(docs(spark, sf_dir), lifecycle.Settings(detectors=("EMAIL", "PHONE")), found)
+    return out.select("category", "value", F.array_sort("variants").alias("variants"), "source", "total", "documents", "place")
