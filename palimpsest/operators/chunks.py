@@ -33,3 +33,15 @@ def chunks(paragraphs: DataFrame, most: int = 9000, key: str = "doc_id") -> Data
     """(key, chunk_no, text): a document's unique paragraphs in order, packed greedily."""
     rows = unique_paragraphs(paragraphs, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("para_no", "text"))).alias("p"))
     return rows.select(key, F.posexplode(packed(F.col("p.text"), most)).alias("chunk_no", "text"))
+
+
+def of_texts(docs: DataFrame, most: int = 9000, key: str = "doc_id", text: str = "text", split_long: bool = False) -> DataFrame:
+    """``chunks`` of whole texts, without shuffling their paragraphs.
+
+    A paragraph longer than ``most`` is cut to that, or with ``split_long`` goes on in further pieces, so that nothing is left out.
+    """
+    trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", ""))
+    pieces = F.array_distinct(F.filter(trimmed, lambda x: F.length(x) >= 2))
+    if split_long:
+        pieces = F.flatten(F.transform(pieces, lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{most}}}"), F.lit(0))))
+    return docs.select(key, F.posexplode(packed(pieces, most)).alias("chunk_no", "text"))

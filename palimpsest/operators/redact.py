@@ -13,7 +13,7 @@ from palimpsest.functions.text import entity_pattern
 from palimpsest.operators import occurrences
 
 #: Up to so many characters of patterns every text is read with one alternation of all; beyond it, with one of the entities that it may have.
-NATIVE_CHARS = 20_000
+NATIVE_CHARS = 2_000
 
 
 def alternation(entities: list[dict], any_case: bool = False) -> list[tuple[str, str]]:

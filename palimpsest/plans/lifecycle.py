@@ -29,6 +29,7 @@ class Settings:
     prefix: str = TAG_PREFIX
     suffix: str = TAG_SUFFIX
     chunk_chars: int = CHUNK_CHARS
+    split_long: bool = True
     scrub_metadata: bool = True
     max_files: int = MAX_FILES
     max_upload_mb: int = MAX_UPLOAD_MB
@@ -200,7 +201,7 @@ def unmapped_tags(docs: DataFrame, mapping: DataFrame, settings: Settings = Sett
 
 def scan(docs: DataFrame, client: model.Client, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """A model's findings for ``analyse``, and the warnings of chunks it didn't answer for; each chunk is asked about once."""
-    pieces = chunks.chunks(paragraphs(docs), settings.chunk_chars)
+    pieces = chunks.of_texts(docs, settings.chunk_chars, split_long=settings.split_long)
     template = prompts.Template.read(settings.template) if settings.template else None
     answers = model.replies(pieces, client, template, settings.model_concurrency).persist(StorageLevel.MEMORY_AND_DISK)
     return model.findings(answers), model.warnings(answers)

@@ -134,6 +134,7 @@ FROM (SELECT doc_id, ({ALL_COUNTS})::INT AS replacements FROM documents) d LEFT
 
 
 def with_text(out: DataFrame) -> DataFrame:
+    out = out.persist()  # read twice here: for its counts, and for its packages
     read = lifecycle.package_texts(out).select(F.col("doc_id").alias("path"), "text")
     return out.join(read, "path", "left").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
 
@@ -576,7 +577,7 @@ r AS (SELECT doc_id, k, text, 0 AS chunk_no, length(text) + 1 AS size FROM p WHE
   FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1)
 SELECT doc_id, chunk_no::INT AS chunk_no, string_agg(text, chr(10) ORDER BY k) AS text FROM r GROUP BY doc_id, chunk_no""")
 def _(spark, sf_dir):
-    return chunks.chunks(paragraphs(docs(spark, sf_dir)), 500)
+    return chunks.of_texts(docs(spark, sf_dir), 500)
 
 
 # ---- scalar functions
@@ -783,7 +784,7 @@ def _(spark, sf_dir):
 
 @query("scan_findings", f"SELECT DISTINCT doc_id, 'ORG' AS category, w AS value FROM {UNIQUE}, (SELECT unnest([{listed(WORDS)}]) AS w) WHERE contains(left(text, 9000), w)")
 def _(spark, sf_dir):
-    asked = model.replies(chunks.chunks(paragraphs(docs(spark, sf_dir))), model.gazetteer({"org": WORDS}), concurrency=8)
+    asked = model.replies(chunks.of_texts(docs(spark, sf_dir)), model.gazetteer({"org": WORDS}), concurrency=8)
     return model.findings(asked).select("doc_id", "category", "value").distinct()
 
 

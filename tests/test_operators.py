@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -20,7 +21,9 @@ def texts(n, seed):
     return [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(30))) for _ in range(n)] + ["", None]
 
 
-def test_occurrences_are_what_each_pattern_finds(spark):
+@pytest.mark.parametrize("few", [500, 0])
+def test_occurrences_are_what_each_pattern_finds(spark, few, monkeypatch):
+    monkeypatch.setattr(occurrences, "FEW_ANCHORS", few)
     rows = texts(300, 1)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
     forms = spark.createDataFrame([(i, T.entity_pattern(f, inf), f, inf) for i, f, inf in ENTITIES], "entity_id string, pattern string, forms array<string>, inflect boolean")
@@ -68,3 +71,13 @@ def test_tags_run_past_three_digits(spark):
     rows = spark.range(1200).select(F.col("id"), F.lit("id number!").alias("category"), F.format_string("%05d", "id").alias("value"), F.lit(1).alias("total"))
     tags = {r["value"]: r["tag"] for r in entities.with_tags(rows).collect()}
     assert tags["00000"] == "[[ID_NUMBER_001]]" and tags["01199"] == "[[ID_NUMBER_1200]]"
+
+
+def test_chunks_of_texts_are_those_of_paragraphs(spark):
+    rng = random.Random(9)
+    rows = ["\n".join(rng.choice(["a", "bb ", " ccc", "d" * 30, "ee\u00a0", "", "ff gg"]) for _ in range(rng.randrange(20))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    assert shown(chunks.of_texts(docs, 12)) == shown(chunks.chunks(paragraphs(docs), 12))
+    long = spark.createDataFrame([(1, "x" * 25 + "\nyy")], "doc_id bigint, text string")
+    assert [r["text"] for r in chunks.of_texts(long, 10, split_long=True).orderBy("chunk_no").collect()] == ["x" * 10, "x" * 10, "xxxxx\nyy"]
