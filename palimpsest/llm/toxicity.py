@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), batch.column(0).type), pa.array(own, pa.string())], names=["key", "word"])
 
     pairs = body.select("key", "text").mapInArrow(spread, f"key {kind}, word string").join(F.broadcast(chosen.select("key", "y")), "key")
-    pairs = cut(pairs)
+    pairs = cut(pairs.coalesce(16))  # the words of a bounded sample: few files, however many partitions the documents have
     sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     np_, nu = sizes.get(1, 0), sizes.get(0, 0)
     if not np_ or not nu:
