@@ -430,12 +430,15 @@ def _(spark, sf_dir):
     return entities.contested(CLAIMS.df(spark), "job_id")
 
 
-@query("absorb", f"""SELECT a.job_id, a.id, b.category, list_sort(list_filter(list_distinct(list_concat(list_prepend(a.value, a.variants), list_prepend(b.value, b.variants))), lambda x: x <> a.value)) AS variants,
-  a.inflect OR b.inflect AS inflect FROM {NAMED.sql} a, {NAMED.sql} b WHERE a.id = '1' AND b.id = '3'""")
-def _(spark, sf_dir):
-    rows = NAMED.df(spark).withColumn("pair", F.lit(1))
-    out = entities.absorbed(rows.where("id = '1'"), rows.where("id = '3'"))
-    return out.select(F.lit("a").alias("job_id"), F.lit("1").alias("id"), "category", F.array_sort("variants").alias("variants"), "inflect")
+@query("absorb", f"""SELECT a.id || '<' || b.id AS pair, a.value, CASE WHEN a.category = 'OTHER' AND b.category <> 'OTHER' THEN b.category ELSE a.category END AS category,
+  list_sort(list_filter(list_distinct(list_concat(list_prepend(a.value, a.variants), list_prepend(b.value, b.variants))), lambda x: x <> a.value)) AS variants,
+  CASE WHEN b.source = 'rule' THEN 'rule' ELSE a.source END AS source, a.inflect OR b.inflect AS inflect FROM {NAMED.sql} a JOIN {NAMED.sql} b ON a.job_id = b.job_id AND a.id <> b.id""")
+def _(spark, sf_dir):
+    rows = NAMED.df(spark)
+    pairs = rows.select("job_id", "id").join(rows.select("job_id", F.col("id").alias("other")), "job_id").where("id <> other").withColumn("pair", F.concat("id", F.lit("<"), "other"))
+    keeper = rows.join(pairs.select("id", "pair"), "id")
+    out = entities.absorbed(keeper, rows.join(pairs.select(F.col("other").alias("id"), "pair"), "id"))
+    return out.select("pair", "value", "category", F.array_sort("variants").alias("variants"), "source", "inflect")
 
 
 @query("merge_duplicates", """SELECT * FROM (VALUES ('a', '1', 'ORG', ['МегаФон', 'ПАО «МегаФон»', 'ПАО МегаФон'], 'rule', true), ('a', '4', 'ORG', [], 'llm', false), ('a', '5', 'ORG', [], 'llm', false),
