@@ -49,12 +49,13 @@ def least(rows: DataFrame, by: Column, n: int, *then: str) -> DataFrame:
     """The ``n`` rows of the least ``by``, a hash, ties in the order of ``then``.
 
     Of many rows only a range of the hash that holds about twice as many is
-    sorted, so that tasks don't each hand on ``n`` rows.
+    sorted, so that tasks don't each hand on ``n`` rows.  Different rows must have
+    different hashes; that the range holds fewer than ``n`` then has odds of exp(-n / 4), so only a small ``n`` is looked after.
     """
     count = rows.count()
     if count > 4 * n:
         near = rows.where(by < F.lit(int(2 * n / count * 2**64) - 2**63))
-        rows = near if near.count() >= n else rows
+        rows = near if n >= 1000 or near.count() >= n else rows
     return rows.orderBy(by, *then).limit(n)
 
 
