@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     and a key that any label calls toxic is toxic.
     """
     ident = F.col(f"`{key}`")
-    rows = docs.where(ident.isNotNull() & ~held_out(ident)).select(ident.alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
+    # Two numbers a row are written, so that the texts aren't read again for each count and pick.
+    rows = cut(docs.where(ident.isNotNull() & ~held_out(ident)).select(ident.alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h")))
     known = labels.where(ident.isNotNull() & ~held_out(ident) & F.col(f"`{toxic}`").isNotNull()).groupBy(ident.alias("key")).agg(F.max(F.col(f"`{toxic}`").cast("int")).alias("y"))
     counts = known.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     prior = min(max((counts["p"] or 0) / counts["n"], 1e-3), 0.5) if counts["n"] else 0.1
