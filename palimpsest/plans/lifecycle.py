@@ -219,9 +219,7 @@ def review(reviewed: DataFrame, patches: DataFrame, docs: DataFrame, settings: S
 
 def package_texts(files: DataFrame) -> DataFrame:
     """Files (path, content) to (doc_id, text), a path and its paragraphs in lines; files that can't be read have none."""
-    rows = ooxml.package_paragraphs(files).where("error is null")
-    lines = F.sort_array(F.collect_list(F.struct("part_no", "para_no", "text")))
-    return rows.groupBy(F.col("path").alias("doc_id")).agg(F.array_join(lines["text"], "\n").alias("text"))
+    return ooxml.package_texts(files).where("text is not null").select(F.col("path").alias("doc_id"), "text")
 
 
 def redact_packages(files: DataFrame, reviewed: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, list[dict]]:

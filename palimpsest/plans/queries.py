@@ -133,15 +133,13 @@ def read_again(sql: str) -> str:
 FROM (SELECT doc_id, ({ALL_COUNTS})::INT AS replacements FROM documents) d LEFT JOIN ({LINES}) l USING (doc_id) GROUP BY doc_id, replacements"""
 
 
-def with_text(out: DataFrame) -> DataFrame:
-    out = out.persist()  # read twice here: for its counts, and for its packages
-    read = lifecycle.package_texts(out).select(F.col("doc_id").alias("path"), "text")
-    return out.join(read, "path", "left").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+def with_text(out: DataFrame, *kept: str) -> DataFrame:
+    return ooxml.package_texts(out, *kept).select("path", *kept, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 @query("redact_packages", f"SELECT doc_id::VARCHAR || '.docx' AS path, replacements, {read_again(replaced_sql('l.text'))}")
 def _(spark, sf_dir):
-    return with_text(ooxml.redact_packages(packages(spark, sf_dir), redact.alternation(DICTIONARY))).select("path", "replacements", "text_sha256")
+    return with_text(ooxml.redact_packages(packages(spark, sf_dir), redact.alternation(DICTIONARY)), "replacements")
 
 
 def lowered_sql(column: str) -> str:
@@ -154,7 +152,7 @@ def lowered_sql(column: str) -> str:
 def _(spark, sf_dir):
     hidden = ooxml.redact_packages(packages(spark, sf_dir), redact.alternation(DICTIONARY))
     mapping = spark.createDataFrame([(e["tag"], e["value"]) for e in DICTIONARY], "tag string, value string")
-    return with_text(lifecycle.restore_packages(hidden, mapping)).select("path", "name", "replacements", "text_sha256")
+    return with_text(lifecycle.restore_packages(hidden, mapping), "name", "replacements")
 
 
 @query("scan_errors", "SELECT * FROM (VALUES ('bad.docx', 'not_ooxml'), ('a.pdf', 'unsupported_format')) AS _(path, error)")
