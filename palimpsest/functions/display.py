@@ -16,7 +16,8 @@ def ru_plural(n: Column, one: str, few: str, many: str) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    whole, tenth = F.format_string("%d KB", F.floor(n / 1024 + 0.5)), F.format_string("%.1f MB", n / 1048576)
+    """Bytes, whole KB or tenths of MB; a tenth in the middle of two is the even one, as C prints it (Java's format takes the upper)."""
+    whole, tenth = F.format_string("%d KB", F.floor(n / 1024 + 0.5)), F.format_string("%.1f MB", F.bround(n / 1048576, 1))
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, whole).otherwise(tenth)
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.functions import sql
+from palimpsest.functions import display, sql
 from palimpsest.functions import text as T
 from palimpsest.functions.constants import DETECTORS
 from palimpsest.operators import detect, redact
@@ -116,3 +116,13 @@ def test_functions_of_sql(spark):
     want = detect.hits(spark.table("texts")).select("doc_id", "rule", "match_ord", "value").where("rule <> 'TICKET'").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert spark.sql("SELECT fold_case(normalise_nfkc('Straße ﬁ'))").first()[0] == "strasse fi"
+
+
+def test_sizes_between_two_tenths_go_to_the_even_one(spark):
+    """As the query's SQL prints them: 2.25 MB is 2.2, not 2.3."""
+    quarters = [1536**2, 2560**2, 7680**2, 10752**2, 1048576 + 262144, 1048576 + 786432]
+    rows = [0, 1023, 1024, 1536, 1048575, 1048576, *quarters, *(q + d for q in quarters for d in (-1, 1)), (1 << 50) + 262144]
+    got = spark.createDataFrame([(x,) for x in rows], "n bigint").select("n", display.size_text(F.col("n")).alias("x")).collect()
+    for n, x in got:
+        assert x == (f"{n} B" if n < 1024 else f"{int(n / 1024 + 0.5)} KB" if n < 1048576 else f"{n / 1048576:.1f} MB")
+    assert dict(got)[1536**2] == "2.2 MB"
