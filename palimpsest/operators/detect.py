@@ -15,6 +15,9 @@ _OWN: dict[str, tuple[str, str, int]] = {}
 #: Texts without any of these have no match of the detector; looking for them costs far less than its pattern.
 NEEDED = {"EMAIL": ["@"], "URL": ["http://", "https://", "www."], "PHONE": ["+", "8"], "INN": ["ИНН", "INN"], "OGRN": ["ОГРН", "OGRN"], "SNILS": ["-"]}
 
+#: What belongs to a word, within a class; Java's own also has combining marks and joiners, which hide a value that they stand beside, and lacks numbers like ②.
+_WORD = r"\p{L}\p{N}_"
+
 
 def register(name: str, category: str, pattern: str, group: int = 0) -> None:
     """Add a detector, or replace one of that name; the pattern is Java's, with (?U) set."""
@@ -31,6 +34,8 @@ def detectors(names: Iterable[str] | None = None) -> dict[str, tuple[str, str, i
 def values(text: Column, name: str) -> Column:
     """The values that one detector finds, in order, without punctuation at the ends; empty ones left out."""
     _, pattern, group = detectors([name])[name.upper()]
+    if name.upper() not in _OWN:
+        pattern = pattern.replace(r"\w", _WORD)
     found = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
     if name.upper() in NEEDED and name.upper() not in _OWN:
         some = reduce(or_, [F.contains(text, F.lit(x)) for x in NEEDED[name.upper()]])

@@ -126,3 +126,16 @@ def test_sizes_between_two_tenths_go_to_the_even_one(spark):
     for n, x in got:
         assert x == (f"{n} B" if n < 1024 else f"{int(n / 1024 + 0.5)} KB" if n < 1048576 else f"{n / 1048576:.1f} MB")
     assert dict(got)[1536**2] == "2.2 MB"
+
+
+def test_what_stands_beside_a_value_is_read_as_python_does(spark):
+    """Two numbers with one character between are both found; marks and joiners end no word and hide nothing, numbers of any kind do."""
+    phone, mail = "+1 (415) 555-0199", "ann@x.org"
+    rows = [f"{v}{c}{w}" for v in (phone, mail) for w in (v, "") for c in (" ", "\n", ",", "\u0301", "\u200d", "\u200c", "\u203f", "\u00b2", "\u2461", "\u0967", "_", "a")]
+    rows += [c + v for v in (phone, mail) for c in ("\u0301", "\u200d", "\u203f", "\u00b2", "\u2461", "_", " ")]
+    for name in ("PHONE", "EMAIL"):
+        _, pattern, group = DETECTORS[name]
+        got = spark.createDataFrame(list(enumerate(rows)), "i int, text string").select("i", detect.values(F.col("text"), name).alias("v")).collect()
+        assert {rows[r["i"]]: r["v"] for r in got} == {x: [v for m in re.finditer(pattern, x) if (v := m.group(group).strip(" .,;:"))] for x in rows}
+    both = spark.createDataFrame([(1, f"{phone} {phone}\n{phone}")], "doc_id int, text string")
+    assert [r["value"] for r in detect.hits(both, names=["PHONE"]).collect()] == [phone] * 3
