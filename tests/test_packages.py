@@ -4,9 +4,12 @@ import io
 import re
 import zipfile
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import redact
+from palimpsest.plans import lifecycle
 from palimpsest.sources import ooxml
 
 W, A, X = (f'xmlns:{p}="{u}"' for p, u in (("w", ooxml.WORD), ("a", ooxml.DRAWING), ("x", ooxml.SHEET)))
@@ -109,3 +112,29 @@ def test_files_by_spark(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in rows if r["error"]) == ["bad.docx"]
     out = {r["path"].rsplit("/", 1)[1]: r for r in ooxml.redact_packages(files, RULES).collect()}
     assert out["a.docx"]["replacements"] == 3 and out["b.xlsx"]["replacements"] == 2 and out["bad.docx"]["error"] == "not_ooxml"
+
+
+def test_texts_of_packages_take_no_shuffle(spark):
+    """A package is one row, so nothing need be brought together; files that can't be read and blank ones have no text."""
+    files = spark.createDataFrame([("a.docx", DOCX), ("b.xlsx", XLSX), ("bad.docx", b"x"), ("blank.docx", ooxml.as_package(" "))], "path string, content binary")
+    out = lifecycle.package_texts(files)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {"a.docx": "Иван Иванов & Co\nИван Иванов тут\nИван", "b.xlsx": "Иван Иванов\n12\nИван Иванов"}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    kept = ooxml.package_texts(files.withColumn("n", F.length("path")), "n").collect()
+    assert [(r["path"], r["n"], r["text"] is None) for r in kept] == [("a.docx", 6, False), ("b.xlsx", 6, False), ("bad.docx", 8, True), ("blank.docx", 10, True)]
+
+
+def test_rows_are_handed_on_in_small_batches():
+    files = pa.RecordBatch.from_pydict({"path": [f"{i}.docx" for i in range(400)]})
+    out = list(ooxml._by_file([files, files], pa.schema([("x", pa.string())]), lambda f: [{"x": f["path"] + "y" * 20_000}], lambda r: len(r["x"])))
+    assert sum(b.num_rows for b in out) == 800 and max(b.nbytes for b in out) < 2 * ooxml.HANDED_ON and len(out) > 10
+
+
+@pytest.mark.parametrize("odd", ["", "<!-- c -->", "<w:r><w:t><![CDATA[a<b]]></w:t></w:r>", '<q:p xmlns:q="u"><w:t>x</w:t></q:p>', "<w:t>a<w:br/>b</w:t>", "<?p i?>"])
+def test_plain_parts_are_read_as_any_part(odd):
+    """By the tags that count and event by event: references, line ends, names in quotes, other prefixes, empty and nested paragraphs."""
+    body = "<w:p/><w:p a='>' v:author=\"x\"><w:r k=\" author='n'\"><w:t>a&amp;&#x42;\r\nc</w:t></w:r><w:t/><v:p ><v:t xml:space='preserve'> d</v:t ></v:p><w:t>e author='x'</w:t></w:p><w:t>f</w:t><w:tt>g</w:tt><text author=''><t>h</t></text>"
+    part = f'<?xml version="1.0" encoding="UTF-8"?>\r\n<w:document {W} {A} xmlns:v="{ooxml.WORD}" xmlns="{ooxml.SHEET}">{body}{odd}</w:document>'.encode()
+    assert (ooxml._plain(part) is None) == bool(odd)
+    assert ooxml.paragraphs(part) == ooxml._any_paragraphs(part)
+    assert [["a&B\nc", "e author='x'"], [" d"], ["f"], ["h"]] == [[x.text for x in g] for g in ooxml.paragraphs(part)[0]][:4]
