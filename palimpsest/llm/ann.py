@@ -1,17 +1,23 @@
 """Nearest neighbours by additive quantisation.
 
-A vector is approximated by a sum of one code word from each of several
+A vector's direction is approximated by a sum of one code word from each of several
 codebooks, all of the vector's full dimension.  The books are trained stage by
 stage on residuals of a bounded sample, then refined together by least squares.
-A beam search picks each vector's code words; its approximation's error enters
-through a stored norm.  A query's products with all code words are a lookup
+A beam search picks each vector's code words; its length and what the
+approximation lacks are stored with them.  A query's products with all code words are a lookup
 table, so that a stored vector's score is a few lookups.  The best by lookup are scored
 again on the original vectors, in double precision.
 
+An exact check follows.  A product differs from its lookup by at most the query's length times
+the stored error, so the k-th best product found so far rules most rows out, and all
+others are scored again, however many they are: rows that the codes can't tell apart
+(near copies, more dimensions than the codes have bits for) are all looked at.
+
 The first code word is a vector's inverted list.  How many lists a query looks
-into is measured on the sample: as many as hold nearly all true neighbours
+into at first is measured on the sample: as many as hold nearly all true neighbours
 there.  Vectors that lie in clusters need a few; where there is no structure, so that
-this comes to over half of the lists, all are looked into.
+this comes to over half of the lists, all are looked into.  Of the other lists those follow
+whose middle and radius don't rule out that they hold a nearer vector.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, least
@@ -42,6 +48,13 @@ def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, and the lengths; squares neither vanish nor overflow."""
+    big = np.abs(x).max(1, keepdims=True)
+    own = np.linalg.norm(x / big, axis=1)
+    return x / big / own[:, None], big[:, 0] * own
+
+
 class Books:
     """Codebooks (stages, words, dimension) and what a beam search over them needs."""
 
@@ -135,29 +148,41 @@ def fit(rows: DataFrame, sample: int = 8192, beam: int = 8, **how) -> Index | No
         return None
     size = max(map(len, picked))
     x = np.array([v for v in picked if len(v) == size], dtype=np.float64)
-    books = train(x, **how)
-    own = books.encode(x, beam)[:, 0].astype(np.int64)
+    straight, _ = directions(x)
+    books = train(straight, **how)
+    own = books.encode(straight, beam)[:, 0].astype(np.int64)
     middles = np.zeros((books.books.shape[1], size))
     np.add.at(middles, own, x)
     middles /= np.maximum(np.bincount(own, minlength=len(middles)), 1)[:, None]
     return Index(books.books, middles, lists_needed(x, own, middles))
 
 
-def encode(rows: DataFrame, books: np.ndarray, beam: int = 8) -> DataFrame:
-    """(id, v) to (id, codes, list, norm): code words, the first of them, and the ratio of the vector's norm to its approximation's."""
-    held = rows.sparkSession.sparkContext.broadcast(books)
+def encode(rows: DataFrame, index: Index, beam: int = 8) -> DataFrame:
+    """(id, v) to (id, v, codes, list, scale, error, length, far).
+
+    Code words, the first of them, what their sum is multiplied by, how far that is from the
+    vector at most (with what lookups lose in single precision), the vector's length, and how far it is from the middle of its list.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(frames):
-        own = Books(held.value)
+        own, middles = Books(held.value.books), held.value.middles
+        (stages, _, d), longest = own.books.shape, np.sqrt(own.norms.astype(np.float64))
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                codes = own.encode(x, beam)
-                near = np.linalg.norm(own.decode(codes), axis=1)
-                yield pd.DataFrame({"id": part["id"], "codes": [c.tobytes() for c in codes], "list": codes[:, 0].astype(np.int32), "norm": np.linalg.norm(x, axis=1) / np.where(near > 0, near, 1)})
+                straight, length = directions(x)
+                codes = own.encode(straight, beam)
+                near = own.decode(codes).astype(np.float64)
+                square = np.square(near).sum(1)
+                scale = (straight * near).sum(1) / np.where(square > 0, square, 1)
+                lost = np.finfo(np.float32).eps * (d + stages + 8) * sum(longest[j][codes[:, j]] for j in range(stages)) * np.abs(scale)
+                error = np.linalg.norm(straight - scale[:, None] * near, axis=1) + lost
+                far = np.linalg.norm(x - middles[codes[:, 0]], axis=1)
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "codes": [c.tobytes() for c in codes], "list": codes[:, 0].astype(np.int32), "scale": scale * length, "error": error * length, "length": length, "far": far})
 
-    return rows.mapInPandas(run, "id long, codes binary, list int, norm double")
+    return rows.mapInPandas(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, codes binary, list int, scale double, error double, length double, far double")
 
 
 def blocks_of(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
@@ -179,8 +204,43 @@ def lookups(wanted: np.ndarray, books: np.ndarray) -> list[np.ndarray]:
     return pairs + [each[-1]] * (len(each) % 2)
 
 
-def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = 400, block: int = 16384, queries: int = 2048, **how) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query.
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a vector, each added up from the first component to the last, so that equal rows have equal ones wherever they stand."""
+    return (x * q).cumsum(axis=1)[:, -1] + 0.0
+
+
+def nearest(x: np.ndarray, ids: np.ndarray, near: np.ndarray, above: np.ndarray, q: np.ndarray, floors: np.ndarray, slack: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, products) of the ``k`` rows of the largest products with each query, without those below its floor; ties to the smaller id.
+
+    ``near`` (queries, rows) are the products by lookup, ``above`` what they are at
+    most; rows of minus infinity take no part.  The ``rerank`` best by lookup set the floor that other rows must reach.
+    ``slack`` is what a query's products may differ by if they are added up in another order.
+    """
+    n = len(x)
+    floors = floors - slack
+    for i, row in enumerate(near):
+        best = np.argpartition(row, n - rerank)[n - rerank :] if n > rerank else np.arange(n)
+        best = best[row[best] > -np.inf]
+        if len(best) >= k:
+            floors[i] = max(floors[i], np.partition(x[best] @ q[i], len(best) - k)[len(best) - k] - slack[i])
+    left = ~(above < floors[:, None]) & (above != -np.inf)
+    # A query that has much of the rows left is multiplied with all of them, along with others of its kind.
+    many = left.sum(1) > n / 8
+    whole = dict(zip(np.flatnonzero(many).tolist(), q[many] @ x.T, strict=True))
+    out = []
+    for i in range(len(q)):
+        at = np.flatnonzero(left[i])
+        rough = whole[i][at] if i in whole else x[at] @ q[i]
+        if len(at) > k:
+            at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - 2 * slack[i]]
+        score = products(x[at], q[i])
+        order = np.lexsort((ids[at], -score))[:k]
+        out.append((ids[at][order], score[order]))
+    return out
+
+
+def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, rerank: int = 400, block: int = 16384, queries: int = 8192, **how) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest of each query.
 
     Queries are the rows whose key ``every`` divides, candidates are all rows but the
     query's own; nearness is the inner product in double precision on the
@@ -190,9 +250,9 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     aren't defined.  No valid rows give no rows.
 
     Every row is in the index (32 books of 64 words: 32 bytes of code); the codebooks alone are fitted on a sample
-    (``fit``).  Codes are dealt into blocks by list, queries to the blocks of the
-    lists that they look into; a task holds one block and at most about ``queries`` queries, and hands on a
-    query's best ``rerank`` of the block in one row.  Such rows are merged 16 at a time.
+    (``fit``).  Codes and vectors are dealt into blocks by list, queries to the blocks of the
+    lists that they look into; a task holds one block (fewer rows, if vectors are long) and at most about ``queries`` queries, and hands on a
+    query's best ``k`` of the block in one row.  Such rows are merged 16 at a time.
     """
     rows = cut(valid(vectors, key, vector))
     out = "query_id long, rank int, vec_id long, score double"
@@ -201,32 +261,32 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         return rows.sparkSession.createDataFrame([], out)
     rows = rows.where(F.size("v") == common["size"])
     index = fit(rows, **how)
-    coded = cut(encode(rows, index.books))
-    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row for each first word
-    dealt = blocks_of(sizes, block)
+    coded = cut(encode(rows, index))
+    # A row for each first word.
+    lists = {r["list"]: r for r in coded.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("length").alias("longest")).collect()}
+    dealt = blocks_of({name: r["n"] for name, r in lists.items()}, min(block, max(256, 2**22 // common["size"])))
     spark = rows.sparkSession
     where = F.broadcast(spark.createDataFrame([(name, *own) for name, own in dealt.items()], "list int, start int, parts int"))
-    coded = coded.join(where, "list").select("id", "codes", "norm", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("cb"))
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    coded = coded.join(where, "list").select("id", "v", "codes", "scale", "error", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("cb"))
     held = spark.sparkContext.broadcast(index)
     starts = np.array([dealt.get(i, (-1, 0)) for i in range(len(index.middles))])
+    far, longest = (np.array([lists[i][c] if i in lists else -np.inf for i in range(len(index.middles))]) for c in ("far", "longest"))
+    kind = rows.schema["v"].dataType.simpleString()
 
     def aim(frames):
+        """The blocks of the lists that come first; with a floor, of all other lists that may hold what reaches it."""
         middles, probes = held.value.middles, held.value.probes
         for frame in frames:
             if len(frame):
                 x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-                order = np.argsort(-(x @ middles.T), axis=1, kind="stable")[:, :probes]
-                found = [sorted({b for a, n in starts[own] for b in range(a, a + n)}) for own in order]
-                yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "blocks": found})
-
-    kind = rows.schema["v"].dataType.simpleString()
-    asked = asked.mapInPandas(aim, f"id long, v {kind}, blocks array<int>")
-    asked = cut(asked.select("id", "v", F.explode("blocks").alias("cb")))
-    # How many parts the queries of a block are dealt into, and a copy of its codes for each.
-    shares = asked.groupBy("cb").agg(F.ceil(F.count("*") / queries).cast("int").alias("shares"))
-    asked = asked.join(shares, "cb").select("id", "v", "cb", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("qb"))
-    coded = coded.join(shares, "cb").select("id", "codes", "norm", "cb", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("qb"))
+                by_middle = x @ middles.T
+                first = [{b for a, n in starts[own] for b in range(a, a + n)} for own in np.argsort(-by_middle, axis=1, kind="stable")[:, :probes]]
+                if "floor" in frame:
+                    length = directions(x)[1][:, None]
+                    most = np.minimum(by_middle + length * far, length * longest) + 1e-9 * length * longest.max()
+                    ruled_out = most < frame["floor"].to_numpy()[:, None]
+                    first = [{b for a, n in starts[~own] for b in range(a, a + n)} - seen for own, seen in zip(ruled_out, first, strict=True)]
+                yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "floor": frame["floor"] if "floor" in frame else -np.inf, "blocks": [sorted(b) for b in first]})
 
     def scored(names: tuple, codes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(codes) or not len(wanted):
@@ -236,38 +296,51 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         stages, words, _ = own.shape
         at = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(-1, stages).astype(np.int32)
         both = [at[:, j] * words + at[:, j + 1] for j in range(0, stages - 1, 2)] + [at[:, -1]] * (stages % 2)
-        ids, norm = codes["id"].to_numpy(), codes["norm"].to_numpy(np.float32)
-        asked_ids, found, scores = [], [], []
+        ids, scale, error = (codes[c].to_numpy() for c in ("id", "scale", "error"))
+        x = np.stack(codes["v"].to_numpy()).astype(np.float64)
+        slack = 4 * x.shape[1] * np.finfo(np.float64).eps * directions(x)[1].max()
+        found = []
         for begin in range(0, len(wanted), 32):
             part = wanted.iloc[begin : begin + 32]
-            tables = lookups(np.stack(part["v"].to_numpy()), own)
+            q = np.stack(part["v"].to_numpy()).astype(np.float64)
+            straight, length = directions(q)
+            tables = lookups(straight, own)
             total, buffer = tables[0][both[0]], None
             for table, place in zip(tables[1:], both[1:], strict=True):
                 buffer = np.take(table, place, axis=0, out=buffer, mode="clip")
                 total += buffer
-            total = np.ascontiguousarray((total * norm[:, None]).T)
-            for name, row in zip(part["id"].tolist(), total, strict=True):
-                row[ids == name] = -np.inf
-                if len(row) > rerank:  # the best, of equals those with the smallest ids
-                    limit = np.partition(row, len(row) - rerank)[len(row) - rerank]
-                    above = np.flatnonzero(row > limit)
-                    pick = np.concatenate([above, np.flatnonzero(row == limit)[: rerank - len(above)]])
-                else:
-                    pick = np.arange(len(row))
-                pick = pick[row[pick] > -np.inf]
-                asked_ids.append(name)
-                found.append(ids[pick])
-                scores.append(row[pick].astype(np.float64))
-        return pd.DataFrame({"query_id": asked_ids, "cb": int(names[0]), "ids": found, "scores": scores})
-
-    near = coded.groupBy("cb", "qb").cogroup(asked.groupBy("cb", "qb")).applyInPandas(scored, "query_id long, cb int, ids array<long>, scores array<double>")
-    best = near.select("query_id", "cb", F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("s"), i.alias("i"))).alias("best"))
-    count = max(a + n for a, n in dealt.values())
-    while count > 1:
-        top = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, rerank)
-        best, count = best.groupBy("query_id", F.floor(F.col("cb") / 16).cast("int").alias("cb")).agg(top.alias("best")), math.ceil(count / 16)
-    wanted = best.select("query_id", F.explode("best.i").alias("id"))
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    exact = wanted.join(rows, "id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", F.col("id").alias("vec_id"), product.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            near = np.ascontiguousarray(total.T) * scale
+            above = (near + error) * length[:, None]
+            near *= length[:, None]
+            place = np.searchsorted(ids, part["id"].to_numpy())
+            mine = np.flatnonzero(ids[np.minimum(place, len(ids) - 1)] == part["id"].to_numpy())
+            near[mine, place[mine]] = above[mine, place[mine]] = -np.inf
+            found += nearest(x, ids, near, above, q, part["floor"].to_numpy(dtype=np.float64), slack * length, k, rerank)
+        return pd.DataFrame({"query_id": wanted["id"].tolist(), "cb": int(names[0]), "ids": [i for i, _ in found], "scores": [s for _, s in found]})
+
+    def best_of(asked: DataFrame) -> DataFrame:
+        """(query_id, best): a query's ``k`` best of the blocks that it looks into."""
+        asked = cut(asked.mapInPandas(aim, f"id long, v {kind}, floor double, blocks array<int>").select("id", "v", "floor", F.explode("blocks").alias("cb")))
+        # How many parts the queries of a block are dealt into, and a copy of its rows for each: as few as there is work for all.
+        busy = math.ceil(2 * spark.sparkContext.defaultParallelism / max(a + n for a, n in dealt.values()))
+        n = F.count("*")
+        shares = asked.groupBy("cb").agg(F.greatest(F.ceil(n / queries), F.least(F.ceil(n / 128), F.lit(busy))).cast("int").alias("shares"))
+        asked = asked.join(shares, "cb").select("id", "v", "floor", "cb", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("qb"))
+        own = coded.join(shares, "cb").select("id", "v", "codes", "scale", "error", "cb", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("qb"))
+        near = own.groupBy("cb", "qb").cogroup(asked.groupBy("cb", "qb")).applyInPandas(scored, "query_id long, cb int, ids array<long>, scores array<double>")
+        best = near.select("query_id", "cb", F.zip_with("ids", "scores", lambda i, s: F.struct((F.lit(0.0) - s).alias("s"), i.alias("i"))).alias("best"))
+        count = max(a + n for a, n in dealt.values())
+        while count > 1:
+            best, count = best.groupBy("query_id", F.floor(F.col("cb") / 16).cast("int").alias("cb")).agg(top.alias("best")), math.ceil(count / 16)
+        return best.select("query_id", "best")
+
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k)
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    best = best_of(asked)
+    if index.probes < len(index.middles):
+        best = cut(best)
+        floor = F.when(F.size("best") >= k, -F.element_at("best", k)["s"]).otherwise(float("-inf"))
+        again = asked.join(best, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce(floor, F.lit(float("-inf"))).alias("floor"))
+        best = best.unionByName(best_of(again)).groupBy("query_id").agg(top.alias("best"))
+    each = best.select("query_id", F.posexplode("best").alias("at", "own"))
+    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("own.i").alias("vec_id"), (F.lit(0.0) - F.col("own.s")).alias("score"))

@@ -111,6 +111,34 @@ def test_ann_recall_where_few_are_scored_again(spark, clusters):
     assert len(got) == 100 * 20 and np.mean(found) >= 0.9, np.mean(found)
 
 
+@pytest.mark.parametrize("kind", ["near copies", "more dimensions than bits", "lengths", "clusters", "tiny and huge"])
+def test_ann_finds_what_codes_cannot_tell_apart(spark, kind):
+    """All nearest are found, in the order of brute force, where far more than 400 rows look alike to the codes, or lie in lists that aren't looked into at first."""
+    rng = np.random.default_rng(5)
+    n, d = 3000, 256 if kind == "more dimensions than bits" else 64
+    x = rng.normal(size=(n, d))
+    if kind == "near copies":
+        x[:700] = x[0] + 0.0001 * x[:700]
+        x = x[rng.permutation(n)]
+    if kind == "lengths":
+        x *= rng.lognormal(sigma=2, size=(n, 1))
+    if kind == "clusters":
+        x = 0.1 * x + rng.normal(size=(30, d))[rng.integers(30, size=n)]
+    x = x.astype(np.float32).astype(float)
+    if kind == "tiny and huge":
+        x *= 10.0 ** rng.choice([-150, 0, 150], size=(n, 1))
+    element = "double" if kind == "tiny and huge" else "float"
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": list(map(np.ndarray.tolist, x))}), f"vec_id long, embedding array<{element}>").repartition(4)
+    got = {}
+    for r in ann.search(table, every=100, block=1024).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, n, 100):
+        score = (x * x[q]).cumsum(axis=1)[:, -1]
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(n), -score))[:20]
+        assert got[q] == list(zip(best.tolist(), score[best].tolist(), strict=True))
+
+
 def test_ann_blocks():
     assert ann.blocks_of({0: 5, 1: 5, 2: 30, 3: 1, 4: 9}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1)}
 
