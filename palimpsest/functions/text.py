@@ -158,9 +158,25 @@ def _body(form: str, inflect: bool) -> str:
     return r"\s+".join(token_pattern(w, inflect) for w in form.split())
 
 
+#: What belongs to a word beside a number or an address, as Python reads it, and the same for Java: a combining mark or a joiner hides no such value.
+_BESIDE, _BESIDE_JAVA = r"[\w]", r"[\p{L}\p{N}_]"
+
+
+def _border(forms: list[str]) -> str:
+    return _BESIDE if all(re.search(r"[\d@/]", f) for f in forms) else r"\w"
+
+
+def for_java(pattern: str | Column) -> str | Column:
+    """A pattern of forms as Java reads it."""
+    if isinstance(pattern, str):
+        return "(?U)" + pattern.replace(_BESIDE, _BESIDE_JAVA)
+    return F.concat(F.lit("(?U)"), F.replace(pattern, F.lit(_BESIDE), F.lit(_BESIDE_JAVA)))
+
+
 def form_pattern(form: str, inflect: bool = False) -> str:
-    """A form as a pattern that both Java (with (?U)) and Python read; empty for a blank form."""
-    return rf"(?<!\w){_body(form, inflect)}(?!\w)" if form.strip() else ""
+    """A form as a pattern that both Java (by ``for_java``) and Python read; empty for a blank form."""
+    edge = _border([form])
+    return rf"(?<!{edge}){_body(form, inflect)}(?!{edge})" if form.strip() else ""
 
 
 def entity_pattern(forms: list[str], inflect: bool = False, any_case: bool = False) -> str:
@@ -175,4 +191,5 @@ def entity_pattern(forms: list[str], inflect: bool = False, any_case: bool = Fal
     if any_case:
         first = {c for f in first for c in (f, *f.lower(), *f.upper())}
     begins = "".join(sorted(set().union(*(next((own for own in (QUOTES, DASHES) if c in own), c) for c in first))))
-    return rf"(?={_in_class(begins)})(?<!\w)(?{'i' if any_case else ''}:{'|'.join(_body(f, inflect) for f in found)})(?!\w)"
+    edge = _border(found)
+    return rf"(?={_in_class(begins)})(?<!{edge})(?{'i' if any_case else ''}:{'|'.join(_body(f, inflect) for f in found)})(?!{edge})"

@@ -114,8 +114,8 @@ def count_occurrences(docs: DataFrame, forms: DataFrame, key: str = "doc_id", te
     """
     each = _each(forms).persist(StorageLevel.MEMORY_AND_DISK)
     if (some := _few(docs, each, "inflect" in forms.columns, key, text)) is not None:
-        rows = some.select("entity_id", key, F.regexp_count(F.col(text), F.concat(F.lit("(?U)"), F.col("pattern"))).alias("n"))
+        rows = some.select("entity_id", key, F.regexp_count(F.col(text), T.for_java(F.col("pattern"))).alias("n"))
         return rows.where("n > 0").groupBy("entity_id", key).agg(F.max("n").alias("n"))
     both = docs.select(key, text).join(near(docs, forms, key, text), key)
-    counted = F.transform("tried", lambda e: F.struct(e["entity_id"].alias("entity_id"), F.regexp_count(F.col(text), F.concat(F.lit("(?U)"), e["pattern"])).alias("n")))
+    counted = F.transform("tried", lambda e: F.struct(e["entity_id"].alias("entity_id"), F.regexp_count(F.col(text), T.for_java(e["pattern"])).alias("n")))
     return both.select(key, F.explode(counted).alias("c")).where("c.n > 0").select("c.entity_id", key, "c.n")

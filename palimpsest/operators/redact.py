@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.constants import TAG_PREFIX, TAG_SUFFIX
-from palimpsest.functions.text import entity_pattern
+from palimpsest.functions.text import entity_pattern, for_java
 from palimpsest.operators import occurrences
 
 #: Up to so many characters of patterns every text is read with one alternation of all; beyond it, with one of the entities that it may have.
@@ -36,7 +36,7 @@ def matches(text: Column, rules: list[tuple[str, str]]) -> Column:
     """What the rules' alternation matches, in order."""
     if not rules:
         return F.array().cast("array<string>")
-    return F.regexp_extract_all(text, F.lit("(?U)" + "|".join(p for _, p in rules)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(for_java("|".join(p for _, p in rules))), F.lit(0))
 
 
 def spelled(entities: list[dict], rules: list[tuple[str, str]]) -> dict[str, str]:
@@ -66,7 +66,7 @@ def redacted(text: Column, rules: list[tuple[str, str]], known: dict[str, str] |
     """``text`` with every value of the rules replaced by its tag."""
     if not rules:
         return text
-    return woven(text, "(?U)" + "|".join(p for _, p in rules), lambda m: F.when(m.isNotNull(), tag_of(m, rules, known)), found)
+    return woven(text, for_java("|".join(p for _, p in rules)), lambda m: F.when(m.isNotNull(), tag_of(m, rules, known)), found)
 
 
 def _with_rules(docs: DataFrame, rules: list[tuple[str, str]], entities: list[dict], text: str) -> DataFrame:
@@ -98,7 +98,7 @@ def redact(docs: DataFrame, entities: list[dict], text: str = "text", any_case:
         rows = docs.withColumn("__matches", matches(F.col(text), rules))
         return rows.withColumn("replacements", count).withColumn(text, redacted(F.col(text), rules, spelled(entities, rules), F.col("__matches"))).drop("__matches")
     rows = _with_rules(docs, rules, entities, text)
-    whole = F.concat(F.lit("(?U)"), F.array_join("__rules.pattern", "|"))
+    whole = for_java(F.array_join("__rules.pattern", "|"))
     any_ = F.size("__rules") > 0
     rows = rows.withColumn("__matches", F.when(any_, F.regexp_extract_all(F.col(text), whole, F.lit(0))).otherwise(F.array().cast("array<string>")))
     first = lambda m: F.get(F.filter("__rules", lambda r: F.rlike(m, F.concat(F.lit(r"(?U)\A(?:"), r["pattern"], F.lit(r")\z")))), F.lit(0))["tag"]

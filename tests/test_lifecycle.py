@@ -194,3 +194,16 @@ def test_tags_of_a_stream_never_change(spark, tmp_path):
         incremental.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(r["job_id"], r["key"]): r["tag"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("j", "a"): "[[ORG_001]]", ("j", "b"): "[[ORG_002]]", ("j", "x"): "[[ID_NO_001]]", ("j", "0"): "[[ORG_003]]", ("k", "a"): "[[ORG_001]]"}
+
+
+@pytest.mark.parametrize("mark", ["\u0301", "\u200d", "\u203f"])
+def test_a_value_beside_a_mark_is_counted_and_replaced(spark, mark):
+    """What is found only beside a combining mark or a joiner was dropped as standing nowhere, and stayed in the text; a numeral still belongs to the value."""
+    phone, mail = "+1 (415) 555-0199", "ann@x.org"
+    docs = spark.createDataFrame([(1, f"a {phone}{mark} b"), (2, f"{mark}{mail}{mark}"), (3, f"{phone}\u00b2 Zoe")], "doc_id bigint, text string")
+    found = lifecycle.analyse(docs, lifecycle.Settings(detectors=("EMAIL", "PHONE")))
+    assert {(r["value"], r["total"], r["documents"]) for r in found.collect()} == {(phone, 1, 1), (mail, 1, 1)}
+    want = {1: f"a [[PHONE_001]]{mark} b", 2: f"{mark}[[EMAIL_001]]{mark}", 3: f"{phone}\u00b2 Zoe"}
+    assert {r["doc_id"]: r["text"] for r in lifecycle.redact_documents(docs, found).collect()} == want
+    tags = [{"value": v, "variants": [], "inflect": False, "tag": t} for v, t in ((phone, "[[PHONE_001]]"), (mail, "[[EMAIL_001]]"))]
+    assert {r["doc_id"]: r["text"] for r in redact.redact(docs, tags, native_chars=0).collect()} == want
